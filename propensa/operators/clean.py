@@ -161,6 +161,18 @@ def derive(df: DataFrame) -> DataFrame:
     return drop_columns(out, ["NumberOfPersonVisiting", "NumberOfChildrenVisiting"])
 
 
+def variant(df: DataFrame) -> DataFrame:
+    """The keyless 17-column table: whole numbers, visitors added up, income per trip, age band."""
+    whole = ["Age", "MonthlyIncome", "NumberOfTrips", "DurationOfPitch", "NumberOfFollowups"]
+    return df.withColumns(
+        {
+            "TotalVisiting": total_visiting().cast("int"),
+            "IncomePerTrip": income_per_trip(truncate=True),
+            "AgeGroup": age_group(),
+        }
+    ).withColumns({c: F.col(c).cast("int") for c in whole})
+
+
 def align_columns(df: DataFrame, template: Sequence[str]) -> DataFrame:
     """Exactly the template's columns in its order; missing ones are filled with 0."""
     present = set(df.columns)

@@ -103,7 +103,9 @@ def report(
     return one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def score_totals(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def score_totals(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), prior: bool = False
+) -> DataFrame:
     """Per distinct score: positives and negatives with it, below it, and in all."""
     counts = (
         df.where(F.col(score).isNotNull())
@@ -113,7 +115,7 @@ def score_totals(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
             F.count_if(F.col(label) == 0).alias("neg"),
         )
     )
-    return running_totals(counts, "threshold", ["pos", "neg"], by)
+    return running_totals(counts, "threshold", ["pos", "neg"], by, prior=prior)
 
 
 def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -124,9 +126,21 @@ def auc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFr
     return totals.groupBy(*by).agg(F.try_divide(wins, pairs).alias("auc"))
 
 
-def roc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by…, threshold, fpr, tpr) at every distinct score, and (0, 0) at infinity."""
-    totals = score_totals(df, label, score, by)
+def roc(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), drop_collinear: bool = False
+) -> DataFrame:
+    """(by…, threshold, fpr, tpr) at every distinct score, and (0, 0) at infinity.
+
+    ``drop_collinear`` leaves out inner points whose step equals the following step.
+    """
+    totals = score_totals(df, label, score, by, prior=drop_collinear)
+    if drop_collinear:
+        pos, neg = F.col("pos"), F.col("neg")
+        highest = (F.col("pos_before") + pos == F.col("pos_all")) & (
+            F.col("neg_before") + neg == F.col("neg_all")
+        )
+        turns = (pos != F.col("pos_prior")) | (neg != F.col("neg_prior"))
+        totals = totals.where(highest | F.col("pos_prior").isNull() | turns)
     points = totals.select(
         *by,
         "threshold",

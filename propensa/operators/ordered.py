@@ -42,9 +42,12 @@ def running_totals(
     measures: Sequence[str],
     by: Sequence[str] = (),
     slices: int | None = None,
+    prior: bool = False,
 ) -> DataFrame:
     """Add ``<m>_before`` (sum over smaller ``order``) and ``<m>_all`` (group sum) per measure.
 
+    With ``prior`` also ``<m>_prior``, the measure of the next smaller ``order``.
+
     ``counts`` holds one row per (``by``, ``order``), already aggregated, with non-null keys and
     a numeric ``order``. Slices are cut at approximate quantiles of ``order``, so they hold
     similar row numbers whatever the distribution looks like.
@@ -67,26 +70,31 @@ def running_totals(
         sliced = sliced.drop("_bounds")
     else:
         sliced = counts.withColumn("_slice", F.lit(0))
-    per_slice = sliced.groupBy(*by, "_slice").agg(*[F.sum(m).alias(m) for m in measures])
+    lasts = [F.max_by(m, order).alias(f"_{m}_last") for m in measures] if prior else []
+    per_slice = sliced.groupBy(*by, "_slice").agg(*[F.sum(m).alias(m) for m in measures], *lasts)
     group = Window.partitionBy(*by)
-    earlier = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = group.orderBy("_slice")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *by,
         "_slice",
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"_{m}_start") for m in measures],
         *[F.sum(m).over(group).alias(f"{m}_all") for m in measures],
+        *[F.lag(f"_{m}_last").over(in_order).alias(f"_{m}_last") for m in measures if prior],
     )
-    inside = (
-        Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    rows = Window.partitionBy(*by, "_slice").orderBy(order)
+    inside = rows.rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.select(
-        "*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_local") for m in measures]
+        "*",
+        *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_local") for m in measures],
+        *[F.lag(m).over(rows).alias(f"_{m}_lag") for m in measures if prior],
     )
     joined = local.join(offsets, [*by, "_slice"])
     return joined.select(
         *counts.columns,
         *[(F.col(f"_{m}_start") + F.col(f"_{m}_local")).alias(f"{m}_before") for m in measures],
         *[f"{m}_all" for m in measures],
+        *[F.coalesce(f"_{m}_lag", f"_{m}_last").alias(f"{m}_prior") for m in measures if prior],
     )
 
 

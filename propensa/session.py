@@ -57,3 +57,9 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """Keep a table that several jobs read; a plan that is already kept is not kept twice."""
+    level = df.storageLevel
+    return df if level.useMemory or level.useDisk else df.persist()
