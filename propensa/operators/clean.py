@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ def inject_missing(
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per column; one row per column reaches the driver."""
+    if not columns:
+        return {}
     return {r["column"]: r["q50"] for r in quantiles(df, columns, [0.5]).collect()}
 
 
@@ -104,6 +107,8 @@ def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
+    if not columns:
+        return {}
     rows = mode_table(df, columns).collect()
     return {r["column"]: r["text"] if r["text"] is not None else r["number"] for r in rows}
 
@@ -112,12 +117,10 @@ def fit_impute(
     df: DataFrame, median: Sequence[str] = (), mode: Sequence[str] = ()
 ) -> dict[str, float | str]:
     """Fill value per column, learned from ``df``; columns without any value are left out."""
-    fills: dict[str, float | str] = {}
-    if median:
-        fills |= medians(df, median)
-    if mode:
-        fills |= modes(df, mode)
-    return fills
+    # Two independent jobs over the same rows; Spark runs them side by side.
+    with ThreadPoolExecutor(2) as jobs:
+        middle, common = jobs.submit(medians, df, median), jobs.submit(modes, df, mode)
+        return {**middle.result(), **common.result()}
 
 
 def impute(

@@ -188,19 +188,32 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x, y, r): Pearson correlation of every ordered pair, over rows where both are known."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-
-    def both(a: str, b: str):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        return F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
-
-    one = df.agg(*[both(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries.append((F.lit(a), F.lit(b), F.col(f"r{i}")))
-        if a != b:
-            entries.append((F.lit(b), F.lit(a), F.col(f"r{i}")))
-    return _rows(one, ["x", "y", "r"], entries)
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+            for i in range(len(columns))
+            for j in range(i, len(columns))
+        ]
+    )
+    values = F.array(*[F.col(c).cast("double") for c in columns]).alias("v")
+    long = df.select(values).select("v", F.explode(pairs).alias("p")).select(
+        "p.i", "p.j", F.get("v", F.col("p.i")).alias("a"), F.get("v", F.col("p.j")).alias("b")
+    )
+    # Partial aggregation leaves one row per pair and task before anything is shuffled.
+    half = (
+        long.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+        .groupBy("i", "j")
+        .agg(F.corr("a", "b").alias("r"))
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    ways = F.array(
+        F.struct(F.col("i").alias("x"), F.col("j").alias("y")),
+        F.struct(F.col("j").alias("x"), F.col("i").alias("y")),
+    )
+    turned = F.when(F.col("i") == F.col("j"), F.slice(ways, 1, 1)).otherwise(ways)
+    return half.select("r", F.explode(turned).alias("e")).select(
+        F.get(names, F.col("e.x")).alias("x"), F.get(names, F.col("e.y")).alias("y"), "r"
+    )
 
 
 def histogram(df: DataFrame, column: str, label: str, bins: int = 30) -> DataFrame:
@@ -261,7 +274,8 @@ def density(df: DataFrame, column: str, by: Sequence[str], grid: int = 32) -> Da
     """(by…, point, x, density): Gaussian kernel estimate on a grid per group.
 
     Bandwidth 1.059·min(std, IQR/1.349)·n^(-1/5); the grid spans two bandwidths beyond the data.
-    Each group keeps ``grid`` running sums over its merged values, so rows never multiply.
+    Equal values are merged first, and each task adds up its share of every grid point before
+    the shuffle, which then carries ``grid`` rows per group and task.
     """
     by = list(by)
     known = df.dropna(subset=[*by, column]).select(*by, F.col(column).cast("double").alias(column))
@@ -284,23 +298,17 @@ def density(df: DataFrame, column: str, by: Sequence[str], grid: int = 32) -> Da
         .select(*by, "_all", "_h", "_start", "_step")
     )
 
-    def at(i: int):
-        z = (F.col("_start") + F.col("_step") * float(i) - F.col("value")) / F.col("_h")
-        return F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias(f"_s{i}")
-
-    carried = [F.max(c).alias(c) for c in ("_all", "_h", "_start", "_step")]
-    sums = frequencies.join(shape, by).groupBy(*by).agg(*carried, *[at(i) for i in range(grid)])
-    norm = F.col("_all") * F.col("_h") * math.sqrt(2 * math.pi)
-    return sums.select(
-        *by,
-        "_h", "_start", "_step",
-        norm.alias("_norm"),
-        F.posexplode(F.array(*[F.col(f"_s{i}") for i in range(grid)])).alias("point", "_sum"),
-    ).select(
-        *by,
-        "point",
-        (F.col("_start") + F.col("_step") * F.col("point")).alias("x"),
-        (F.col("_sum") / F.col("_norm")).alias("density"),
+    z = (F.col("_start") + F.col("_step") * F.col("point") - F.col("value")) / F.col("_h")
+    height = F.col("n") * F.exp(-0.5 * z * z) / (F.col("_all") * F.col("_h"))
+    points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
+    return (
+        frequencies.join(shape, by)
+        .select("*", points)
+        .groupBy(*by, "point")
+        .agg(
+            F.max(F.col("_start") + F.col("_step") * F.col("point")).alias("x"),
+            (F.sum(height) / math.sqrt(2 * math.pi)).alias("density"),
+        )
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensa.functions.hashing import SEED, digest
-from propensa.operators.clean import columns_by_type, fit_impute
+from propensa.operators.clean import columns_by_type, medians
+from propensa.operators.explore import value_counts_of
 from propensa.operators.ordered import MAX_GROUPS, hash_cutoffs
 
 # One column is made per category; more than this is no longer a feature matrix.
@@ -115,6 +118,35 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Rows per category of each text column."""
+    if not columns:
+        return {}
+    found = value_counts_of(df, columns).limit(MAX_CATEGORIES + 1).collect()
+    if len(found) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
+    out: dict[str, dict[str, int]] = {c: {} for c in columns}
+    for r in found:
+        out[r["column"]][r["value"]] = r["n"]
+    return out
+
+
+def _moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:
+    """(known, missing, mean, population deviation) of each numeric column, in one pass."""
+    wanted = [
+        x.alias(f"{name}{i}")
+        for i, c in enumerate(columns)
+        for name, x in (
+            ("n", F.count(c)), ("m", F.avg(c)), ("s", F.stddev_pop(F.col(c).cast("double")))
+        )
+    ]
+    row = df.agg(F.count("*").alias("n"), *wanted).first()
+    return {
+        c: (row[f"n{i}"], row["n"] - row[f"n{i}"], row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0)
+        for i, c in enumerate(columns)
+    }
+
+
 @dataclass
 class Preprocessor:
     """Imputation, scaling and one-hot encoding learned on train rows.
@@ -147,36 +179,27 @@ class Preprocessor:
         if unknown not in ("ignore", "error"):
             raise ValueError("unknown must be 'ignore' or 'error'")
         numeric, text = columns_by_type(train, exclude)
-        fills = fit_impute(train, numeric, text) if imputed else {}
-        filled = [
-            F.coalesce(F.col(c).cast("double"), F.lit(fills.get(c)).cast("double")) for c in numeric
-        ]
-        moments = [
-            x.alias(f"{name}{i}")
-            for i, v in enumerate(filled)
-            for name, x in (("m", F.avg(v)), ("s", F.stddev_pop(v)))
-        ]
-        row = train.agg(F.count("*").alias("n"), *moments).first()
-        means = {c: row[f"m{i}"] or 0.0 for i, c in enumerate(numeric)}
-        stds = {c: row[f"s{i}"] or 1.0 for i, c in enumerate(numeric)}
-        categories: dict[str, list[str]] = {c: [] for c in text}
-        if text:
-            pairs = F.array(
-                *[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in text]
-            )
-            found = (
-                train.select(F.explode(pairs).alias("e"))
-                .select("e.*")
-                .where(F.col("v").isNotNull())
-                .distinct()
-                .limit(MAX_CATEGORIES + 1)
-                .collect()
-            )
-            if len(found) > MAX_CATEGORIES:
-                raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
-            for r in found:
-                categories[r["c"]].append(r["v"])
-            categories = {c: sorted(v) for c, v in categories.items()}
+        # Three independent jobs over the same rows; Spark runs them side by side.
+        with ThreadPoolExecutor(3) as jobs:
+            middle = jobs.submit(medians, train, numeric if imputed else [])
+            listed = jobs.submit(_category_counts, train, text)
+            spread = jobs.submit(_moments, train, numeric)
+        fills: dict = dict(middle.result())
+        categories: dict[str, list[str]] = {}
+        for c, counts in listed.result().items():
+            categories[c] = sorted(counts)
+            if imputed and counts:
+                fills[c] = min(counts, key=lambda v: (-counts[v], v))
+        means, stds = {}, {}
+        for c, (n, missing, mean, std) in spread.result().items():
+            fill = fills.get(c)
+            if fill is not None and missing:
+                # Mean and deviation after ``missing`` cells have been set to ``fill``.
+                total = n + missing
+                filled = (n * mean + missing * fill) / total
+                square = n * (std**2 + (mean - filled) ** 2) + missing * (fill - filled) ** 2
+                mean, std = filled, math.sqrt(square / total)
+            means[c], stds[c] = mean, std or 1.0
         return Preprocessor(numeric, text, fills, means, stds, categories, unknown, onehot_first)
 
     def _scaled(self, c: str) -> str:

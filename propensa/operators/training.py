@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 import random
 from collections.abc import Mapping, Sequence
@@ -31,7 +30,7 @@ FEATURES = "features"
 # Spark's trees are at most this deep; an unlimited depth maps to it.
 DEEPEST = 30
 # AdaBoost stores its weights after this many rounds, so that plans stay short.
-ROUNDS_PER_STORE = 3
+ROUNDS_PER_STORE = 5
 
 
 def estimator(name: str, label: str, n_rows: int | None = None, weight: str | None = None,
@@ -156,6 +155,26 @@ LINE_UP = {
 }
 
 
+# Parameter grids of the random searches, in the terms of Spark ML. An unlimited
+# depth is DEEPEST; minimum samples per split, L1 and L2 have no counterpart.
+FOREST_GRID = {
+    "numTrees": [100, 200, 300, 500],
+    "maxDepth": [5, 8, 12, DEEPEST],
+    "minInstancesPerNode": [1, 2, 4],
+    "featureSubsetStrategy": ["sqrt", "log2", "0.5"],
+    "bootstrap": [True, False],
+}
+BOOSTED_GRID = {
+    "maxIter": [100, 200, 500, 1000],
+    "maxDepth": [3, 5, 7, 10],
+    "stepSize": [0.01, 0.05, 0.1, 0.2],
+    "subsamplingRate": [0.6, 0.8, 1.0],
+    "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
+    "minInfoGain": [0.0, 0.1, 0.3, 0.5],
+    "minInstancesPerNode": [1, 3, 5, 7],
+}
+
+
 def compare(
     train: DataFrame,
     test: DataFrame,
@@ -192,6 +211,11 @@ def best_model(metrics: DataFrame, metric: str = "roc_auc") -> DataFrame:
     return metrics.agg(best).select("b.model", (-F.col("b.less")).alias(metric))
 
 
+def best_scores(metrics: DataFrame) -> DataFrame:
+    """The highest AUC and the highest F1 of a metrics table."""
+    return metrics.agg(F.max("roc_auc").alias("best_auc"), F.max("f1").alias("best_f1"))
+
+
 def sort_by_metric(metrics: DataFrame, metric: str, descending: bool = True) -> DataFrame:
     order = F.desc(metric) if descending else F.asc(metric)
     return metrics.orderBy(order, "model")
@@ -286,7 +310,3 @@ def balanced(
     grown = oversample(flat, key, label, FEATURES, k, seed)
     return grown.select(key, label, array_to_vector(FEATURES).alias(FEATURES))
 
-
-def combinations(grid: Mapping[str, Sequence]) -> list[dict]:
-    """Every combination of a small grid."""
-    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]

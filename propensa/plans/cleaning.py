@@ -446,7 +446,8 @@ def with_actuals(spark, sf_dir):
     ),
 )
 def apply_fitted_stats(spark, sf_dir):
-    rows = split(clean.derive(kept_profile(spark, sf_dir)))
+    used = [KEY, LABEL, "MonthlyIncome", "Age", "TypeofContact"]
+    rows = split(kept_profile(spark, sf_dir, *used))
     train = rows.where(F.col("split") == "train")
     fills = clean.fit_impute(train, ["MonthlyIncome", "Age"], ["TypeofContact"])
     filled = clean.impute(rows.where(F.col("split") == "test"), fills=fills)
@@ -480,7 +481,7 @@ def group_with_domain(spark, sf_dir):
     ),
 )
 def impute_median(spark, sf_dir):
-    rows = clean.impute(kept_profile(spark, sf_dir), mode=[])
+    rows = clean.impute(kept_profile(spark, sf_dir, KEY, *clean.MEDIAN_COLUMNS))
     return rounded(rows.select(KEY, *clean.MEDIAN_COLUMNS))
 
 
@@ -493,7 +494,7 @@ def impute_median(spark, sf_dir):
     ),
 )
 def impute_mode(spark, sf_dir):
-    return clean.impute(kept_profile(spark, sf_dir), median=[]).select(KEY, *clean.MODE_COLUMNS)
+    return clean.impute(kept_profile(spark, sf_dir, KEY, *clean.MODE_COLUMNS))
 
 
 @query(

@@ -19,9 +19,10 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_profile(spark, sf_dir)
 
 
-def kept_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The profile for queries that first learn something from it and then apply it."""
-    return cached(customer_profile(spark, sf_dir))
+def kept_profile(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The profile, or some of its columns, for queries that learn something and then apply it."""
+    rows = customer_profile(spark, sf_dir)
+    return cached(rows.select(*columns) if columns else rows)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from propensa.functions.columns import apply_threshold
 from propensa.operators import evaluate
+from propensa.operators.explore import histogram
 from propensa.plans import sql
 from propensa.plans.common import rounded, scored
 from propensa.plans.registry import query
@@ -231,3 +232,18 @@ def threshold_report(spark, sf_dir):
     rows = scored(spark, sf_dir)
     tuned = evaluate.best_threshold(rows, LABEL, "score").select("threshold").scalar()
     return rounded(evaluate.threshold_report(rows, LABEL, "score", tuned))
+
+
+@query(
+    "score_histogram",
+    sql.using(
+        "scored",
+        """SELECT bin, round(lo + bin * ((hi - lo) / 40), 6) AS low,
+          round(lo + (bin + 1) * ((hi - lo) / 40), 6) AS high, ProdTaken, count(*) AS n
+        FROM (SELECT ProdTaken, lo, hi, least(floor((score - lo) / ((hi - lo) / 40)), 39)::INT AS bin
+          FROM scored, (SELECT min(score) AS lo, max(score) AS hi FROM scored))
+        GROUP BY bin, lo, hi, ProdTaken""",
+    ),
+)
+def score_histogram(spark, sf_dir):
+    return rounded(histogram(scored(spark, sf_dir), "score", LABEL, 40))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from propensa.functions.columns import AGE_LABELS, PURCHASE_LABELS, map_labels
+from propensa.functions.columns import AGE_LABELS, PURCHASE_LABELS, age_group, map_labels
 from propensa.operators import explore
 from propensa.operators.clean import derive, impute, recode_values
 from propensa.plans import sql
@@ -130,8 +130,9 @@ GROUP BY 1"""
 
 @query("purchase_rate", sql.using("imputed", _AGE_RATES))
 def purchase_rate(spark, sf_dir):
-    rows = derive(impute(kept_profile(spark, sf_dir)))
-    return rounded(explore.rate_by(rows, "AgeGroup", LABEL, AGE_LABELS))
+    rows = impute(kept_profile(spark, sf_dir, "Age", LABEL))
+    banded = rows.select(age_group().alias("AgeGroup"), LABEL)
+    return rounded(explore.rate_by(banded, "AgeGroup", LABEL, AGE_LABELS))
 
 
 _SEGMENTS = [
@@ -245,7 +246,7 @@ def melt_metrics(spark, sf_dir):
     ),
 )
 def correlation_matrix(spark, sf_dir):
-    rows = impute(recode_values(kept_profile(spark, sf_dir)))
+    rows = impute(kept_profile(spark, sf_dir, *_NUMERIC))
     return rounded(explore.correlations(rows, _NUMERIC))
 
 

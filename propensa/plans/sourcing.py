@@ -58,7 +58,7 @@ def source_fallback(spark, sf_dir):
     ),
 )
 def inject(spark, sf_dir):
-    complete = impute(recode_values(kept_profile(spark, sf_dir)))
+    complete = impute(kept_profile(spark, sf_dir, KEY, *MISSING_SHARES))
     return rounded(inject_missing(complete).select(KEY, *MISSING_SHARES))
 
 

@@ -43,9 +43,20 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[sc.applicationId]
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/propensa-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nothing has written to yet."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in this application's part of the shared folder that nothing has written to yet."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote below :func:`fresh_path`; call it when results are out."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensa.functions.columns import propensity
-from propensa.functions.hashing import uniform
-from propensa.sources.schemas import CUSTOMER
+from propensa.functions.hashing import uniforms
+from propensa.sources.schemas import CUSTOMER, TABLES
 
 
 def read_customers(spark: SparkSession, path: str, schema=CUSTOMER) -> DataFrame:
@@ -17,7 +17,9 @@ def read_customers(spark: SparkSession, path: str, schema=CUSTOMER) -> DataFrame
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A raw table under its declared schema, so that no job runs to look into file footers."""
+    reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def customers_or_profile(spark: SparkSession, path: str, sf_dir: str) -> DataFrame:
@@ -70,44 +72,47 @@ def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(pitched, F.col("c_custkey") == F.col("l_custkey"), "left")
     )
 
+    # One hash per purpose, computed once in a projection of its own.
+    salts = (
+        "age agenull toc gender persons star starnull mar pass score car child chnull desig label"
+    ).split()
+    drawn = base.select("*", *uniforms("c_custkey", {f"u_{s}": s for s in salts}))
+
     def u(salt: str) -> Column:
-        return uniform("c_custkey", salt)
+        return F.col(f"u_{salt}")
 
     def unless(salt: str, rate: float, value: Column) -> Column:
         return F.when(u(salt) >= rate, value.cast("double"))
 
-    profile = base.select(
+    profile = drawn.select(
         F.col("c_custkey").alias("CustomerID"),
         unless("agenull", 0.03, 18 + F.floor(47 * u("age"))).alias("Age"),
         _pick(u("toc"), [(0.02, None), (0.70, "Self Enquiry")], "Company Invited").alias(
             "TypeofContact"
         ),
-        (F.col("n_regionkey") % 3 + 1).cast("int").alias("CityTier"),
+        F.expr("CAST(n_regionkey % 3 + 1 AS INT) AS CityTier"),
         F.col("duration").alias("DurationOfPitch"),
         F.col("c_mktsegment").alias("Occupation"),
         _pick(u("gender"), [(0.60, "Male"), (0.95, "Female")], "Fe Male").alias("Gender"),
-        (1 + F.floor(5 * u("persons"))).cast("int").alias("NumberOfPersonVisiting"),
-        F.when(F.col("followups") > 0, F.col("followups").cast("double")).alias(
-            "NumberOfFollowups"
-        ),
+        F.expr("CAST(1 + floor(5 * u_persons) AS INT) AS NumberOfPersonVisiting"),
+        F.expr("CAST(nullif(followups, 0) AS DOUBLE) AS NumberOfFollowups"),
         F.col("product").alias("ProductPitched"),
         unless("starnull", 0.04, 3 + F.floor(3 * u("star"))).alias("PreferredPropertyStar"),
         _pick(
             u("mar"), [(0.25, "Single"), (0.75, "Married"), (0.85, "Divorced")], "Unmarried"
         ).alias("MaritalStatus"),
         F.col("trips").cast("double").alias("NumberOfTrips"),
-        (u("pass") < 0.29).cast("int").alias("Passport"),
-        (1 + F.floor(5 * u("score"))).cast("int").alias("PitchSatisfactionScore"),
-        (u("car") < 0.6).cast("int").alias("OwnCar"),
+        F.expr("CAST(u_pass < 0.29D AS INT) AS Passport"),
+        F.expr("CAST(1 + floor(5 * u_score) AS INT) AS PitchSatisfactionScore"),
+        F.expr("CAST(u_car < 0.6D AS INT) AS OwnCar"),
         unless("chnull", 0.03, F.floor(4 * u("child"))).alias("NumberOfChildrenVisiting"),
         _pick(
             u("desig"),
             [(0.3, "Executive"), (0.6, "Manager"), (0.8, "Senior Manager"), (0.92, "AVP")],
             "VP",
         ).alias("Designation"),
-        F.when(F.col("c_acctbal") >= 0, 15000 + 6 * F.col("c_acctbal")).alias("MonthlyIncome"),
-    )
-    labelled = profile.withColumn(
-        "ProdTaken", (uniform("CustomerID", "label") < propensity()).cast("int")
+        F.expr("CASE WHEN c_acctbal >= 0 THEN 15000 + 6 * c_acctbal END AS MonthlyIncome"),
+        "u_label",
     )
+    labelled = profile.withColumn("ProdTaken", (F.col("u_label") < propensity()).cast("int"))
     return labelled.select(*CUSTOMER.fieldNames())
