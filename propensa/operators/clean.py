@@ -188,16 +188,18 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str], key: str) -> DataFram
     Only the key and digests of long texts are shuffled to find the rows to keep.
     """
     narrow = df.select(key, *[_comparable(df, c) for c in columns])
-    kept = narrow.groupBy(*columns).agg(F.min(key).alias(key)).select(key)
+    kept = narrow.groupBy(*columns).agg(F.min(key).alias("_kept")).select(
+        F.col("_kept").alias(key)
+    )
     return df.join(kept, key, "left_semi")
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, and rows equal to an earlier row (nulls are equal to nulls)."""
     narrow = df.select(*[_comparable(df, c) for c in columns])
-    return narrow.groupBy(*columns).agg(F.count("*").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"),
+    return narrow.groupBy(*columns).agg(F.count("*").alias("_copies")).agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n_duplicates"),
     )
 
 

@@ -66,9 +66,15 @@ def estimator(name: str, label: str, n_rows: int | None = None, weight: str | No
     raise ValueError(f"unknown classifier {name!r}")
 
 
+def _two_classes(df: DataFrame, label: str) -> DataFrame:
+    """Declare the label binary, so that Spark ML need not scan the rows for its classes."""
+    return df.withMetadata(label, {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}})
+
+
 def fit(name: str, train: DataFrame, label: str = "ProdTaken", weight: str | None = None,
         seed: int = SEED, **params) -> Model:
     """Train one classifier on a table with a feature vector, a label and maybe a weight."""
+    train = _two_classes(train, label)
     if name == "adaboost":
         return adaboost(train, label, seed=seed, **params)
     n_rows = train.count() if name == "logistic_regression" else None
@@ -83,7 +89,7 @@ def adaboost(train: DataFrame, label: str = "ProdTaken", n: int = 50, rate: floa
     of the rows it got wrong. It stops early when a stump is perfect or no better than chance.
     The result is a pipeline of stumps and one SQL stage that adds up their votes.
     """
-    rows = train.select(FEATURES, label, F.lit(1.0).alias("w"))
+    rows = _two_classes(train.select(FEATURES, label, F.lit(1.0).alias("w")), label)
     total = float(rows.count())
     stumps, alphas = [], []
     for i in range(n):
@@ -268,7 +274,7 @@ def random_search(
     rows are made inside each training part, so none of them reaches the rows it is scored on.
     """
     settings = draw_settings(grid, n_iter, seed)
-    with_fold = folds(train, key, label, k, seed).persist()
+    with_fold = _two_classes(folds(train, key, label, k, seed), label).persist()
     judge = BinaryClassificationEvaluator(
         labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
     )
