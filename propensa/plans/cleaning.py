@@ -385,9 +385,9 @@ def risk_bands(spark, sf_dir):
     "derived_variant",
     sql.using(
         "imputed",
-        f"""SELECT Age::INT AS Age, trunc(MonthlyIncome)::INT AS MonthlyIncome,
-          NumberOfTrips::INT AS NumberOfTrips, DurationOfPitch::INT AS DurationOfPitch,
-          PitchSatisfactionScore, NumberOfFollowups::INT AS NumberOfFollowups,
+        f"""SELECT trunc(Age)::INT AS Age, trunc(MonthlyIncome)::INT AS MonthlyIncome,
+          trunc(NumberOfTrips)::INT AS NumberOfTrips, trunc(DurationOfPitch)::INT AS DurationOfPitch,
+          PitchSatisfactionScore, trunc(NumberOfFollowups)::INT AS NumberOfFollowups,
           (NumberOfPersonVisiting + NumberOfChildrenVisiting)::INT AS TotalVisiting, Passport,
           Occupation, Gender, MaritalStatus, Designation, ProductPitched, CityTier, ProdTaken,
           trunc(MonthlyIncome / CASE WHEN NumberOfTrips = 0 THEN 1 ELSE NumberOfTrips END)::INT
