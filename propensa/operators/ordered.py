@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 # A digest slice is its first four hex digits: at most 65,536 slices.
 SLICE_DIGITS = 4
-# Upper bound of the groups whose cutoffs are brought to the driver.
-MAX_GROUPS = 10_000
+# Upper bound of the (group, quota) pairs whose cutoffs become literals of a plan.
+MAX_GROUPS = 200
 
 
 def _slice_of(value: Column, bounds: Column, slices: int) -> Column:

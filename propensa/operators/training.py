@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import (
@@ -188,15 +189,22 @@ def compare(
     label: str = "ProdTaken",
     weight: str | None = None,
     on_train: bool = False,
+    parallelism: int = 4,
     seed: int = SEED,
 ) -> tuple[DataFrame, dict[str, Model]]:
     """One metrics row per model, best AUC first, and the trained models.
 
-    All models are scored into one table and evaluated together. With ``on_train`` every model
+    The fits are independent jobs, ``parallelism`` of them at a time. All models are scored into one table and evaluated together. With ``on_train`` every model
     also gets a row for the train rows (column ``split``), to show over-fitting.
     """
     train = train.persist()
-    models = {n: fit(n, train, label, weight, seed, **dict(p)) for n, p in line_up.items()}
+    train.count()
+    with ThreadPoolExecutor(parallelism) as jobs:
+        fits = {
+            n: jobs.submit(fit, n, train, label, weight, seed, **dict(p))
+            for n, p in line_up.items()
+        }
+        models = {n: f.result() for n, f in fits.items()}
     parts = [("test", test)] + ([("train", train)] if on_train else [])
     scored = None
     for name, model in models.items():

@@ -10,6 +10,7 @@ from propensa.operators.explore import histogram
 from propensa.plans import sql
 from propensa.plans.common import rounded, scored
 from propensa.plans.registry import query
+from propensa.session import cached
 from propensa.sources.schemas import KEY, LABEL
 
 # The threshold at which the baseline score is turned into decisions here.
@@ -229,7 +230,7 @@ _AT = {
     ),
 )
 def threshold_report(spark, sf_dir):
-    rows = scored(spark, sf_dir)
+    rows = cached(scored(spark, sf_dir))
     tuned = evaluate.best_threshold(rows, LABEL, "score").select("threshold").scalar()
     return rounded(evaluate.threshold_report(rows, LABEL, "score", tuned))
 

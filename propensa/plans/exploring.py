@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from propensa.functions.columns import AGE_LABELS, PURCHASE_LABELS, age_group, map_labels
 from propensa.operators import explore
-from propensa.operators.clean import derive, impute, recode_values
+from propensa.operators.clean import impute, recode_values
 from propensa.plans import sql
 from propensa.plans.common import kept_profile, profile, rounded
 from propensa.plans.registry import query
-from propensa.sources.schemas import CUSTOMER, KEY, LABEL
+from propensa.sources.schemas import CUSTOMER, LABEL
 
 _ALL = CUSTOMER.fieldNames()
 _NUMERIC = [f.name for f in CUSTOMER if f.dataType.simpleString() in ("int", "double")]
@@ -186,7 +186,7 @@ def _describe_sql(c: str, source: str) -> str:
     sql.using("profile", _union(*[_describe_sql(c, "profile") for c in _NUMERIC])),
 )
 def describe_numeric(spark, sf_dir):
-    return rounded(explore.describe(profile(spark, sf_dir), _NUMERIC))
+    return rounded(explore.describe(kept_profile(spark, sf_dir, *_NUMERIC), _NUMERIC))
 
 
 _STATS = ["mean", "std", "min", "q25", "q50", "q75", "max"]
@@ -208,8 +208,8 @@ _STATS = ["mean", "std", "min", "q25", "q50", "q75", "max"]
     ),
 )
 def transpose_stats(spark, sf_dir):
-    stats = explore.describe(profile(spark, sf_dir), _SHOWN).select("column", *_STATS)
-    # Transposing runs the statistics once to learn the column names; they are kept for it.
+    stats = explore.describe(kept_profile(spark, sf_dir, *_SHOWN), _SHOWN).select("column", *_STATS)
+    # Transposing runs the statistics at once: their rows become its columns.
     wide = explore.transpose(rounded(stats), "column")
     return wide.withColumnRenamed("key", "statistic").select("statistic", *_SHOWN)
 
@@ -228,7 +228,7 @@ def transpose_stats(spark, sf_dir):
     ),
 )
 def melt_metrics(spark, sf_dir):
-    stats = rounded(explore.describe(profile(spark, sf_dir), _SHOWN))
+    stats = rounded(explore.describe(kept_profile(spark, sf_dir, *_SHOWN), _SHOWN))
     return explore.melt(stats, ["column"], _STATS, "metric", "score")
 
 
@@ -306,9 +306,9 @@ def boxplot_stats(spark, sf_dir):
     ),
 )
 def violin_density(spark, sf_dir):
-    curves = explore.density(
-        derive(profile(spark, sf_dir)), "MonthlyIncome", ["AgeGroup", LABEL], grid=32
-    )
+    rows = kept_profile(spark, sf_dir, "Age", "MonthlyIncome", LABEL)
+    banded = rows.select(age_group().alias("AgeGroup"), LABEL, "MonthlyIncome")
+    curves = explore.density(banded, "MonthlyIncome", ["AgeGroup", LABEL], grid=32)
     return curves.select(
         "AgeGroup", LABEL, "point", F.round("x", 4).alias("x"), F.round("density", 12).alias("density")
     )

@@ -12,8 +12,10 @@ from propensa.sources.schemas import CUSTOMER, TABLES
 
 
 def read_customers(spark: SparkSession, path: str, schema=CUSTOMER) -> DataFrame:
-    """Customer CSV with a header line, typed by a declared schema."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Customer CSV with a header line, typed by a declared schema; empty cells and NaN are null."""
+    rows = spark.read.schema(schema).option("header", True).csv(path)
+    numbers = [f.name for f in schema if f.dataType.typeName() == "double"]
+    return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
