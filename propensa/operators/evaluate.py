@@ -38,6 +38,12 @@ def confusion(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()
     return one.select(*by, F.explode(F.array(*entries)).alias("e")).select(*by, "e.*")
 
 
+def confusion_wide(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(actual, predicted_0, predicted_1): the same counts as a 2×2 view."""
+    wide = confusion(df, label, prediction).groupBy("actual").pivot("predicted", [0, 1])
+    return wide.agg(F.sum("n")).withColumnsRenamed({"0": "predicted_0", "1": "predicted_1"})
+
+
 def _cells(df: DataFrame, label: str, prediction: str, by: Sequence[str]) -> DataFrame:
     actual, predicted = F.col(label) == 1, F.col(prediction) == 1
     return df.groupBy(*by).agg(

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
@@ -273,19 +273,25 @@ def random_search(
     label: str = "ProdTaken",
     weight: str | None = None,
     balance: bool = False,
+    metric: str = "roc_auc",
     parallelism: int = 4,
     seed: int = SEED,
 ) -> tuple[DataFrame, dict, Model]:
     """(metrics per setting, best setting, model refitted with it on all train rows).
 
-    Settings are scored by cross-validated AUC on stratified folds. With ``balance`` synthetic
+    Settings are scored by cross-validation on stratified folds, by AUC or by accuracy. With ``balance`` synthetic
     rows are made inside each training part, so none of them reaches the rows it is scored on.
     """
     settings = draw_settings(grid, n_iter, seed)
     with_fold = _two_classes(folds(train, key, label, k, seed), label).persist()
-    judge = BinaryClassificationEvaluator(
-        labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
-    )
+    if metric == "roc_auc":
+        judge = BinaryClassificationEvaluator(
+            labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
+        )
+    elif metric == "accuracy":
+        judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+    else:
+        raise ValueError("metric must be 'roc_auc' or 'accuracy'")
     base = estimator(name, label, with_fold.count(), weight, seed)
     maps = [{base.getParam(p): v for p, v in s.items()} for s in settings]
     if not balance:
@@ -312,7 +318,7 @@ def random_search(
         (i, ", ".join(f"{p}={v}" for p, v in sorted(s.items())), float(m))
         for i, (s, m) in enumerate(zip(settings, scores))
     ]
-    table = train.sparkSession.createDataFrame(rows, "setting int, params string, roc_auc double")
+    table = train.sparkSession.createDataFrame(rows, f"setting int, params string, {metric} double")
     return table, settings[top], best
 
 

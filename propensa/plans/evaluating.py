@@ -54,6 +54,18 @@ def confusion_matrix(spark, sf_dir):
     return evaluate.confusion(_decided(spark, sf_dir), LABEL, "prediction")
 
 
+@query(
+    "confusion_wide",
+    sql.using(
+        "scored",
+        f"""SELECT ProdTaken AS actual, count(*) FILTER (score < {THRESHOLD}) AS predicted_0,
+        count(*) FILTER (score >= {THRESHOLD}) AS predicted_1 FROM scored GROUP BY 1""",
+    ),
+)
+def confusion_wide(spark, sf_dir):
+    return evaluate.confusion_wide(_decided(spark, sf_dir), LABEL, "prediction")
+
+
 @query(
     "binary_metrics",
     sql.using(

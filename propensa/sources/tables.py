@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,22 @@ def read_customers(spark: SparkSession, path: str, schema=CUSTOMER) -> DataFrame
     return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
 
 
+def customers_from_records(
+    spark: SparkSession, records: Sequence[Mapping], schema=CUSTOMER
+) -> DataFrame:
+    """A few customers given as dictionaries; fields they lack are null."""
+    rows = [
+        tuple(
+            float(r[f.name])
+            if f.dataType.typeName() == "double" and r.get(f.name) is not None
+            else r.get(f.name)
+            for f in schema
+        )
+        for r in records
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A raw table under its declared schema, so that no job runs to look into file footers."""
     reader = spark.read.schema(TABLES[name]) if name in TABLES else spark.read

@@ -473,6 +473,29 @@ def test_adaboost_beats_chance_and_stops_when_perfect(spark):
     assert len(training.fit("adaboost", easy, label="y", n=8).stages) < 9
 
 
+def test_search_by_accuracy(spark, unbalanced):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = cached(unbalanced.select("id", "y", array_to_vector("v").alias("features")))
+    table, _, _ = training.random_search(
+        rows, "decision_tree", {"maxDepth": [1, 2]}, n_iter=2, k=2, key="id", label="y",
+        metric="accuracy",
+    )
+    assert all(0.5 < r["accuracy"] <= 1 for r in table.collect())
+    with pytest.raises(ValueError, match="metric"):
+        training.random_search(rows, "decision_tree", {"maxDepth": [1]}, key="id", label="y", metric="x")
+
+
+def test_csv_nan_is_missing(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("CustomerID,Age,Gender\n1,NaN,Male\n2,31,\n")
+    schema = "CustomerID long, Age double, Gender string"
+    from pyspark.sql import types as T
+
+    rows = read_customers(spark, str(path), T._parse_datatype_string(schema)).collect()
+    assert [(r["Age"], r["Gender"]) for r in rows] == [(None, "Male"), (31.0, None)]
+
+
 def test_source_fallback_and_csv(spark, sf_dir, tmp_path):
     from propensa.sources.sinks import write_customers
 
@@ -510,7 +533,16 @@ def test_workbench(spark, sf_dir):
 
 def test_scoring_fills_missing_columns(spark, sf_dir):
     from propensa.plans.modelling import _bundle
+    from propensa.sources.tables import customers_from_records
 
     made = _bundle(spark, sf_dir)
+    people = [
+        {"CustomerID": 1, "Age": 30, "MonthlyIncome": 70000, "Passport": 1, "NumberOfTrips": 6},
+        {"CustomerID": 2, "Age": 55.0, "Occupation": "ASTRONAUT", "Gender": "Fe Male"},
+    ]
+    judged = serve.score(customers_from_records(spark, people), made, explain=True).collect()
+    assert [r["CustomerID"] for r in judged] == [1, 2]
+    assert "Has Passport" in [f["title"] for f in judged[0]["factors"]]
+    assert all(0 <= r["probability"] <= 1 for r in judged)
     rows = customer_profile(spark, sf_dir).drop("ProdTaken", "OwnCar", "CityTier")
     assert serve.score(rows, made).count() == 150
