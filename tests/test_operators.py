@@ -2,6 +2,8 @@
 
 import math
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -394,6 +396,20 @@ def test_knn_in_64_dimensions(spark, sf_dir):
     assert got == want
 
 
+def test_task_code_needs_no_installed_package(tmp_path):
+    from pyspark import cloudpickle
+
+    from propensa.functions import blocks
+
+    stored = tmp_path / "code"
+    stored.write_bytes(cloudpickle.dumps([blocks.search(2), blocks.place(np.zeros((1, 1)))]))
+    check = (
+        "import pickle, sys; pickle.load(open(sys.argv[1], 'rb')); "
+        "assert not [m for m in sys.modules if m.startswith('propensa')]"
+    )
+    subprocess.run([sys.executable, "-I", "-c", check, str(stored)], cwd=tmp_path, check=True)
+
+
 @pytest.fixture(scope="module")
 def unbalanced(spark):
     rng = np.random.default_rng(5)
