@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from propensa.functions.columns import apply_threshold
 from propensa.operators import serve, training
 from propensa.operators.balance import oversample, smote
-from propensa.operators.clean import derive
 from propensa.operators.evaluate import best_threshold, threshold_report
 from propensa.operators.features import (
     Preprocessor,
