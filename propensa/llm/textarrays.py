@@ -100,18 +100,20 @@ def slices(
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the content of every slice."""
+def slice_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = int(BASE)
+) -> np.ndarray:
+    """A 64-bit hash of the content of every slice; starts and ends ascend."""
     out = np.empty(len(starts), dtype=np.uint64)
     done = 0
     while done < len(starts):
         low = starts[done]
         stop = max(done + 1, int(np.searchsorted(ends, low + STRETCH, side="right")))
         part = data[low : ends[stop - 1]]
-        power = powers(BASE, len(part) + 1)
+        power = powers(np.uint64(base), len(part) + 1)
         total = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        back = powers(np.uint64(inverse_power_of_two_ring(int(BASE))), len(part) + 1)
+        back = powers(np.uint64(inverse_power_of_two_ring(base)), len(part) + 1)
         s, e = starts[done:stop] - low, ends[done:stop] - low
         out[done:stop] = mix((total[e] - total[s]) * back[s])
         done = stop
@@ -135,6 +137,22 @@ def window_hashes(values: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93
     return out
 
 
+def byte_grams(data: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of every ``width`` consecutive bytes; ``width`` is a multiple of eight."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    eight = np.lib.stride_tricks.as_strided(
+        np.ascontiguousarray(data), shape=(len(data) - 7, 8), strides=(1, 1)
+    )
+    eight = np.ascontiguousarray(eight).view("<u8").ravel()
+    out = np.zeros(n, dtype=np.uint64)
+    for at in range(0, width, 8):
+        out = (out ^ eight[at : at + n]) * np.uint64(0x9DDFEA08EB382D69)
+        out ^= out >> np.uint64(32)
+    return mix(out)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest of every ``width`` consecutive values."""
     reach = 1
