@@ -117,11 +117,14 @@ def substring_dedup(
 
     # Whole runs: every run that also occurs in an earlier document is removed.
     first = marked.groupBy("anchor", "d1", "d2").agg(F.min("ord").alias("lo"))
-    several = first.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    several = (
+        first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"))
+        .where((F.col("kinds") > 1) & (F.col("lo") < rp.LAST)).select("anchor")
+    )
     judged = marked.join(rp.apart(first), ["anchor", "d1", "d2"])
     copied = judged.where("ord > lo").select("row", "t", "start", "n")
     # Earliest runs that share an anchor with a different run: their windows one by one.
-    left = judged.where("ord = lo").join(rp.apart(several), "anchor", "left_semi").select("row", "t", "start", "n")
+    left = judged.where("ord <= lo").join(rp.apart(several), "anchor", "left_semi").select("row", "t", "start", "n")
     opened = rp.attach(rows.select("row", "t", "ord", "text"), rp.spans_of(left, "open"), "inner")
     windows = opened.mapInArrow(
         windows_task(width), "row bigint, t bigint, ord bigint, h1 bigint, h2 int, start bigint"
