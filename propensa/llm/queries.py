@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensa.llm import bpe, decontaminate, substring, suffixes
+from propensa.llm import bpe, decontaminate, quality, substring, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,12 @@ def op4(spark, sf_dir):
     return bpe.digest(bpe.encode(docs, bpe.default_ranks(), full=False))
 
 
+@query("op5_quality_rules", quality.ORACLE)
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.measured_cascade(docs))
+
+
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
