@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensa.llm import bpe, decontaminate, quality, substring, suffixes, toxicity
+from propensa.llm import bpe, decontaminate, jaccard, quality, substring, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op1(spark, sf_dir):
     return substring.digest(substring.substring_dedup(docs))
 
 
+@query("op2_jaccard_join")
+def op2(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op4_bpe_encode_decode")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
