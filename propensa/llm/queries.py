@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensa.llm import bpe, decontaminate, jaccard, quality, substring, suffixes, toxicity
+from propensa.llm import bpe, decontaminate, jaccard, quality, secrets, substring, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.digest(toxicity.fit(docs, table(spark, sf_dir, "labels")).score(docs))
+
+
+@query("op10_secret_scan")
+def op10(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
