@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensa.llm import bpe, decontaminate, jaccard, quality, secrets, substring, suffixes, toxicity
+from propensa.llm import bpe, decontaminate, jaccard, pages, quality, secrets, substring, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,11 @@ def op5(spark, sf_dir):
     return quality.digest(quality.measured_cascade(docs))
 
 
+@query("op6_html_extraction")
+def op6(spark, sf_dir):
+    return pages.digest(pages.extract(table(spark, sf_dir, "pages"), carry=["page_id", "url"]))
+
+
 @query("op7_suffix_dedup")
 def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
