@@ -325,24 +325,21 @@ def cells_task(size: int, threshold: float):
     return run
 
 
-def jaccard_join(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL
-) -> DataFrame:
-    """One row per document: key, class_id, copy_of, n_links, links.
-
-    ``copy_of`` is the smallest id with the same set of shingles, ``class_id`` the smallest id of all
-    documents tied to this one by links (similarity of ``threshold`` or more) or equal sets. ``n_links``
-    counts the other sets that this one is linked to; on the row with the smallest id of its set, ``links``
-    lists their smallest ids, and other copies refer to that row. A text of fewer than five words is one shingle; a
-    text without words, or null, is linked to nothing and a class of its own. Rows without id take
-    part; among themselves they have no id to name, so theirs are null where no member has one.
-    """
-    whole = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).select(
-        "text",
-        whole.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).alias("t"),
-        F.coalesce(F.col("id"), whole).alias("row"),
-        F.coalesce(F.col("id"), F.lit(rp.LAST)).alias("ord"),
+def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with what tells its rows apart: row_ (the id, or a hash of the text), t_ (31 bits of that hash), ord_."""
+    whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    own = F.col(key).cast("bigint")
+    return docs.withColumns({
+        "t_": whole.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")),
+        "row_": F.coalesce(own, whole),
+        "ord_": F.coalesce(own, F.lit(rp.LAST)),
+    })
+
+
+def classes(docs: DataFrame, key: str, text: str, threshold: float, size: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): rows with row, t, ord, cid and size; sets with cid, rep, root, least, links and n_links."""
+    rows = marked(docs, key, text).select(
+        F.col(text).alias("text"), F.col("t_").alias("t"), F.col("row_").alias("row"), F.col("ord_").alias("ord")
     )
     sketches = cut_lineage(
         rows.select("row", "t", "ord", "text").mapInArrow(
@@ -386,23 +383,61 @@ def jaccard_join(
         .select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     )
     first = lowest.groupBy("root").agg(F.min("rep").alias("least"))
-    classes = lowest.join(rp.apart(first), "root").join(partners, "cid", "left").select(
-        "cid", "rep", "least", "links", F.coalesce(F.size("links"), F.lit(0)).cast("bigint").alias("n_links")
+    sets = lowest.join(rp.apart(first), "root").join(partners, "cid", "left").withColumn(
+        "n_links", F.coalesce(F.size("links"), F.lit(0)).cast("bigint")
     )
+    return sketches.drop("sig"), sets
+
+
+def jaccard_join(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL
+) -> DataFrame:
+    """One row per document: key, class_id, copy_of, n_links, links.
+
+    ``copy_of`` is the smallest id with the same set of shingles, ``class_id`` the smallest id of all
+    documents tied to this one by links (similarity of ``threshold`` or more) or equal sets. ``n_links``
+    counts the other sets that this one is linked to; on the row with the smallest id of its set, ``links``
+    lists their smallest ids, and other copies refer to that row. A text of fewer than ``size`` words is one
+    shingle; a text without words, or null, is linked to nothing and a class of its own. Rows without id take
+    part; among themselves they have no id to name, so theirs are null where no member has one.
+    """
+    ids, sets = classes(docs, key, text, threshold, size, recall)
     own = F.when(F.col("ord") < rp.LAST, F.col("ord"))
+    none = F.array().cast("array<bigint>")
 
     def name(c: str):
         return F.when(F.col(c) < rp.LAST, F.col(c))
 
-    ids = sketches.select("ord", "cid", "size")
-    with_words = ids.where("size > 0").join(classes, "cid")
+    listed = F.when((F.col("ord") == F.col("rep")) & F.col("links").isNotNull(), F.col("links")).otherwise(none)
+    with_words = ids.where("size > 0").join(sets, "cid").select(
+        own.alias(key), name("least").alias("class_id"), name("rep").alias("copy_of"), "n_links", listed.alias("links")
+    )
     plain = ids.where("size = 0").select(
-        own.alias(key), own.alias("class_id"), own.alias("copy_of"), F.lit(0).cast("bigint").alias("n_links"), F.array().cast("array<bigint>").alias("links")
+        own.alias(key), own.alias("class_id"), own.alias("copy_of"), F.lit(0).cast("bigint").alias("n_links"), none.alias("links")
     )
-    listed = F.when((F.col("ord") == F.col("rep")) & F.col("links").isNotNull(), F.col("links")).otherwise(F.array().cast("array<bigint>"))
-    return with_words.select(
-        own.alias(key), name("least").alias("class_id"), name("rep").alias("copy_of"), "n_links", listed.alias("links")
-    ).unionByName(plain)
+    return with_words.unionByName(plain)
+
+
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, recall: float = RECALL
+) -> DataFrame:
+    """``docs`` with one row of every class: the one with the smallest id, and of repetitions of a row one.
+
+    Texts without words all stay, but for repetitions of the same row.
+    """
+    ids, sets = classes(docs, key, text, threshold, size, recall)
+    place = F.struct("ord", "row", "t")
+    chosen = ids.where("size > 0").join(sets.select("cid", "root"), "cid").groupBy("root").agg(F.min(place).alias("p"))
+    kept = chosen.select("p.row", "p.t").unionByName(ids.where("size = 0").select("row", "t").distinct())
+    often = ids.groupBy("row", "t").agg(F.count("*").alias("times"))
+    kept = kept.join(often, ["row", "t"]).select(
+        F.col("row").alias("kept_row"), F.col("t").alias("kept_t"), (F.col("times") > 1).alias("repeated_")
+    )
+    found = marked(docs, key, text).join(
+        kept.hint("shuffle_hash"), (F.col("row_") == F.col("kept_row")) & (F.col("t_") == F.col("kept_t"))
+    )
+    single = found.where("not repeated_").select(*docs.columns)
+    return single.unionByName(found.where("repeated_").dropDuplicates(["row_", "t_"]).select(*docs.columns))
 
 
 def unique_members(task):
