@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensa.llm import bpe, decontaminate, jaccard, pages, quality, secrets, substring, suffixes, toxicity
+from propensa.llm import bpe, chat, decontaminate, jaccard, pages, quality, secrets, substring, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op2(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op3_chat_formatting")
+def op3(spark, sf_dir):
+    return chat.digest(chat.format_chats(table(spark, sf_dir, "conversations")))
+
+
 @query("op4_bpe_encode_decode")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
