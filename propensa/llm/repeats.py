@@ -172,10 +172,14 @@ def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def with_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows to search, shuffled once: row, t (its text's hash), none (no id), ord (smaller is earlier)."""
-    t = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.withColumn("t", t).withColumn("row", F.coalesce(F.col(key).cast("bigint"), F.col("t")))
-    rows = rows.repartition("row")
+    """The rows to search, shuffled once: row, t, none (no id), ord (smaller is earlier).
+
+    ``row`` is the id, or a hash of the text where there is none; ``t``, 31 bits of that hash, tells
+    rows apart that share an id.
+    """
+    whole = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.withColumn("t", whole.bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")))
+    rows = rows.withColumn("row", F.coalesce(F.col(key).cast("bigint"), whole)).repartition("row")
     return rows.withColumn("none", F.col(key).isNull()).withColumn(
         "ord", F.when(F.col("none"), F.lit(LAST)).otherwise(F.col("row"))
     )

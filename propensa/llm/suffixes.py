@@ -1,14 +1,22 @@
 """Suffix-array dedup: exact byte strings of 100 bytes or more that occur earlier are removed.
 
-The suffixes that can begin a repeated string are found by :mod:`repeats`: whole runs that occur
-earlier end there, and of the rest only the earliest runs that share an anchor with a different run
-stay. Their suffixes, cut at the window, are range-partitioned by their leading bytes; Spark draws
-the splitters from a sample, and document id and start break ties, so that a string that occurs very
-often is spread over many buckets. A bucket is sorted by multikey quicksort over symbols of eight
-bytes: rows are split by one symbol, and only rows that are still equal go on to the next. In sorted
-order equal strings stand together, the earliest first, and all others are removed. Each bucket
-also reports its first and last string; where a string reaches over a boundary, its occurrences in
-the later buckets are compared with the earliest one in the buckets before.
+A suffix is sorted together with its neighbours: every window of 100 bytes has an anchor, the gram
+in it with the smallest hash, and consecutive windows with one anchor are a run (see
+:mod:`repeats`). Equal windows have the same anchor, so runs are sorted by their anchor as leading
+token, in two rounds:
+
+1. Runs are range-partitioned by (anchor, digest of the whole run, document, start), with splitters
+   that Spark draws from a sample. In a bucket, a run equal to an earlier one consists of windows
+   that occur earlier. Of the others, those go on whose anchor also begins a different run.
+2. These runs are range-partitioned by (anchor, document, start), with their bytes. A bucket sorts
+   all windows of its runs by multikey quicksort over symbols of eight bytes: windows are split by one
+   symbol, and only those still equal go on to the next. Equal windows then stand together, the
+   earliest first, and the others are removed.
+
+Document and start in the key spread a string that occurs very often over many buckets, so the same
+window may be met in several. In round 1 the runs at both ends of a bucket go on whatever they are. In
+round 2 each bucket also reports the different windows of its first and last anchor; these are
+compared across the boundaries by digest, with sums before the shuffle.
 """
 
 from __future__ import annotations
@@ -30,106 +38,207 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 100
 GRAM = 16
 SPAN = "array<struct<start: bigint, end: bigint>>"
-REMOVED, HEAD, TAIL = 0, 1, 2
-SORTED = "kind tinyint, row bigint, t bigint, ord bigint, start bigint, suffix binary"
+RUNS = "anchor bigint, digest int, row bigint, t bigint, ord bigint, start int, n int"
+COPIED, OPEN, EDGE = 0, 1, 2
+#: Windows that are sorted at once, where one anchor does not have more in its bucket.
+WINDOWS_AT_ONCE = 1 << 21
 
 
-def suffixes_task(width: int):
-    """Task code: the suffixes of the runs in ``open``, cut at ``width`` bytes."""
+def runs_task(width: int, gram: int):
+    """Task code: every run of windows with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in ta.pieces(batch, "text", 1 << 18):
-                data, offsets = ta.flat(rp.field(piece, "text"))
+            for piece in ta.pieces(batch, "text"):
+                units = rp.Units(*ta.flat(rp.field(piece, "text")), False)
+                text, start, n, anchor = rp.runs(units, width, gram)
+                digest = ta.slice_hashes(units.data, start, start + n + width - 1) >> np.uint64(33)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rp.signed(anchor), pa.array(digest.astype(np.int32)),
+                        *(pa.array(rp.numbers(piece, c)[text], pa.int64()) for c in ("row", "t", "ord")),
+                        pa.array((start - units.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                    ],
+                    names=["anchor", "digest", "row", "t", "ord", "start", "n"],
+                )
+
+    return run
+
+
+def fresh(*columns: np.ndarray) -> np.ndarray:
+    """True where sorted rows differ from the row before in any of the columns."""
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = False
+    for column in columns:
+        out[1:] |= column[1:] != column[:-1]
+    return out
+
+
+def later(new: np.ndarray, row: np.ndarray, t: np.ndarray, own: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """True for rows of a group that have an earlier one in it; rows are sorted by group, ord, row, t, start.
+
+    ``new`` is True where a group begins. Earlier is a smaller id, or a smaller start in the same text.
+    """
+    group = np.flatnonzero(new)[np.cumsum(new) - 1]
+    text = new | fresh(own, row, t)
+    first = np.flatnonzero(text)[np.cumsum(text) - 1]
+    return (own > own[group]) | (start > start[first])
+
+
+def table_of(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    kept = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(kept) if kept else None
+
+
+def found(kind: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    n = len(columns["row"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, dtype=np.int8)), *(pa.array(c, pa.int64()) for c in columns.values())],
+        names=["kind", *columns],
+    )
+
+
+def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task code: of one bucket of runs, those that occur earlier, and those that go on."""
+    whole = table_of(batches)
+    if whole is None:
+        return
+    names = ("anchor", "digest", "row", "t", "ord", "start", "n")
+    anchor, digest, row, t, own, start, n = (whole.column(c).to_numpy() for c in names)
+    del whole
+    order = np.lexsort((start, t, row, own, digest, anchor))
+    anchor, digest, row, t, own, start, n = (x[order] for x in (anchor, digest, row, t, own, start, n))
+    new = fresh(anchor, digest)
+    copied = later(new, row, t, own, start)
+    # Anchors with runs of several kinds; those at the ends of the bucket may have more elsewhere.
+    begins = fresh(anchor)
+    number = np.cumsum(begins) - 1
+    several = np.bincount(number, weights=new) > 1
+    several[[0, -1]] = True
+    going = ~copied & several[number]
+    for kind, which in ((COPIED, copied), (OPEN, going)):
+        at = np.flatnonzero(which)
+        for low in range(0, len(at), rp.CHUNK):
+            i = at[low : low + rp.CHUNK]
+            yield found(kind, {"row": row[i], "t": t[i], "start": start[i], "n": n[i]})
+
+
+def bytes_task(width: int, gram: int):
+    """Task code: anchor and bytes of the runs in ``open``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in ta.pieces(batch, "text"):
+                units = rp.Units(*ta.flat(rp.field(piece, "text")), False)
                 text, start, n = rp.own_spans(piece, "open")
-                pos, of = rp.spread(start, n), np.repeat(text, n)
-                for low in range(0, len(pos), rp.CHUNK):
-                    p, o = pos[low : low + rp.CHUNK], of[low : low + rp.CHUNK]
-                    body = data[(offsets[o] + p)[:, None] + np.arange(width)]
-                    places = pa.py_buffer((np.arange(len(p) + 1, dtype=np.int32) * width).tobytes())
-                    cut = pa.Array.from_buffers(pa.binary(), len(p), [None, places, pa.py_buffer(body.tobytes())])
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array(rp.numbers(piece, c)[o], pa.int64()) for c in ("row", "t", "ord")), pa.array(p, pa.int64()), cut],
-                        names=["row", "t", "ord", "start", "suffix"],
-                    )
+                begin = units.first[text] + start
+                _, every, _, anchor = rp.runs(units, width, gram)
+                at = np.searchsorted(every, begin)
+                size = n + width - 1
+                places = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                body = units.data[rp.spread(begin, size)]
+                cut = pa.Array.from_buffers(
+                    pa.binary(), len(n), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(body.tobytes())]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rp.signed(anchor[at]),
+                        *(pa.array(rp.numbers(piece, c)[text], pa.int64()) for c in ("row", "t", "ord")),
+                        pa.array(start.astype(np.int32)), cut,
+                    ],
+                    names=["anchor", "row", "t", "ord", "start", "bytes"],
+                )
 
     return run
 
 
-def multikey(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): rows in ascending order, and for each sorted place the number of its distinct row.
+def multikey(body: np.ndarray, at: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number): windows in ascending order within their groups, and the number of each distinct one.
 
-    ``symbols`` has one row per string. One symbol after another splits the rows that were equal so far.
+    ``group`` ascends. The windows begin at ``at`` in ``body``. One symbol of eight bytes after
+    another splits the windows that were equal so far; the last symbol overlaps the one before.
     """
-    n = len(symbols)
+    n = len(at)
+    eight = np.lib.stride_tricks.as_strided(body, shape=(len(body) - 7, 8), strides=(1, 1))
     order = np.arange(n)
-    group = np.zeros(n, dtype=np.int64)
-    for j in range(symbols.shape[1]):
-        # Places that share their group with a neighbour.
-        same = np.zeros(n, dtype=bool)
-        same[1:] = group[1:] == group[:-1]
-        tied = same.copy()
-        tied[:-1] |= same[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
+    starts = [*range(0, width - 7, 8)]
+    if starts[-1] != width - 8:
+        starts.append(width - 8)
+    for offset in starts:
+        same = np.zeros(n + 1, dtype=bool)
+        same[1:n] = group[1:] == group[:-1]
+        tied = np.flatnonzero(same[:-1] | same[1:])
+        if not len(tied):
             break
-        rows = order[at]
-        value = symbols[rows, j]
-        inner = np.lexsort((value, group[at]))
-        order[at] = rows[inner]
-        value, of = value[inner], group[at]
-        fresh = np.ones(n, dtype=bool)
-        fresh[1:] = group[1:] != group[:-1]
-        differs = np.zeros(len(at), dtype=bool)
-        differs[1:] = (of[1:] == of[:-1]) & (value[1:] != value[:-1])
-        fresh[at[differs]] = True
-        group = np.cumsum(fresh) - 1
+        rows, of = order[tied], group[tied]
+        value = np.ascontiguousarray(eight[at[rows] + offset]).view(">u8").ravel().astype(np.uint64)
+        inner = np.lexsort((value, of))
+        order[tied], value = rows[inner], value[inner]
+        new = ~same[:-1]
+        new[tied] |= fresh(of, value)
+        group = np.cumsum(new) - 1
     return order, group
 
 
-def bucket_task(width: int):
-    """Task code: sort one bucket, report what occurs earlier in it and the strings at its ends."""
+def second_round(width: int):
+    """Task code: of one bucket of runs, the windows that occur earlier, and the windows at its ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
+        whole = table_of(batches)
+        if whole is None:
             return
-        whole = pa.Table.from_batches(kept).combine_chunks()
-        kept.clear()
-        n = whole.num_rows
-        padded = np.zeros((n, -(-width // 8) * 8), dtype=np.uint8)
-        done = 0
-        for chunk in whole.column("suffix").chunks:
-            body = np.frombuffer(chunk.buffers()[2], dtype=np.uint8)
-            low = chunk.offset * width
-            padded[done : done + len(chunk), :width] = body[low : low + len(chunk) * width].reshape(-1, width)
-            done += len(chunk)
-        row, t, own, start = (whole.column(c).to_numpy() for c in ("row", "t", "ord", "start"))
-        del whole
-        order, group = multikey(padded.view(">u8"))
-        inner = np.lexsort((start[order], own[order], group))
-        order = order[inner]
-        first = np.ones(n, dtype=bool)
-        first[1:] = group[1:] != group[:-1]
-        leader = order[np.flatnonzero(first)[group]]
-        later = (own[order] != own[leader]) | (start[order] != start[leader])
-
-        def rows(kind: int, at: np.ndarray, with_suffix: bool) -> pa.RecordBatch:
-            text = [padded[i, :width].tobytes() for i in at] if with_suffix else [None] * len(at)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(at), kind, dtype=np.int8)),
-                    *(pa.array(x[at], pa.int64()) for x in (row, t, own, start)),
-                    pa.array(text, pa.binary()),
-                ],
-                names=["kind", "row", "t", "ord", "start", "suffix"],
-            )
-
-        for low in range(0, n, rp.CHUNK):
-            part = order[low : low + rp.CHUNK][later[low : low + rp.CHUNK]]
-            yield rows(REMOVED, part, False)
-        yield rows(HEAD, order[(group == 0) & ~later], True)
-        yield rows(TAIL, leader[-1:], True)
+        whole = whole.take(pa.array(np.argsort(whole.column("anchor").to_numpy(), kind="stable")))
+        anchor = whole.column("anchor").to_numpy()
+        ends = anchor[[0, -1]]
+        size = np.array([len(x) for x in whole.column("bytes").to_pylist()], dtype=np.int64) - (width - 1)
+        total = np.concatenate([[0], np.cumsum(size)])
+        begins = np.append(np.flatnonzero(fresh(anchor)), len(anchor))
+        low = 0
+        while low < len(begins) - 1:
+            goal = total[begins[low]] + WINDOWS_AT_ONCE
+            high = max(low + 1, int(np.searchsorted(total[begins], goal, side="right")) - 1)
+            yield from sort(whole.slice(begins[low], begins[high] - begins[low]), ends)
+            low = high
+
+    def sort(part: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        joined = part.column("bytes").to_pylist()
+        body = np.frombuffer(b"".join(joined) + b"\0" * 8, dtype=np.uint8)
+        size = np.array([len(x) for x in joined], dtype=np.int64)
+        n = size - (width - 1)
+        of = np.repeat(np.arange(len(n)), n)
+        pos = rp.spread(np.zeros(len(n), dtype=np.int64), n)
+        at = (np.cumsum(size) - size)[of] + pos
+        anchor, row, t, own, start = (part.column(c).to_numpy().astype(np.int64) for c in ("anchor", "row", "t", "ord", "start"))
+        order, group = multikey(body, at, (np.cumsum(fresh(anchor)) - 1)[of], width)
+        r = of[order]
+        first = start[r] + pos[order]
+        inner = np.lexsort((first, t[r], row[r], own[r], group))
+        r, first, order = r[inner], first[inner], order[inner]
+        new = fresh(group)
+        again = later(new, row[r], t[r], own[r], first)
+        yield spans(row[r[again]], t[r[again]], first[again])
+        edge = np.flatnonzero(~again & np.isin(anchor[r], ends))
+        if len(edge):
+            place = np.sort(at[order[edge]])
+            turn = np.argsort(at[order[edge]], kind="stable")
+            edge = edge[turn]
+            d1 = ta.slice_hashes(body, place, place + width)
+            d2 = ta.slice_hashes(body, place, place + width, rp.SECOND_BASE)
+            columns = {"row": row[r[edge]], "t": t[r[edge]], "start": first[edge], "n": np.ones(len(edge), dtype=np.int64)}
+            yield found(EDGE, columns | {"ord": own[r[edge]], "d1": d1.view(np.int64), "d2": d2.view(np.int64)})
+
+    def spans(row: np.ndarray, t: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        """Consecutive windows of a text as one span."""
+        order = np.lexsort((start, t, row))
+        row, t, start = row[order], t[order], start[order]
+        new = fresh(row, t)
+        new[1:] |= start[1:] > start[:-1] + 1
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(start)) - 1
+        zero = np.zeros(len(begin), dtype=np.int64)
+        columns = {"row": row[begin], "t": t[begin], "start": start[begin], "n": start[end] - start[begin] + 1} if len(begin) else {
+            c: zero for c in ("row", "t", "start", "n")}
+        return found(COPIED, columns | {"ord": zero, "d1": zero, "d2": zero})
 
     return run
 
@@ -178,10 +287,9 @@ def suffix_dedup(
     """``docs`` with n_bytes, n_removed, spans (maximal removed runs of bytes) and kept, the bytes that stay.
 
     A byte is removed if a string of ``width`` bytes that covers it also begins earlier: in a
-    document with a smaller id, or in the same document before. Strings are judged on the input and
-    never cross documents. ``key`` is an integer column; rows that share an id count as one document,
-    in which the smaller start is earlier, and so do rows without an id, which come last. Exact
-    repetitions of such a row do not remove each other. A null text is empty. Columns named like a
+    document with a smaller id, or in the same text before. Strings are judged on the input and
+    never cross documents. ``key`` is an integer column; rows with the same id do not remove from each
+    other, and neither do rows without an id, which come after all others. A null text is empty. Columns named like a
     result column are replaced. ``kept`` is binary, since a string may begin or end inside a character.
     """
     results = ["n_bytes", "n_removed", "spans", "kept"]
@@ -192,27 +300,30 @@ def suffix_dedup(
         F.col(key).alias("id_"), F.col(text).alias("text"), *[F.col(c).alias(clear[c]) for c in others]
     )
     rows = rp.with_rows(source, "id_", "text")
-    marked = rp.repeated_runs(rows, width, gram, False, True).withColumn("place", F.struct("ord", "start"))
-
-    first = marked.groupBy("anchor", "d1", "d2").agg(F.min("place").alias("lo"))
-    several = (
-        first.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("lo").alias("lo"))
-        .where((F.col("kinds") > 1) & F.col("lo").isNotNull()).select("anchor")
+    read = rows.select("row", "t", "ord", "text")
+    runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "digest", "ord", "start")
+    judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint").repartition("row")
+    left = judged.where(F.col("kind") == OPEN).select("row", "t", "start", "n").distinct()
+    opened = rp.attach(read, rp.spans_of(left, "open"), "inner").mapInArrow(
+        bytes_task(width, gram), "anchor bigint, row bigint, t bigint, ord bigint, start int, bytes binary"
+    )
+    windows = opened.repartitionByRange("anchor", "ord", "start").mapInArrow(
+        second_round(width),
+        "kind tinyint, row bigint, t bigint, start bigint, n bigint, ord bigint, d1 bigint, d2 bigint",
+    ).repartition("row")
+    edges = windows.where(F.col("kind") == EDGE)
+    lowest = edges.groupBy("d1", "d2").agg(F.min("ord").alias("lo"))
+    within = edges.groupBy("d1", "d2", "row", "t").agg(F.min("start").alias("from"))
+    across = (
+        edges.join(rp.apart(lowest), ["d1", "d2"]).join(within, ["d1", "d2", "row", "t"])
+        .where("ord > lo or start > from")
     )
-    judged = marked.join(rp.apart(first), ["anchor", "d1", "d2"])
-    copied = judged.where("place > lo").select("row", "t", "start", "n")
-    left = judged.where("place <= lo").join(rp.apart(several), "anchor", "left_semi").select("row", "t", "start", "n")
-    opened = rp.attach(rows.select("row", "t", "ord", "text"), rp.spans_of(left.distinct(), "open"), "inner")
-    cut = opened.mapInArrow(
-        suffixes_task(width), "row bigint, t bigint, ord bigint, start bigint, suffix binary"
+    span = ["row", "t", "start", "n"]
+    removed = rp.spans_of(
+        judged.where(F.col("kind") == COPIED).select(*span)
+        .unionByName(windows.where(F.col("kind") == COPIED).select(*span)).unionByName(across.select(*span)),
+        "removed",
     )
-    buckets = cut.repartitionByRange("suffix", "ord", "start").mapInArrow(bucket_task(width), SORTED)
-    buckets = buckets.repartition("row", "start")
-    # A string that reaches over the end of a bucket: one row per bucket on either side.
-    tails = buckets.where(F.col("kind") == TAIL).groupBy("suffix").agg(F.min(F.struct("ord", "start")).alias("lo"))
-    heads = buckets.where(F.col("kind") == HEAD).join(tails, "suffix").where(F.struct("ord", "start") > F.col("lo"))
-    single = buckets.where(F.col("kind") == REMOVED).select("row", "t", "start").unionByName(heads.select("row", "t", "start"))
-    removed = rp.spans_of(copied.unionByName(single.withColumn("n", F.lit(1).cast("bigint"))), "removed")
     final = rp.attach(rows, removed, "left").drop("row", "none", "ord")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in final.schema.fields if f.name != "removed")
     out = final.mapInArrow(
