@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propensa.llm import textarrays as ta
+from propensa.llm.shield import restored, schema_of, shielded
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -340,11 +341,10 @@ def encode(docs: DataFrame, rank_path: str, text: str = "text", full: bool = Tru
     """
     with open(rank_path, "rb") as file:
         ranks = file.read()
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets"]
-    source = docs.drop(*names)
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    schema = f"{base}, {DIGESTS}" + (", ids array<int>, offsets array<bigint>" if full else "")
-    return source.mapInArrow(coder(ranks, text, full), schema)
+    results = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "offsets"] if full else [])
+    source, names = shielded(docs, "n_tokens", "ids_sha256", "decoded_sha256", "ids", "offsets")
+    schema = f"{schema_of(source)}, {DIGESTS}" + (", ids array<int>, offsets array<bigint>" if full else "")
+    return restored(source.mapInArrow(coder(ranks, names[text], full), schema), names, *results)
 
 
 def decoder(rank_file: bytes, ids: str):
@@ -366,9 +366,9 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:
     """``df`` with the text of each list of ids as ``decoded``; null for a null list."""
     with open(rank_path, "rb") as file:
         ranks = file.read()
-    source = df.drop("decoded")
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    return source.mapInArrow(decoder(ranks, ids), f"{base}, decoded string")
+    source, names = shielded(df, "decoded")
+    out = source.mapInArrow(decoder(ranks, names[ids]), f"{schema_of(source)}, decoded string")
+    return restored(out, names, "decoded")
 
 
 def default_ranks() -> str:

@@ -14,7 +14,7 @@ made of item words and at least as long as the shortest window are streamed; num
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propensa.llm import textarrays as ta
+from propensa.llm.shield import restored, schema_of, shielded
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -212,7 +213,7 @@ SPAN = "array<struct<word: bigint, n_words: bigint, start: bigint, end: bigint>>
 
 def _item_slices(
     benchmark: DataFrame, item: str, text: str
-) -> Iterable[list[tuple[str, str]]]:
+) -> Iterator[list[tuple[str, str]]]:
     """The items, dealt to slices of bounded size in the order of their ids.
 
     The running size that deals them out is kept in Spark; the driver holds one slice at a time
@@ -222,7 +223,7 @@ def _item_slices(
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("t"), words.alias("w"))
     total = items.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()["w"]
     if total <= SLICE_WORDS:
-        return [[(r["item"], r["t"]) for r in items.collect()]]
+        return iter([[(r["item"], r["t"]) for r in items.collect()]])
     n = 2 * (total // SLICE_WORDS + 1)
     dealt = items.withColumn("slice", F.pmod(F.xxhash64("item", "t"), F.lit(n)))
     return ([(r["item"], r["t"]) for r in dealt.where(F.col("slice") == i).collect()] for i in range(n))
@@ -242,32 +243,24 @@ def decontaminate(
     words; an item of no words hits nothing; equal items are both named. Columns of ``docs`` are
     kept; those named like a result column are replaced.
     """
-    result = docs.drop("n_words", "n_hit", "items", "spans")
-    added = [("n_words_", "bigint"), ("n_hit_", "bigint"), ("items_", "array<string>"), ("spans_", SPAN)]
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema.fields)
-    tail = ", ".join(f"{n} {t}" for n, t in added)
-    slices = list(_item_slices(benchmark, item, item_text))
-    out = None
-    for i, rows in enumerate(slices):
+    given, names = shielded(docs, "n_words", "n_hit", "items", "spans")
+    added = f"n_words_ bigint, n_hit_ bigint, items_ array<string>, spans_ {SPAN}"
+    out, slices = given, 0
+    for rows in _item_slices(benchmark, item, item_text):
         rows = [(name if name is not None else "", t) for name, t in rows]
-        source = result if out is None else out
-        schema = f"{base}, {tail}" if out is None else f"{base}, n_hit bigint, items array<string>, spans {SPAN}, {tail}"
-        step = source.mapInArrow(finder(rows, window, text), schema)
-        if out is not None:
+        step = out.mapInArrow(finder(rows, window, names[text]), f"{schema_of(out)}, {added}")
+        if slices:
             step = step.withColumns({
-                "items_": F.array_sort(F.array_union("items", "items_")),
-                "spans_": F.concat("spans", "spans_"),
+                "items_": F.array_sort(F.array_union("items", "items_")), "spans_": F.concat("spans", "spans_"),
             })
-        last = i == len(slices) - 1
-        keep = [F.col(c) for c in result.columns]
         out = step.select(
-            *keep,
-            *([F.col("n_words_").alias("n_words")] if last else []),
-            F.col("n_hit_").alias("n_hit"), F.col("items_").alias("items"), F.col("spans_").alias("spans"),
+            *given.columns, F.col("n_words_").alias("n_words"), F.col("n_hit_").alias("n_hit"),
+            F.col("items_").alias("items"), F.col("spans_").alias("spans"),
         )
-    if len(slices) > 1:
+        slices += 1
+    if slices > 1:
         out = _joined_spans(out)
-    return out
+    return restored(out, names, "n_words", "n_hit", "items", "spans")
 
 
 def _joined_spans(df: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from propensa.llm import repeats as rp
 from propensa.llm import textarrays as ta
 from propensa.llm.components import components
+from propensa.llm.shield import restored, shielded
 from propensa.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -338,8 +339,8 @@ def marked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def classes(docs: DataFrame, key: str, text: str, threshold: float, size: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): rows with row, t, ord, cid and size; sets with cid, rep, root, least, links and n_links."""
-    rows = marked(docs, key, text).select(
-        F.col(text).alias("text"), F.col("t_").alias("t"), F.col("row_").alias("row"), F.col("ord_").alias("ord")
+    rows = marked(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), "id", "text").select(
+        "text", F.col("t_").alias("t"), F.col("row_").alias("row"), F.col("ord_").alias("ord")
     )
     sketches = cut_lineage(
         rows.select("row", "t", "ord", "text").mapInArrow(
@@ -425,6 +426,7 @@ def one_of_each(
 
     Texts without words all stay, but for repetitions of the same row.
     """
+    given, names = shielded(docs)
     ids, sets = classes(docs, key, text, threshold, size, recall)
     place = F.struct("ord", "row", "t")
     chosen = ids.where("size > 0").join(sets.select("cid", "root"), "cid").groupBy("root").agg(F.min(place).alias("p"))
@@ -433,11 +435,11 @@ def one_of_each(
     kept = kept.join(often, ["row", "t"]).select(
         F.col("row").alias("kept_row"), F.col("t").alias("kept_t"), (F.col("times") > 1).alias("repeated_")
     )
-    found = marked(docs, key, text).join(
+    found = marked(given, names[key], names[text]).join(
         kept.hint("shuffle_hash"), (F.col("row_") == F.col("kept_row")) & (F.col("t_") == F.col("kept_t"))
     )
-    single = found.where("not repeated_").select(*docs.columns)
-    return single.unionByName(found.where("repeated_").dropDuplicates(["row_", "t_"]).select(*docs.columns))
+    single = restored(found.where("not repeated_"), names)
+    return single.unionByName(restored(found.where("repeated_").dropDuplicates(["row_", "t_"]), names))
 
 
 def unique_members(task):

@@ -294,10 +294,10 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", carry: lis
         host.alias("host"), F.pmod(code, F.lit(SALTS)).cast("int").alias("salt"), F.col(source).alias("html"),
         *[F.col(c).alias(clear[c]) for c in kept if c != source],
     )
-    # The exemplar of a host: its page with the smallest hash of the source.
-    exemplars = rows.groupBy("host").agg(F.min(F.struct(F.xxhash64(F.coalesce("html", F.lit(""))), "html")).alias("m"))
+    # The exemplar of a host: its page with the smallest hash of the source, of those that have one.
+    exemplars = rows.where(F.length("html") > 0).groupBy("host").agg(F.min(F.struct(F.xxhash64("html"), "html")).alias("m"))
     exemplars = exemplars.select("host", F.col("m.html").alias("model"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.join(exemplars, ["host", "salt"])
+    joined = rows.join(exemplars, ["host", "salt"], "left")
     votes = joined.select("host", "html", "model").mapInArrow(vote_task, "host string, node int, pages bigint, same bigint")
     counted = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     template = counted.where((F.col("pages") >= LEAST_VOTES) & (F.col("same") >= TEMPLATE_SHARE * F.col("pages")))

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from propensa.llm.shield import restored, shielded
+
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -66,7 +68,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text is measured like an empty one. Columns with these names are replaced.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    given, inner = shielded(docs, *names)
+    t = F.coalesce(F.col(inner[text]), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     counted = let(
         words_of(t),
@@ -75,10 +79,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     of_lines = let(
         lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), F.size(F.array_distinct(x)).alias("d"))
     )
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
-    staged = docs.drop(*names).withColumns({"words_": counted, "lines_": of_lines})
-    return staged.select(
-        *docs.drop(*names).columns,
+    staged = given.withColumns({"words_": counted, "lines_": of_lines})
+    return restored(
+        staged,
+        inner,
         F.col("words_.n").alias("n_words"),
         F.length(F.translate(t, BLANKS, "")).cast("bigint").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensa.llm.quality import let, words_of
+from propensa.llm.shield import restored, shielded
 from propensa.session import cut_lineage
 
 #: Labelled findings that a forest is fitted on, at most, and words of its dictionary.
@@ -180,21 +181,23 @@ def redacted(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: st
 
     Rows are matched by id and a hash of the text; other columns stay as they are.
     """
-    row = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    confirmed = (
-        findings.where("is_secret").groupBy(F.col(key).alias("key_"), F.col("row_").alias("of_"))
-        .agg(F.array_sort(F.collect_set("value"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)).alias("secrets_"))
+    longest_first = F.array_sort(
+        F.collect_set("value"),
+        lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0),
     )
-    given = docs.drop("n_secrets")
-    marked = given.withColumn("of_", row).join(
-        confirmed.withColumnRenamed("of_", "found_"),
-        (F.col("of_") == F.col("found_")) & F.col(key).eqNullSafe(F.col("key_")), "left",
+    confirmed = (
+        findings.where("is_secret").groupBy(F.col(key).alias("found_key"), F.col("row_").alias("found_row"))
+        .agg(longest_first.alias("secrets"))
     )
-    clean = F.aggregate("secrets_", F.col(text), lambda t, s: F.replace(t, s, F.lit(MARK)))
-    return marked.select(
-        *[F.when(F.col("secrets_").isNull(), F.col(text)).otherwise(clean).alias(text) if c == text else F.col(c) for c in given.columns],
-        F.coalesce(F.size("secrets_"), F.lit(0)).cast("bigint").alias("n_secrets"),
+    given, names = shielded(docs, "n_secrets")
+    own, body = F.col(names[key]), F.col(names[text])
+    marked = given.withColumn("row", F.xxhash64(F.coalesce(body, F.lit("")))).join(
+        confirmed, (F.col("row") == F.col("found_row")) & own.eqNullSafe(F.col("found_key")), "left"
     )
+    clean = F.aggregate("secrets", body, lambda t, s: F.replace(t, s, F.lit(MARK)))
+    marked = marked.withColumn(names[text], F.when(F.col("secrets").isNull(), body).otherwise(clean))
+    found = F.when(F.col("secrets").isNull(), 0).otherwise(F.size("secrets")).cast("bigint")
+    return restored(marked, names, found.alias("n_secrets"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from propensa.llm import textarrays as ta
+from propensa.llm.shield import restored, schema_of, shielded
 from propensa.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -267,18 +268,19 @@ class Model:
 
     def features(self, docs: DataFrame, text: str) -> DataFrame:
         names = [t for t, _ in self.terms]
-        base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        schema = f"{base}, " + ", ".join(f"{f}_ double" for f in FEATURES)
+        schema = f"{schema_of(docs)}, " + ", ".join(f"{f}_ double" for f in FEATURES)
         return docs.mapInArrow(features_task(names, [w for _, w in self.terms], text), schema)
 
     def score(self, docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-        """``docs`` with score and predicted; columns of these names, or of the features, are replaced."""
-        given = docs.drop("score", "predicted", *(f"{f}_" for f in FEATURES))
+        """``docs`` with score and predicted; columns of these names are replaced."""
+        given, names = shielded(docs, "score", "predicted")
         z = F.lit(self.intercept)
         for name, weight in zip(FEATURES, self.coefficients, strict=True):
             z = z + F.lit(weight) * F.col(f"{name}_")
-        scored = self.features(given, text).withColumn("score", 1 / (1 + F.exp(-z)))
-        return scored.select(*given.columns, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        score = 1 / (1 + F.exp(-z))
+        return restored(
+            self.features(given, names[text]), names, score.alias("score"), (score >= threshold).cast("int").alias("predicted")
+        )
 
 
 def fit(
@@ -288,7 +290,7 @@ def fit(
 
     Two thirds of them give the lexicon, the others the coefficients. Labels other than 0 and 1 are
     passed over; of several labels of one document the largest counts. Without both labels the score
-    is a constant, the smoothed share of label 1.
+    is a constant, the share of label 1 smoothed by one row of which a tenth is toxic.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
@@ -309,7 +311,7 @@ def fit(
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     half = {r["toxic"] for r in measured.groupBy("toxic").count().collect()}
     if len(half) < 2 or not terms:
-        odds = (sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)
+        odds = (sizes.get(1, 0) + 0.1) / (sizes.get(0, 0) + 0.9)
         return Model(terms, math.log(odds), [0.0] * len(FEATURES))
     assembled = VectorAssembler(inputCols=[f"{f}_" for f in FEATURES], outputCol="features").transform(measured)
     fitted = LogisticRegression(labelCol="toxic", regParam=1e-3, maxIter=100).fit(assembled)
