@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from propensa.llm import repeats as rp
@@ -238,7 +238,7 @@ def second_round(width: int):
         zero = np.zeros(len(begin), dtype=np.int64)
         columns = {"row": row[begin], "t": t[begin], "start": start[begin], "n": start[end] - start[begin] + 1} if len(begin) else {
             c: zero for c in ("row", "t", "start", "n")}
-        return found(COPIED, columns | {"ord": zero, "d1": zero, "d2": zero})
+        return found(COPIED, columns | {"ord": zero, "d1": columns["row"], "d2": columns["start"]})
 
     return run
 
@@ -302,7 +302,7 @@ def suffix_dedup(
     rows = rp.with_rows(source, "id_", "text")
     read = rows.select("row", "t", "ord", "text")
     runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "digest", "ord", "start")
-    judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint").repartition("row")
+    judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint")
     left = judged.where(F.col("kind") == OPEN).select("row", "t", "start", "n").distinct()
     opened = rp.attach(read, rp.spans_of(left, "open"), "inner").mapInArrow(
         bytes_task(width, gram), "anchor bigint, row bigint, t bigint, ord bigint, start int, bytes binary"
@@ -310,20 +310,14 @@ def suffix_dedup(
     windows = opened.repartitionByRange("anchor", "ord", "start").mapInArrow(
         second_round(width),
         "kind tinyint, row bigint, t bigint, start bigint, n bigint, ord bigint, d1 bigint, d2 bigint",
-    ).repartition("row")
-    edges = windows.where(F.col("kind") == EDGE)
-    lowest = edges.groupBy("d1", "d2").agg(F.min("ord").alias("lo"))
-    within = edges.groupBy("d1", "d2", "row", "t").agg(F.min("start").alias("from"))
-    across = (
-        edges.join(rp.apart(lowest), ["d1", "d2"]).join(within, ["d1", "d2", "row", "t"])
-        .where("ord > lo or start > from")
     )
+    # The windows at the ends of buckets: a digest has as many rows as buckets have it, at most.
+    same = Window.partitionBy("kind", "d1", "d2")
+    own = Window.partitionBy("kind", "d1", "d2", "row", "t")
+    across = windows.withColumn("lo", F.min("ord").over(same)).withColumn("from", F.min("start").over(own))
+    single = across.where((F.col("kind") == COPIED) | (F.col("ord") > F.col("lo")) | (F.col("start") > F.col("from")))
     span = ["row", "t", "start", "n"]
-    removed = rp.spans_of(
-        judged.where(F.col("kind") == COPIED).select(*span)
-        .unionByName(windows.where(F.col("kind") == COPIED).select(*span)).unionByName(across.select(*span)),
-        "removed",
-    )
+    removed = rp.spans_of(judged.where(F.col("kind") == COPIED).select(*span).unionByName(single.select(*span)), "removed")
     final = rp.attach(rows, removed, "left").drop("row", "none", "ord")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in final.schema.fields if f.name != "removed")
     out = final.mapInArrow(
