@@ -13,14 +13,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     tied = both.where("b > a").join(least.hint("rebalance"), "a")
-    return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Of links that lead down from a vertex, all ends are tied to the smallest one."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least.hint("rebalance"), "a")
+    tied = down.join(least, "a")
     others = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return others.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -45,12 +45,12 @@ PLACES = 64
 PROPOSED = THRESHOLD - 0.2
 #: Estimate from which a set is let go with its pivot.
 NEAR_PIVOT = 0.9
-LIMIT = 32
+LIMIT = 64
 BLOCK = 256
 SEED = 0x5851F42D4C957F2D
 
 
-def runs_for(recall: float, levels: int = 3) -> int:
+def runs_for(recall: float, levels: int = 4) -> int:
     """Runs after which a pair at the threshold has met with that probability, if it takes ``levels`` splits."""
     met = 1.0
     for _ in range(levels):
@@ -133,7 +133,11 @@ def child(path: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def root_task(runs: int, threshold: float):
-    """Task code: the first split of every run."""
+    """Task code: the first two splits of every run.
+
+    After one split a node still holds all sets that share a passage, which are seldom similar; so no
+    node is looked at before the second.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = ta.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(SEED))
@@ -142,7 +146,9 @@ def root_task(runs: int, threshold: float):
             sig, cid = embeddings(rp.field(batch, "sig")), rp.numbers(batch, "cid")
             for r, j in zip(node, place, strict=True):
                 path = child(seeds[r], np.array(j), sig[:, j])
-                yield pa.RecordBatch.from_arrays([rp.signed(path), pa.array(cid)], names=["path", "cid"])
+                row, second = np.nonzero(drawn(path, threshold))
+                below = child(path[row], second, sig[row, second])
+                yield pa.RecordBatch.from_arrays([rp.signed(below), pa.array(cid[row])], names=["path", "cid"])
 
     return run
 
@@ -253,9 +259,8 @@ def proposed(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
         live = cut_lineage(frontier.join(rp.apart(nodes), "path"), "nodes")
         members = live.join(reps.select("cid", "sig"), "cid")
         small = members.where(F.col("n") <= LIMIT).select("path", "cid", "sig")
-        links.append(
-            small.repartition("path").sortWithinPartitions("path", "cid").mapInArrow(small_task, "a bigint, b bigint")
-        )
+        ordered = small.repartition("path").sortWithinPartitions("path", "cid")
+        links.append(cut_lineage(ordered.mapInArrow(small_task, "a bigint, b bigint"), "links"))
         if live.where(F.col("n") > LIMIT).isEmpty():
             break
         pivots = reps.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig"))
