@@ -153,16 +153,18 @@ def runs_task(width: int, gram: int, words: bool):
     return run
 
 
-def own_spans(piece: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, n) of the spans in a column of lists; a span of another text with this row's id is passed over."""
+def own_spans(piece: pa.RecordBatch, name: str, fields: int = 3) -> tuple[np.ndarray, ...]:
+    """(text, start, n, …) of the spans (t, start, n, …) in a column of lists, by text and start.
+
+    A span of another text with this row's id is passed over.
+    """
     spans, of = lists(field(piece, name))
     if not len(spans):
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    t, start, n = (np.asarray(spans.field(i)).astype(np.int64) for i in range(3))
+        return (np.zeros(0, dtype=np.int64),) * fields
+    t, *rest = (np.asarray(spans.field(i)).astype(np.int64) for i in range(fields))
     own = t == numbers(piece, "t")[of]
-    order = np.lexsort((start[own], of[own]))
-    return of[own][order], start[own][order], n[own][order]
+    order = np.lexsort((rest[0][own], of[own]))
+    return of[own][order], *(x[own][order] for x in rest)
 
 
 def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:

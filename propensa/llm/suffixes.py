@@ -8,15 +8,16 @@ token, in two rounds:
 1. Runs are range-partitioned by (anchor, digest of the whole run, document, start), with splitters
    that Spark draws from a sample. In a bucket, a run equal to an earlier one consists of windows
    that occur earlier. Of the others, those go on whose anchor also begins a different run.
-2. These runs are range-partitioned by (anchor, document, start), with their bytes. A bucket sorts
-   all windows of its runs by multikey quicksort over symbols of eight bytes: windows are split by one
+2. These runs are range-partitioned by (anchor, salt), with their bytes; only an anchor with more than
+   ``ANCHOR_RUNS`` of them has several salts. A bucket sorts all windows of its runs by multikey quicksort over symbols of eight bytes: windows are split by one
    symbol, and only those still equal go on to the next. Equal windows then stand together, the
    earliest first, and the others are removed.
 
-Document and start in the key spread a string that occurs very often over many buckets, so the same
-window may be met in several. In round 1 the runs at both ends of a bucket go on whatever they are. In
-round 2 each bucket also reports the different windows of its first and last anchor; these are
-compared across the boundaries by digest, with sums before the shuffle.
+Document and start in the first key, and the salt in the second, spread a string that occurs very
+often over many buckets, so the same window may be met in several. In round 1 the runs at both
+ends of a bucket go on whatever they are. In round 2 a bucket also reports the different windows of
+anchors with several salts; these are compared across the boundaries by digest, and have as many
+rows for a digest as buckets hold it.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ GRAM = 16
 SPAN = "array<struct<start: bigint, end: bigint>>"
 RUNS = "anchor bigint, digest int, row bigint, t bigint, ord bigint, start int, n int"
 COPIED, OPEN, EDGE = 0, 1, 2
+#: Runs of an anchor that go on, from which they are spread over several buckets.
+ANCHOR_RUNS = 16_384
 #: Windows that are sorted at once, where one anchor does not have more in its bucket.
 WINDOWS_AT_ONCE = 1 << 21
 
@@ -120,17 +123,17 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(which)
         for low in range(0, len(at), rp.CHUNK):
             i = at[low : low + rp.CHUNK]
-            yield found(kind, {"row": row[i], "t": t[i], "start": start[i], "n": n[i]})
+            yield found(kind, {"row": row[i], "t": t[i], "start": start[i], "n": n[i], "anchor": anchor[i]})
 
 
 def bytes_task(width: int, gram: int):
-    """Task code: anchor and bytes of the runs in ``open``."""
+    """Task code: anchor, salt and bytes of the runs in ``open``, and whether the anchor has several salts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in ta.pieces(batch, "text"):
                 units = rp.Units(*ta.flat(rp.field(piece, "text")), False)
-                text, start, n = rp.own_spans(piece, "open")
+                text, start, n, salts = rp.own_spans(piece, "open", 4)
                 begin = units.first[text] + start
                 _, every, _, anchor = rp.runs(units, width, gram)
                 at = np.searchsorted(every, begin)
@@ -145,8 +148,10 @@ def bytes_task(width: int, gram: int):
                         rp.signed(anchor[at]),
                         *(pa.array(rp.numbers(piece, c)[text], pa.int64()) for c in ("row", "t", "ord")),
                         pa.array(start.astype(np.int32)), cut,
+                        pa.array((ta.mix(start.astype(np.uint64) + rp.numbers(piece, "t")[text].astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)),
+                        pa.array(salts > 1),
                     ],
-                    names=["anchor", "row", "t", "ord", "start", "bytes"],
+                    names=["anchor", "row", "t", "ord", "start", "bytes", "salt", "spread"],
                 )
 
     return run
@@ -189,7 +194,6 @@ def second_round(width: int):
             return
         whole = whole.take(pa.array(np.argsort(whole.column("anchor").to_numpy(), kind="stable")))
         anchor = whole.column("anchor").to_numpy()
-        ends = anchor[[0, -1]]
         size = np.array([len(x) for x in whole.column("bytes").to_pylist()], dtype=np.int64) - (width - 1)
         total = np.concatenate([[0], np.cumsum(size)])
         begins = np.append(np.flatnonzero(fresh(anchor)), len(anchor))
@@ -197,10 +201,10 @@ def second_round(width: int):
         while low < len(begins) - 1:
             goal = total[begins[low]] + WINDOWS_AT_ONCE
             high = max(low + 1, int(np.searchsorted(total[begins], goal, side="right")) - 1)
-            yield from sort(whole.slice(begins[low], begins[high] - begins[low]), ends)
+            yield from sort(whole.slice(begins[low], begins[high] - begins[low]))
             low = high
 
-    def sort(part: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def sort(part: pa.Table) -> Iterator[pa.RecordBatch]:
         joined = part.column("bytes").to_pylist()
         body = np.frombuffer(b"".join(joined) + b"\0" * 8, dtype=np.uint8)
         size = np.array([len(x) for x in joined], dtype=np.int64)
@@ -217,7 +221,7 @@ def second_round(width: int):
         new = fresh(group)
         again = later(new, row[r], t[r], own[r], first)
         yield spans(row[r[again]], t[r[again]], first[again])
-        edge = np.flatnonzero(~again & np.isin(anchor[r], ends))
+        edge = np.flatnonzero(~again & part.column("spread").to_numpy()[r])
         if len(edge):
             place = np.sort(at[order[edge]])
             turn = np.argsort(at[order[edge]], kind="stable")
@@ -302,16 +306,21 @@ def suffix_dedup(
     rows = rp.with_rows(source, "id_", "text")
     read = rows.select("row", "t", "ord", "text")
     runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "digest", "ord", "start")
-    judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint")
-    left = judged.where(F.col("kind") == OPEN).select("row", "t", "start", "n").distinct()
-    opened = rp.attach(read, rp.spans_of(left, "open"), "inner").mapInArrow(
-        bytes_task(width, gram), "anchor bigint, row bigint, t bigint, ord bigint, start int, bytes binary"
+    judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint, anchor bigint")
+    left = judged.where(F.col("kind") == OPEN).select("anchor", "row", "t", "start", "n").distinct()
+    many = left.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > ANCHOR_RUNS)
+    salts = F.coalesce(F.ceil(F.col("runs") / ANCHOR_RUNS), F.lit(1)).cast("bigint")
+    left = left.join(rp.apart(many), "anchor", "left")
+    spans = left.groupBy("row").agg(F.collect_list(F.struct("t", "start", "n", salts.alias("salts"))).alias("open"))
+    opened = rp.attach(read, spans, "inner").mapInArrow(
+        bytes_task(width, gram),
+        "anchor bigint, row bigint, t bigint, ord bigint, start int, bytes binary, salt int, spread boolean",
     )
-    windows = opened.repartitionByRange("anchor", "ord", "start").mapInArrow(
+    windows = opened.repartitionByRange("anchor", "salt").mapInArrow(
         second_round(width),
         "kind tinyint, row bigint, t bigint, start bigint, n bigint, ord bigint, d1 bigint, d2 bigint",
     )
-    # The windows at the ends of buckets: a digest has as many rows as buckets have it, at most.
+    # Windows of anchors that are spread: a digest has as many rows as buckets have it, at most.
     same = Window.partitionBy("kind", "d1", "d2")
     own = Window.partitionBy("kind", "d1", "d2", "row", "t")
     across = windows.withColumn("lo", F.min("ord").over(same)).withColumn("from", F.min("start").over(own))
