@@ -121,7 +121,7 @@ def propensity(pitch_limit: float = 7, base: float = 0.05) -> Column:
 
 def drawn_label(score: Column, key: str = "CustomerID", salt: str = "label") -> Column:
     """Bernoulli label drawn from the score with the row's own uniform number."""
-    return (uniform(key, salt) < score).cast("int")
+    return (uniform(key, salt, digits=4) < score).cast("int")
 
 
 def key_factor_rules(pitch_limit: float = 8) -> list[tuple[str, str, Column]]:

@@ -17,10 +17,10 @@ def digest(key: str | Column, salt: str | Column, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", key.cast("string"), salt, F.lit(str(seed))))
 
 
-def uniform(key: str | Column, salt: str | Column, seed: int = SEED) -> Column:
-    """Repeatable uniform number in [0, 1) with 65,536 steps."""
-    head = F.substring(digest(key, salt, seed), 1, 4)
-    return F.conv(head, 16, 10).cast("double") / F.lit(65536.0)
+def uniform(key: str | Column, salt: str | Column, seed: int = SEED, digits: int = 13) -> Column:
+    """Repeatable uniform number in [0, 1) with 16^digits steps; 13 digits are what a double holds."""
+    head = F.substring(digest(key, salt, seed), 1, digits)
+    return F.conv(head, 16, 10).cast("double") / F.lit(float(16**digits))
 
 
 def uniforms(key: str, salts: dict[str, str], seed: int = SEED) -> list[Column]:

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propensa.functions.columns import RECODES, age_group, income_per_trip, recode, total_visiting
 from propensa.functions.hashing import SEED, digest
@@ -28,10 +29,16 @@ NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def columns_by_type(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
-    """Numeric and text columns in schema order; reads the schema only."""
+    """Numeric and text columns in schema order; reads the schema only.
+
+    A column of any other type is an error: name it in ``exclude`` or derive a number or text from it.
+    """
     kinds = [(c, t) for c, t in df.dtypes if c not in exclude]
     numeric = [c for c, t in kinds if t in NUMERIC_TYPES or t.startswith("decimal")]
     text = [c for c, t in kinds if t in ("string", "boolean")]
+    rest = [f"{c} ({t})" for c, t in kinds if c not in numeric and c not in text]
+    if rest:
+        raise ValueError(f"neither number nor text: {', '.join(rest)}")
     return numeric, text
 
 
@@ -87,7 +94,7 @@ def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     types = dict(df.dtypes)
 
     def entry(c: str) -> Column:
-        is_text = types[c] == "string"
+        is_text = types[c] in ("string", "boolean")
         return F.struct(
             F.lit(c).alias("column"),
             (F.lit(None) if is_text else F.col(c)).cast("double").alias("number"),
@@ -138,7 +145,7 @@ def impute(
     types = dict(df.dtypes)
     return df.withColumns(
         {
-            c: F.coalesce(F.col(c), F.lit(v).cast(types[c] if types[c] == "string" else "double"))
+            c: F.coalesce(F.col(c), F.lit(v).cast(types[c] if types[c] in ("string", "boolean") else "double"))
             for c, v in fills.items()
             if c in types
         }
@@ -176,22 +183,40 @@ def variant(df: DataFrame) -> DataFrame:
     ).withColumns({c: F.col(c).cast("int") for c in whole})
 
 
-def align_columns(df: DataFrame, template: Sequence[str]) -> DataFrame:
-    """Exactly the template's columns in its order; missing ones are filled with 0."""
+def align_columns(df: DataFrame, template: Sequence[str] | T.StructType) -> DataFrame:
+    """Exactly the template's columns in its order; missing ones are filled with 0.
+
+    With a schema as template every column also has its type there; for text the 0 is the text '0',
+    a category that no row was trained on.
+    """
     present = set(df.columns)
-    return df.select(*[F.col(c) if c in present else F.lit(0).alias(c) for c in template])
+    if not isinstance(template, T.StructType):
+        return df.select(*[F.col(c) if c in present else F.lit(0).alias(c) for c in template])
+    return df.select(
+        *[
+            (F.col(f.name) if f.name in present else F.lit("0")).cast(f.dataType).alias(f.name)
+            for f in template
+        ]
+    )
 
 
-def drop_duplicates(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """Keep the row with the smallest key of every set of rows equal in ``columns``.
+def drop_duplicates(
+    df: DataFrame, columns: Sequence[str] | None = None, key: str | None = None
+) -> DataFrame:
+    """One row of every set of rows equal in ``columns`` (all columns by default; nulls are equal).
 
-    Only the key and digests of long texts are shuffled to find the rows to keep.
+    With a key it is the row with the smallest key, a missing key counting as larger than all; rows
+    that tie in the key, too, are told apart by their other columns, so the choice is repeatable.
     """
-    narrow = df.select(key, *[_comparable(df, c) for c in columns])
-    kept = narrow.groupBy(*columns).agg(F.min(key).alias("_kept")).select(
-        F.col("_kept").alias(key)
-    )
-    return df.join(kept, key, "left_semi")
+    columns = list(columns or df.columns)
+    if key is None and set(columns) == set(df.columns):
+        return df.dropDuplicates()
+    others = [c for c in df.columns if c != key]
+    order = [F.col(key).isNull().alias("_none"), F.col(key)] if key else []
+    first = F.min(F.struct(*order, *[F.col(c) for c in others])).alias("_first")
+    marked = df.withColumns({f"_same_{i}": _comparable(df, c) for i, c in enumerate(columns)})
+    grouped = marked.groupBy(*[f"_same_{i}" for i in range(len(columns))]).agg(first)
+    return grouped.select(*[F.col("_first")[c].alias(c) for c in df.columns])
 
 
 def duplicate_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -237,9 +262,13 @@ def compare_snapshots(
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "CustomerID", seed: int = 1) -> DataFrame:
-    """Exactly n rows without replacement; the same seed gives the same rows."""
-    ordered = df.withColumn("_order", digest(key, "sample", seed))
-    return ordered.orderBy("_order").limit(n).drop("_order")
+    """Exactly n rows without replacement; the same seed gives the same rows.
+
+    The digest of the n-th row is found first; the choice is then a filter and gathers nothing.
+    """
+    order = digest(key, "sample", seed)
+    cut = hash_cutoffs(df, order, [F.least(F.lit(n), F.col("n_all"))]).get("", [""])[0]
+    return df.where(order <= cut)
 
 
 def sample_share(df: DataFrame, share: float, key: str = "CustomerID", seed: int = 1) -> DataFrame:

@@ -8,27 +8,24 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensa.functions.hashing import SEED, digest
 from propensa.operators.clean import columns_by_type, medians
 from propensa.operators.explore import value_counts_of
-from propensa.operators.ordered import MAX_GROUPS, hash_cutoffs
+from propensa.operators.ordered import cutoff_table, hash_cutoffs
 
-# One column is made per category; more than this is no longer a feature matrix.
-MAX_CATEGORIES = 10_000
 
+def _with_cutoffs(df: DataFrame, group: Column, order: Column, quotas: Sequence[Column]) -> DataFrame:
+    """``df`` with the cutoffs of each row's group as ``_cuts``; a null group is a group too.
 
-def _by_cutoff(cutoffs: dict, group: Column | None, value) -> Column:
-    """Apply ``value(list of cutoffs)`` of the row's group."""
-    if group is None:
-        return value(cutoffs.get("", [""]))
-    out = F
-    for key, cuts in cutoffs.items():
-        out = out.when(group == key, value(cuts))
-    return out
+    The cutoffs have one row per group; Spark's own estimate decides whether they are broadcast.
+    """
+    table = cutoff_table(df.select(group.alias("_by"), order.alias("_digest")), F.col("_digest"), quotas, F.col("_by"))
+    cuts = table.select(F.col("by").alias("_by"), F.col("cuts").alias("_cuts"))
+    return df.join(cuts, group.eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def split(
@@ -41,14 +38,17 @@ def split(
 ) -> DataFrame:
     """Add ``split`` = 'test' for exactly ⌈test·n⌉ rows (per class when stratified), else 'train'.
 
-    The choice is a comparison with one digest per class: rows stay where they are, and the
-    train rows are the complement of the test rows without any set difference.
+    The choice is a comparison with one digest per class: the train rows are the complement of
+    the test rows without any set difference. Rows without a label are a class of their own.
     """
     order = digest(key, "split", seed)
-    group = F.col(label) if stratify else None
-    cutoffs = hash_cutoffs(df, order, [F.ceil(F.lit(test) * F.col("n_all"))], group)
-    is_test = _by_cutoff(cutoffs, group, lambda cuts: order <= cuts[0])
-    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
+    quota = F.ceil(F.lit(test) * F.col("n_all"))
+    if stratify:
+        out = _with_cutoffs(df, F.col(label), order, [quota])
+        is_test = order <= F.col("_cuts")[0]
+    else:
+        out, is_test = df, order <= hash_cutoffs(df, order, [quota]).get("", [""])[0]
+    return out.withColumn("split", F.when(is_test, "test").otherwise("train")).drop("_cuts")
 
 
 def split_by_share(
@@ -63,31 +63,21 @@ def split_by_share(
 def folds(
     df: DataFrame, key: str = "CustomerID", label: str = "ProdTaken", k: int = 5, seed: int = SEED
 ) -> DataFrame:
-    """Add ``fold`` 0…k-1; within each class the fold sizes differ by at most one."""
+    """Add ``fold`` 0…k-1; within each class the fold sizes differ by at most one.
+
+    Rows without a label are dealt out like a class of their own.
+    """
     order = digest(key, "fold", seed)
     quotas = [F.floor(F.col("n_all") * j / k) for j in range(1, k)]
-    cutoffs = hash_cutoffs(df, order, quotas, F.col(label))
-
-    def count_passed(cuts: list[str]) -> Column:
-        out = F.lit(0)
-        for cut in cuts:
-            out = out + (order > cut).cast("int")
-        return out
-
-    return df.withColumn("fold", _by_cutoff(cutoffs, F.col(label), count_passed))
+    if not quotas:
+        return df.withColumn("fold", F.lit(0))
+    dealt = _with_cutoffs(df, F.col(label), order, quotas)
+    return dealt.withColumn("fold", F.size(F.filter("_cuts", lambda cut: order > cut))).drop("_cuts")
 
 
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class; a label has few values, more than the limit is an error."""
-    rows = (
-        df.where(F.col(label).isNotNull())
-        .groupBy(label)
-        .agg(F.count("*").alias("n"))
-        .limit(MAX_GROUPS + 1)
-        .collect()
-    )
-    if len(rows) > MAX_GROUPS:
-        raise ValueError(f"{label} has more than {MAX_GROUPS} values; it is not a class label")
+    """Rows per class of a label; one row per class reaches the driver."""
+    rows = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()
     return {r[label]: r["n"] for r in sorted(rows, key=lambda r: r[label])}
 
 
@@ -122,9 +112,7 @@ def _category_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, dict[st
     """Rows per category of each text column."""
     if not columns:
         return {}
-    found = value_counts_of(df, columns).limit(MAX_CATEGORIES + 1).collect()
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"more than {MAX_CATEGORIES} categories to encode")
+    found = value_counts_of(df, columns).collect()
     out: dict[str, dict[str, int]] = {c: {} for c in columns}
     for r in found:
         out[r["column"]][r["value"]] = r["n"]
@@ -208,18 +196,23 @@ class Preprocessor:
             value = f"coalesce({value}, {_number(self.fills[c])})"
         return f"({value} - {_number(self.means[c])}) / {_number(self.stds[c])}"
 
-    def _encoded(self, c: str) -> list[tuple[str, str]]:
-        value = f"`{c}`"
+    def _category(self, c: str) -> str:
+        """The category of a row as text, filled where it is missing."""
+        value = f"CAST(`{c}` AS STRING)"
         if c in self.fills:
-            value = f"coalesce({value}, {_text(self.fills[c])})"
+            value = f"coalesce({value}, {_text(str(self.fills[c]))})"
         known = self.categories[c]
         if self.unknown == "error" and known:
             listed = ", ".join(_text(v) for v in known)
             problem = f"raise_error(concat('unknown category in {c}: ', `{c}`))"
             value = f"CASE WHEN `{c}` IS NULL OR `{c}` IN ({listed}) THEN {value} ELSE {problem} END"
+        return value
+
+    def _encoded(self, c: str) -> list[tuple[str, str]]:
+        value = self._category(c)
         return [
             (f"{c}_{v}", f"CAST(coalesce({value} = {_text(v)}, false) AS DOUBLE)")
-            for v in known[1:]
+            for v in self.categories[c][1:]
         ]
 
     def expressions(self) -> list[tuple[str, str]]:
@@ -229,20 +222,38 @@ class Preprocessor:
         return encoded + scaled if self.onehot_first else scaled + encoded
 
     def feature_names(self) -> list[str]:
-        return [n for n, _ in self.expressions()]
+        numbers = [f"num_{c}" for c in self.numeric]
+        encoded = [f"{c}_{v}" for c in self.text for v in self.categories[c][1:]]
+        return encoded + numbers if self.onehot_first else numbers + encoded
 
     def apply(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Kept columns and one double column per feature."""
         return df.select(*keep, *[F.expr(x).alias(n) for n, x in self.expressions()])
 
     def stages(self, output: str = "features") -> list:
-        """The same as saved-pipeline stages, ending in one vector column."""
-        listed = ", ".join(f"{x} AS `{n}`" for n, x in self.expressions())
-        names = self.feature_names()
-        return [
-            SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__"),
-            VectorAssembler(inputCols=names, outputCol=output),
-        ]
+        """The same as saved-pipeline stages, ending in one vector column.
+
+        Categories are looked up in an index and encoded as sparse vectors, so a column may have any
+        number of them. The first category is left out of the index and so becomes, like an unknown
+        one, the last place of the encoder, which is dropped.
+        """
+        wide = [c for c in self.text if len(self.categories[c]) > 1]
+        scaled = [(f"num_{c}", self._scaled(c)) for c in self.numeric]
+        picked = [(f"_cat_{c}", self._category(c)) for c in self.text]
+        listed = ", ".join(f"{x} AS `{n}`" for n, x in scaled + picked)
+        out: list = [SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__")] if listed else []
+        numbers, encoded = [n for n, _ in scaled], [f"_hot_{c}" for c in wide]
+        if wide:
+            index = PipelineModel([
+                StringIndexerModel.from_labels(self.categories[c][1:], f"_cat_{c}", f"_at_{c}", handleInvalid="keep")
+                for c in wide
+            ])
+            empty = SparkSession.active().createDataFrame([], ", ".join(f"`_cat_{c}` string" for c in wide))
+            # The sizes come from the index, no row is read.
+            hot = OneHotEncoder(inputCols=[f"_at_{c}" for c in wide], outputCols=encoded, dropLast=True)
+            out += [*index.stages, hot.fit(index.transform(empty))]
+        inputs = encoded + numbers if self.onehot_first else numbers + encoded
+        return [*out, VectorAssembler(inputCols=inputs, outputCol=output)]
 
     def matrix(self, df: DataFrame, keep: Sequence[str], output: str = "features") -> DataFrame:
         """Kept columns and the feature vector."""

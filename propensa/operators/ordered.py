@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 # A digest slice is its first four hex digits: at most 65,536 slices.
 SLICE_DIGITS = 4
 # Upper bound of the (group, quota) pairs whose cutoffs become literals of a plan.
-MAX_GROUPS = 200
 
 
 def _slice_of(value: Column, bounds: Column, slices: int) -> Column:
@@ -140,19 +139,20 @@ def quantiles_of_frequencies(
     return ranked.groupBy(*by, "column").agg(F.max("n_all").alias("n"), *out)
 
 
-def hash_cutoffs(
+def cutoff_table(
     df: DataFrame, digest: Column, quotas: Sequence[Column], by: Column | None = None
-) -> dict:
-    """For every group the digest of its q-th smallest row, for each quota q.
+) -> DataFrame:
+    """(by, cuts): for every group the digest of its q-th smallest row, for each quota q.
 
     ``quotas`` are expressions over ``n_all`` (rows of the group) and ``by``. Rows with a digest
-    up to the cutoff are exactly the q first in hash order, so the choice becomes a projection
-    and wide rows are never sorted or moved. A quota of zero has the cutoff ``""``.
+    up to the cutoff are exactly the q first in hash order, so wide rows are never sorted. A quota
+    of zero has the cutoff ``""``. Rows whose group is null are a group of their own. The table has
+    one row per group and stays in Spark, so there may be any number of groups.
     """
     group = F.lit("") if by is None else by
     narrow = df.select(
         group.alias("by"), digest.alias("digest"), F.substring(digest, 1, SLICE_DIGITS).alias("slice")
-    ).dropna(subset=["by"])
+    )
     per_slice = narrow.groupBy("by", "slice").agg(F.count("*").alias("n"))
     whole = Window.partitionBy("by")
     earlier = whole.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -162,41 +162,27 @@ def hash_cutoffs(
         .select("*", F.posexplode(F.array(*[q.cast("long") for q in quotas])).alias("j", "quota"))
     )
     # One row per (group, quota): the slice in which the quota is reached.
-    hits = (
-        located.where(
-            ((F.col("quota") > F.col("before")) & (F.col("quota") <= F.col("before") + F.col("n")))
-            | ((F.col("quota") <= 0) & (F.col("before") == 0))
-        )
-        .select("by", "slice", "j", "quota", (F.col("quota") - F.col("before")).alias("rank"))
-        .limit(MAX_GROUPS + 1)
-        .collect()
+    reached = (F.col("quota") > F.col("before")) & (F.col("quota") <= F.col("before") + F.col("n"))
+    hits = located.where(reached).select(
+        F.col("by").alias("hit_by"), F.col("slice").alias("hit_slice"), "j",
+        (F.col("quota") - F.col("before")).alias("wanted"),
     )
-    if len(hits) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups; cutoffs are meant for classes or columns")
-    cutoffs = {h["by"]: [""] * len(quotas) for h in hits}
-    wanted = [h for h in hits if h["quota"] > 0]
-    if not wanted:
-        return cutoffs
-    slices = {(h["by"], h["slice"]) for h in wanted}
-    ranks = sorted({h["rank"] for h in wanted})
-    ranked = narrow.where(_any_pair(slices)).withColumn(
+    nothing = located.where((F.col("quota") <= 0) & (F.col("before") == 0)).select("by", "j", F.lit("").alias("cut"))
+    # Only the slices that hold a cutoff are ranked.
+    slices = hits.select("hit_by", "hit_slice").distinct()
+    inside = F.col("by").eqNullSafe(F.col("hit_by")) & (F.col("slice") == F.col("hit_slice"))
+    ranked = narrow.join(slices, inside, "left_semi").withColumn(
         "rank", F.row_number().over(Window.partitionBy("by", "slice").orderBy("digest"))
     )
-    at = {
-        (r["by"], r["slice"], r["rank"]): r["digest"]
-        for r in ranked.where(F.col("rank").isin(ranks)).collect()
-    }
-    for h in wanted:
-        cutoffs[h["by"]][h["j"]] = at[(h["by"], h["slice"], h["rank"])]
-    return cutoffs
-
-
-def _any_pair(pairs) -> Column:
-    """Condition that (by, slice) is one of the given pairs."""
-    by_group: dict = {}
-    for group, piece in pairs:
-        by_group.setdefault(group, []).append(piece)
-    out = F.lit(False)
-    for group, pieces in by_group.items():
-        out = out | ((F.col("by") == F.lit(group)) & F.col("slice").isin(pieces))
-    return out
+    found = ranked.join(hits, inside & (F.col("rank") == F.col("wanted"))).select(
+        "by", "j", F.col("digest").alias("cut")
+    )
+    cuts = F.transform(F.sort_array(F.collect_list(F.struct("j", "cut"))), lambda e: e["cut"])
+    return found.unionByName(nothing).groupBy("by").agg(cuts.alias("cuts"))
+
+
+def hash_cutoffs(
+    df: DataFrame, digest: Column, quotas: Sequence[Column], by: Column | None = None
+) -> dict:
+    """The rows of :func:`cutoff_table` by group, for groups that the caller has named, such as columns."""
+    return {r["by"]: list(r["cuts"]) for r in cutoff_table(df, digest, quotas, by).collect()}

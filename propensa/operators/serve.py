@@ -9,6 +9,7 @@ from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propensa.functions.columns import apply_threshold, key_factors, risk_band
 from propensa.operators.clean import align_columns, derive
@@ -16,7 +17,7 @@ from propensa.operators.features import Preprocessor
 from propensa.sources.schemas import CUSTOMER, LABEL
 
 # Raw columns a new customer is described by.
-TEMPLATE = [c for c in CUSTOMER.fieldNames() if c != LABEL]
+TEMPLATE = T.StructType([f for f in CUSTOMER if f.name != LABEL])
 
 
 @dataclass
@@ -47,10 +48,11 @@ def score(
 ) -> DataFrame:
     """Kept columns, probability, decision, verdict and band of every customer in ``df``.
 
-    Columns the customer table lacks are filled with 0. Works on streams as on tables.
+    Columns the customer table lacks are filled with 0, texts with an unknown category. Works on
+    streams as on tables.
     """
-    extra = [c for c in keep if c not in TEMPLATE]
-    complete = align_columns(df, [*TEMPLATE, *extra])
+    extra = [df.schema[c] for c in keep if c not in TEMPLATE.fieldNames()]
+    complete = align_columns(df, T.StructType([*TEMPLATE, *extra]))
     out = b.pipeline.transform(derive(complete))
     if "score" not in out.columns:
         out = out.withColumn("score", vector_to_array("probability")[1])

@@ -47,10 +47,12 @@ def estimator(name: str, label: str, n_rows: int | None = None, weight: str | No
             settings["regParam"] = 1.0 / (strength * n_rows)
         return LogisticRegression(**common, **(settings | params))
     if name == "decision_tree":
-        settings = {"impurity": "gini", "maxDepth": 8, "seed": seed}
+        settings = {"impurity": "gini", "maxDepth": DEEPEST, "seed": seed}
         return DecisionTreeClassifier(**common, **(settings | params))
     if name == "random_forest":
-        settings = {"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "sqrt", "seed": seed}
+        settings = {
+            "numTrees": 100, "maxDepth": DEEPEST, "featureSubsetStrategy": "sqrt", "seed": seed
+        }
         return RandomForestClassifier(**common, **(settings | params))
     if name == "gradient_boosting":
         settings = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": seed}
@@ -77,21 +79,29 @@ def fit(name: str, train: DataFrame, label: str = "ProdTaken", weight: str | Non
     """Train one classifier on a table with a feature vector, a label and maybe a weight."""
     train = _two_classes(train, label)
     if name == "adaboost":
-        return adaboost(train, label, seed=seed, **params)
-    n_rows = train.count() if name == "logistic_regression" else None
+        return adaboost(train, label, weight, seed=seed, **params)
+    n_rows = _mass(train, weight) if name == "logistic_regression" else None
     return estimator(name, label, n_rows, weight, seed, **params).fit(train)
 
 
-def adaboost(train: DataFrame, label: str = "ProdTaken", n: int = 50, rate: float = 1.0,
-             seed: int = SEED) -> PipelineModel:
+def _mass(df: DataFrame, weight: str | None) -> float:
+    """Rows, or the sum of their weights."""
+    total = F.count("*") if weight is None else F.sum(weight)
+    return float(df.agg(F.coalesce(total, F.lit(0)).alias("n")).first()["n"])
+
+
+def adaboost(train: DataFrame, label: str = "ProdTaken", weight: str | None = None, n: int = 50,
+             rate: float = 1.0, seed: int = SEED) -> PipelineModel:
     """Boosted decision stumps with discrete weight updates (SAMME, two classes).
 
-    A round trains one stump on the weighted rows, weighs it by its error and raises the weight
-    of the rows it got wrong. It stops early when a stump is perfect or no better than chance.
+    The first weights are those of the ``weight`` column, or equal. A round trains one stump on the
+    weighted rows, weighs it by its error and raises the weight of the rows it got wrong. It stops early when a stump is perfect or no better than chance.
     The result is a pipeline of stumps and one SQL stage that adds up their votes.
     """
-    rows = _two_classes(train.select(FEATURES, label, F.lit(1.0).alias("w")), label)
-    total = float(rows.count())
+    total = float(train.count())
+    mass = _mass(train, weight)
+    start = F.lit(1.0) if weight is None else F.col(weight) * F.lit(total / mass if mass else 1.0)
+    rows = _two_classes(train.select(FEATURES, label, start.alias("w")), label)
     stumps, alphas = [], []
     for i in range(n):
         vote = f"stump_{i}"
@@ -187,21 +197,30 @@ def compare(
     test: DataFrame,
     line_up: Mapping[str, Mapping] = LINE_UP,
     label: str = "ProdTaken",
-    weight: str | None = None,
+    weight: str | Mapping[str, str | None] | None = None,
     on_train: bool = False,
     parallelism: int = 4,
     seed: int = SEED,
 ) -> tuple[DataFrame, dict[str, Model]]:
     """One metrics row per model, best AUC first, and the trained models.
 
-    The fits are independent jobs, ``parallelism`` of them at a time. All models are scored into one table and evaluated together. With ``on_train`` every model
-    also gets a row for the train rows (column ``split``), to show over-fitting.
+    ``weight`` is one column for all models, or the column of each by name (none where it is not
+    named). The fits are independent jobs, ``parallelism`` of them at a time. All models are scored into
+    one table and evaluated together. With ``on_train`` every model also gets a row for the train rows
+    (column ``split``), to show over-fitting. Tables that the caller has cached stay cached.
     """
-    train = train.persist()
+    given, held = (train, test), []
+    for df in given:
+        if not (df.storageLevel.useMemory or df.storageLevel.useDisk):
+            held.append(df.persist())
     train.count()
+
+    def weight_of(name: str) -> str | None:
+        return weight.get(name) if isinstance(weight, Mapping) else weight
+
     with ThreadPoolExecutor(parallelism) as jobs:
         fits = {
-            n: jobs.submit(fit, n, train, label, weight, seed, **dict(p))
+            n: jobs.submit(fit, n, train, label, weight_of(n), seed, **dict(p))
             for n, p in line_up.items()
         }
         models = {n: f.result() for n, f in fits.items()}
@@ -214,7 +233,8 @@ def compare(
             )
             scored = one if scored is None else scored.unionByName(one)
     stored = cut_lineage(scored, "scored")
-    train.unpersist()
+    for df in held:
+        df.unpersist()
     table = metrics_of(stored, label, ["model", "split"]).orderBy("split", F.desc("roc_auc"))
     return table, models
 
@@ -283,6 +303,10 @@ def random_search(
     rows are made inside each training part, so none of them reaches the rows it is scored on.
     """
     settings = draw_settings(grid, n_iter, seed)
+    if balance and weight:
+        raise ValueError("rows are balanced by weights or by synthetic rows, not by both")
+    if name == "adaboost":
+        raise ValueError("adaboost has no settings that Spark's search can vary")
     with_fold = _two_classes(folds(train, key, label, k, seed), label).persist()
     if metric == "roc_auc":
         judge = BinaryClassificationEvaluator(
@@ -292,8 +316,15 @@ def random_search(
         judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     else:
         raise ValueError("metric must be 'roc_auc' or 'accuracy'")
-    base = estimator(name, label, with_fold.count(), weight, seed)
-    maps = [{base.getParam(p): v for p, v in s.items()} for s in settings]
+    # The strength C of a regression stands for a penalty relative to the rows of a training part.
+    mass = _mass(with_fold, weight) * (k - 1) / k
+    base = estimator(name, label, mass, weight, seed)
+
+    def params(setting: Mapping) -> dict:
+        named = {("regParam" if p == "C" else p): 1.0 / (v * mass) if p == "C" else v for p, v in setting.items()}
+        return {base.getParam(p): v for p, v in named.items()}
+
+    maps = [params(s) for s in settings]
     if not balance:
         search = CrossValidator(
             estimator=base, estimatorParamMaps=maps, evaluator=judge, numFolds=k,

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from propensa.functions.columns import propensity
 from propensa.functions.hashing import uniforms
@@ -14,8 +15,21 @@ from propensa.sources.schemas import CUSTOMER, TABLES
 
 
 def read_customers(spark: SparkSession, path: str, schema=CUSTOMER) -> DataFrame:
-    """Customer CSV with a header line, typed by a declared schema; empty cells and NaN are null."""
-    rows = spark.read.schema(schema).option("header", True).csv(path)
+    """Customer CSV with a header line, typed by a declared schema; empty cells and NaN are null.
+
+    Columns are found by their name in the header, in any order; others are left out, and a missing
+    one is an error. So is a cell that does not fit its type, and a file whose header differs from
+    that of the first.
+    """
+    reader = spark.read.option("header", True)
+    header = reader.csv(path).columns
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    declared = {f.name: f for f in schema}
+    found = T.StructType([declared.get(c, T.StructField(c, T.StringType())) for c in header])
+    strict = reader.option("enforceSchema", False).option("mode", "FAILFAST")
+    rows = strict.schema(found).csv(path).select(*schema.fieldNames())
     numbers = [f.name for f in schema if f.dataType.typeName() == "double"]
     return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
 
@@ -62,9 +76,9 @@ def _pick(draw: Column, steps: list[tuple[float, str | None]], last: str) -> Col
 def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer, from customer, nation, orders, lineitem and part.
 
-    Line items shrink to one row per (customer, part type) and orders to one row per
-    customer before they leave their map tasks, so a customer that owns a large share of
-    the lines costs no more than any other.
+    Line items, read with three columns, are shuffled for the joins with parts and orders unless
+    Spark finds those small enough to broadcast; then they are added up to one row per (customer,
+    part type). Orders shrink to one row per customer before they leave their map tasks.
     """
     orders = table(spark, sf_dir, "orders")
     per_customer = orders.groupBy("o_custkey").agg(
