@@ -239,11 +239,9 @@ def compare_snapshots(
     raw: DataFrame, cleaned: DataFrame, key: str, columns: Sequence[str]
 ) -> DataFrame:
     """(key, column, raw_value, clean_value) for every cell that differs between two versions."""
-    types = dict(raw.dtypes)
 
     def text(side: str, c: str) -> Column:
-        value = F.col(f"{side}.{c}")
-        return (value.cast("decimal(18,2)") if types[c] == "double" else value).cast("string")
+        return F.col(f"{side}.{c}").cast("string")
 
     cells = [
         F.when(

@@ -14,7 +14,7 @@ from propensa.sources.schemas import CUSTOMER, LABEL
 
 _ALL = CUSTOMER.fieldNames()
 _NUMERIC = [f.name for f in CUSTOMER if f.dataType.simpleString() in ("int", "double")]
-_SHOWN = ["Age", "DurationOfPitch", "NumberOfTrips", "MonthlyIncome"]
+_SHOWN = [c for c in _NUMERIC if c != LABEL]
 _TEXT = ["TypeofContact", "Occupation", "Gender", "ProductPitched", "MaritalStatus", "Designation"]
 
 

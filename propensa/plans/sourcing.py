@@ -76,18 +76,7 @@ def propensity_label(spark, sf_dir):
     )
 
 
-_COMPARED = [
-    "Age", "TypeofContact", "DurationOfPitch", "Gender", "NumberOfFollowups",
-    "PreferredPropertyStar", "MaritalStatus", "NumberOfTrips", "NumberOfChildrenVisiting",
-    "MonthlyIncome",
-]
-
-
-def _as_text(table: str, column: str) -> str:
-    value = f"{table}.{column}"
-    if dict((f.name, f.dataType.typeName()) for f in CUSTOMER)[column] == "double":
-        return f"({value}::DECIMAL(18,2))::VARCHAR"
-    return f"{value}::VARCHAR"
+_COMPARED = [f.name for f in CUSTOMER if f.name != KEY]
 
 
 @query(
@@ -95,8 +84,8 @@ def _as_text(table: str, column: str) -> str:
     sql.using(
         "imputed",
         "\nUNION ALL\n".join(
-            f"""SELECT r.CustomerID, '{c}' AS "column", {_as_text('r', c)} AS raw_value,
-              {_as_text('i', c)} AS clean_value
+            f"""SELECT r.CustomerID, '{c}' AS "column", r.{c}::VARCHAR AS raw_value,
+              i.{c}::VARCHAR AS clean_value
             FROM profile r JOIN imputed i USING (CustomerID) WHERE r.{c} IS DISTINCT FROM i.{c}"""
             for c in _COMPARED
         ),
