@@ -72,11 +72,14 @@ def owners(grams: np.ndarray, reach: int) -> np.ndarray:
 
 
 def runs(units: Units, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, number of windows, anchor) of every run of windows with one anchor."""
+    """(text, first window, number of windows, anchor, lead) of every run of windows with one anchor.
+
+    ``lead`` is how far behind the start of its first window the anchor begins.
+    """
     inside = ta.within(units.first, width)
     if not inside.any():
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     grams = units.grams(gram)
     owner = owners(grams, width - gram + 1)
     fresh = inside.copy()
@@ -86,7 +89,7 @@ def runs(units: Units, width: int, gram: int) -> tuple[np.ndarray, ...]:
     # A run also ends where its text has no more windows.
     text = np.searchsorted(units.first, starts, side="right") - 1
     ends = np.minimum(ends, units.first[text + 1] - width + 1)
-    return text, starts, ends - starts, grams[owner[starts]]
+    return text, starts, ends - starts, grams[owner[starts]], owner[starts] - starts
 
 
 def field(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -115,7 +118,7 @@ def anchors_task(width: int, gram: int, words: bool):
         for batch in batches:
             for piece in ta.pieces(batch, "text"):
                 units = Units(*ta.flat(field(piece, "text")), words)
-                text, _, _, anchor = runs(units, width, gram)
+                text, _, _, anchor, _ = runs(units, width, gram)
                 own = numbers(piece, "ord")[text]
                 row = numbers(piece, "row")[text]
                 yield pa.RecordBatch.from_arrays(
@@ -132,7 +135,7 @@ def runs_task(width: int, gram: int, words: bool):
         for batch in batches:
             for piece in ta.pieces(batch, "text"):
                 units = Units(*ta.flat(field(piece, "text")), words)
-                text, start, n, anchor = runs(units, width, gram)
+                text, start, n, anchor, _ = runs(units, width, gram)
                 marks, of = lists(field(piece, "marks"))
                 wanted = np.asarray(marks).astype(np.int64).view(np.uint64)
                 salt = np.arange(piece.num_rows, dtype=np.uint64) * ta.BASE

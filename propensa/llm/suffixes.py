@@ -8,15 +8,16 @@ token, in two rounds:
 1. Runs are range-partitioned by (anchor, digest of the whole run, document, start), with splitters
    that Spark draws from a sample. In a bucket, a run equal to an earlier one consists of windows
    that occur earlier. Of the others, those go on whose anchor also begins a different run.
-2. These runs are range-partitioned by (anchor, salt), with their bytes; only an anchor with more than
-   ``ANCHOR_RUNS`` of them has several salts. A bucket sorts all windows of its runs by multikey quicksort over symbols of eight bytes: windows are split by one
+2. These runs are range-partitioned by (anchor, salt), with their bytes; an anchor with more than
+   ``ANCHOR_RUNS`` of them has several salts. Its runs are cut by how far a window begins before the anchor,
+   which is the same for equal windows, and only beyond that dealt out by document and start. A bucket sorts all windows of its runs by multikey quicksort over symbols of eight bytes: windows are split by one
    symbol, and only those still equal go on to the next. Equal windows then stand together, the
    earliest first, and the others are removed.
 
 Document and start in the first key, and the salt in the second, spread a string that occurs very
 often over many buckets, so the same window may be met in several. In round 1 the runs at both
 ends of a bucket go on whatever they are. In round 2 a bucket also reports the different windows of
-anchors with several salts; these are compared across the boundaries by digest, and have as many
+anchors that were dealt out; these are compared across the boundaries by digest, and have as many
 rows for a digest as buckets hold it.
 """
 
@@ -54,7 +55,7 @@ def runs_task(width: int, gram: int):
         for batch in batches:
             for piece in ta.pieces(batch, "text"):
                 units = rp.Units(*ta.flat(rp.field(piece, "text")), False)
-                text, start, n, anchor = rp.runs(units, width, gram)
+                text, start, n, anchor, _ = rp.runs(units, width, gram)
                 digest = ta.slice_hashes(units.data, start, start + n + width - 1) >> np.uint64(33)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -127,7 +128,14 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bytes_task(width: int, gram: int):
-    """Task code: anchor, salt and bytes of the runs in ``open``, and whether the anchor has several salts."""
+    """Task code: anchor, salt and bytes of the runs in ``open``, and whether equal windows may have other salts."""
+    reach = width - gram + 1
+
+    def place(piece: pa.RecordBatch, text: np.ndarray, start: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        """Number among the salts that a class of a very crowded anchor has, 0 for all others."""
+        each = -(-salts // reach)
+        code = ta.mix(start.astype(np.uint64) + rp.numbers(piece, "t")[text].astype(np.uint64))
+        return (code % each.astype(np.uint64)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,21 +143,24 @@ def bytes_task(width: int, gram: int):
                 units = rp.Units(*ta.flat(rp.field(piece, "text")), False)
                 text, start, n, salts = rp.own_spans(piece, "open", 4)
                 begin = units.first[text] + start
-                _, every, _, anchor = rp.runs(units, width, gram)
+                _, every, _, anchor, lead = rp.runs(units, width, gram)
                 at = np.searchsorted(every, begin)
+                cut = parted(lead[at], n, np.minimum(salts, reach), reach)
+                of, skip, n, part = cut
+                text, start, salts, at = text[of], start[of] + skip, salts[of], at[of]
+                begin = units.first[text] + start
                 size = n + width - 1
                 places = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 body = units.data[rp.spread(begin, size)]
-                cut = pa.Array.from_buffers(
+                bodies = pa.Array.from_buffers(
                     pa.binary(), len(n), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(body.tobytes())]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
                         rp.signed(anchor[at]),
                         *(pa.array(rp.numbers(piece, c)[text], pa.int64()) for c in ("row", "t", "ord")),
-                        pa.array(start.astype(np.int32)), cut,
-                        pa.array((ta.mix(start.astype(np.uint64) + rp.numbers(piece, "t")[text].astype(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)),
-                        pa.array(salts > 1),
+                        pa.array(start.astype(np.int32)), bodies, pa.array(part + reach * place(piece, text, start, salts)),
+                        pa.array(salts > reach),
                     ],
                     names=["anchor", "row", "t", "ord", "start", "bytes", "salt", "spread"],
                 )
@@ -157,6 +168,19 @@ def bytes_task(width: int, gram: int):
     return run
 
 
+def parted(lead: np.ndarray, n: np.ndarray, classes: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """(run, windows skipped, windows, class) of the parts of runs, cut by the windows' distance from the anchor.
+
+    Equal windows are at the same distance, so they are in parts of the same class.
+    """
+    of = np.repeat(np.arange(len(n)), n)
+    step = rp.spread(np.zeros(len(n), dtype=np.int64), n)
+    kind = (lead[of] - step) * classes[of] // reach
+    begin = np.flatnonzero(fresh(of, kind)) if len(of) else of
+    end = np.append(begin[1:], len(of))
+    return of[begin], step[begin], end - begin, kind[begin]
+
+
 def multikey(body: np.ndarray, at: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, number): windows in ascending order within their groups, and the number of each distinct one.
 
@@ -314,7 +338,7 @@ def suffix_dedup(
     spans = left.groupBy("row").agg(F.collect_list(F.struct("t", "start", "n", salts.alias("salts"))).alias("open"))
     opened = rp.attach(read, spans, "inner").mapInArrow(
         bytes_task(width, gram),
-        "anchor bigint, row bigint, t bigint, ord bigint, start int, bytes binary, salt int, spread boolean",
+        "anchor bigint, row bigint, t bigint, ord bigint, start int, bytes binary, salt bigint, spread boolean",
     )
     windows = opened.repartitionByRange("anchor", "salt").mapInArrow(
         second_round(width),
