@@ -298,7 +298,8 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", carry: lis
     exemplars = rows.where(F.length("html") > 0).groupBy("host").agg(F.min(F.struct(F.xxhash64("html"), "html")).alias("m"))
     exemplars = exemplars.select("host", F.col("m.html").alias("model"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = rows.join(exemplars, ["host", "salt"], "left")
-    votes = joined.select("host", "html", "model").mapInArrow(vote_task, "host string, node int, pages bigint, same bigint")
+    # Both uses of the joined pages read the same columns, so that they share one shuffle of the pages.
+    votes = joined.mapInArrow(vote_task, "host string, node int, pages bigint, same bigint")
     counted = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     template = counted.where((F.col("pages") >= LEAST_VOTES) & (F.col("same") >= TEMPLATE_SHARE * F.col("pages")))
     nodes = template.groupBy("host").agg(F.collect_list("node").alias("nodes"))
