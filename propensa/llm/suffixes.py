@@ -5,9 +5,9 @@ in it with the smallest hash, and consecutive windows with one anchor are a run
 :mod:`repeats`). Equal windows have the same anchor, so runs are sorted by their anchor as leading
 token, in two rounds:
 
-1. Runs are range-partitioned by (anchor, digest of the whole run, document, start), with splitters
-   that Spark draws from a sample. In a bucket, a run equal to an earlier one consists of windows
-   that occur earlier. Of the others, those go on whose anchor also begins a different run.
+1. Runs are range-partitioned by (anchor, 128-bit digest of the whole run, document, start), with splitters
+   that Spark draws from a sample. In a bucket, a run equal to an earlier one in anchor, digest and length
+   consists of windows that occur earlier. Of the others, those go on whose anchor also begins a different run.
 2. These runs are range-partitioned by (anchor, salt), with their bytes; an anchor with more than
    ``ANCHOR_RUNS`` of them has several salts. Its runs are cut by how far a window begins before the anchor,
    which is the same for equal windows, and only beyond that dealt out by document and start. A bucket sorts all windows of its runs by multikey quicksort over symbols of eight bytes: windows are split by one
@@ -40,7 +40,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 100
 GRAM = 16
 SPAN = "array<struct<start: bigint, end: bigint>>"
-RUNS = "anchor bigint, digest int, row bigint, t bigint, ord bigint, start int, n int"
+RUNS = "anchor bigint, d1 bigint, d2 bigint, row bigint, t bigint, ord bigint, start int, n int"
 COPIED, OPEN, EDGE = 0, 1, 2
 #: Runs of an anchor that go on, from which they are spread over several buckets.
 ANCHOR_RUNS = 16_384
@@ -56,14 +56,14 @@ def runs_task(width: int, gram: int):
             for piece in ta.pieces(batch, "text"):
                 units = rp.Units(*ta.flat(rp.field(piece, "text")), False)
                 text, start, n, anchor, _ = rp.runs(units, width, gram)
-                digest = ta.slice_hashes(units.data, start, start + n + width - 1) >> np.uint64(33)
+                d1, d2 = units.digests(start, start + n + width - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rp.signed(anchor), pa.array(digest.astype(np.int32)),
+                        rp.signed(anchor), rp.signed(d1), rp.signed(d2),
                         *(pa.array(rp.numbers(piece, c)[text], pa.int64()) for c in ("row", "t", "ord")),
                         pa.array((start - units.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)),
                     ],
-                    names=["anchor", "digest", "row", "t", "ord", "start", "n"],
+                    names=["anchor", "d1", "d2", "row", "t", "ord", "start", "n"],
                 )
 
     return run
@@ -107,12 +107,12 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = table_of(batches)
     if whole is None:
         return
-    names = ("anchor", "digest", "row", "t", "ord", "start", "n")
-    anchor, digest, row, t, own, start, n = (whole.column(c).to_numpy() for c in names)
+    names = ("anchor", "d1", "d2", "row", "t", "ord", "start", "n")
+    anchor, d1, d2, row, t, own, start, n = (whole.column(c).to_numpy() for c in names)
     del whole
-    order = np.lexsort((start, t, row, own, digest, anchor))
-    anchor, digest, row, t, own, start, n = (x[order] for x in (anchor, digest, row, t, own, start, n))
-    new = fresh(anchor, digest)
+    order = np.lexsort((start, t, row, own, n, d2, d1, anchor))
+    anchor, d1, d2, row, t, own, start, n = (x[order] for x in (anchor, d1, d2, row, t, own, start, n))
+    new = fresh(anchor, d1, d2, n)
     copied = later(new, row, t, own, start)
     # Anchors with runs of several kinds; those at the ends of the bucket may have more elsewhere.
     begins = fresh(anchor)
@@ -329,7 +329,7 @@ def suffix_dedup(
     )
     rows = rp.with_rows(source, "id_", "text")
     read = rows.select("row", "t", "ord", "text")
-    runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "digest", "ord", "start")
+    runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "d1", "d2", "ord", "start")
     judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint, anchor bigint")
     left = judged.where(F.col("kind") == OPEN).select("anchor", "row", "t", "start", "n").distinct()
     many = left.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > ANCHOR_RUNS)

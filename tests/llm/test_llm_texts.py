@@ -235,6 +235,37 @@ def test_suffix_dedup_equals_brute_force(spark, many_buckets, seed):
     assert found == brute_bytes(rows, width)
 
 
+def test_unequal_runs_are_not_copies(spark, monkeypatch):
+    """Runs under one anchor that agree in the top 31 bits of their first hash, or in the hash but not in length."""
+    whole = ta.slice_hashes
+
+    def crowded(data, starts, ends, *base):
+        out = whole(data, starts, ends, *base)
+        return out if base else out & np.uint64((1 << 33) - 1)
+
+    monkeypatch.setattr(ta, "slice_hashes", crowded)
+    rng = random.Random(5)
+    body = pa.array(["abcdefgh" * 2 + "".join(rng.choice("xyz") for _ in range(30)) for _ in range(40)])
+    numbers = pa.array(range(40), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, numbers, body], names=["row", "t", "ord", "text"])
+    rows = pa.Table.from_batches(suffixes.runs_task(20, 8)([batch])).to_pylist()
+    for r in rows:
+        r["anchor"] = 7
+    batch = pa.RecordBatch.from_pylist(rows)
+    got = pa.Table.from_batches(suffixes.first_round([batch])).to_pylist()
+    copied = {(r["row"], r["start"], r["n"]) for r in got if r["kind"] == suffixes.COPIED}
+    texts, seen, expected = body.to_pylist(), set(), set()
+    for r in sorted(rows, key=lambda r: (r["row"], r["start"])):
+        held = texts[r["row"]][r["start"] : r["start"] + r["n"] + 19]
+        if held in seen:
+            expected.add((r["row"], r["start"], r["n"]))
+        seen.add(held)
+    assert copied == expected
+    same = [dict(rows[0], row=i, t=i, ord=i, n=3 + i) for i in range(2)]
+    got = pa.Table.from_batches(suffixes.first_round([pa.RecordBatch.from_pylist(same)])).to_pylist()
+    assert not [r for r in got if r["kind"] == suffixes.COPIED]
+
+
 def test_queries_over_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     docs = frame(spark, rows)
