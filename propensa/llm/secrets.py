@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame functions only.
 
-A candidate is a word that holds a long string with a digit, or an assignment to a name like
-``password``. Its features are length, shares and transitions of character classes, coverage by
+Candidates are all values of a word that holds a long string with a digit, or an assignment to a
+name like ``password``, or that follows such a name and ``=`` or ``:``. A word is cut before every such name and
+every ``&name=``, so minified JSON and query strings give a candidate per value. Its features are length, shares and transitions of character classes, coverage by
 dictionary words, signs of a path, address or number, and the words around it. The forest learns from labelled
 findings: by default those whose form settles the matter (provider formats and assigned values
 against mail and network addresses, numbers, paths and plain words); a caller may bring labels of
@@ -32,7 +33,12 @@ MARK = "[SECRET]"
 NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|key|auth|credential)s?"
 AGAINST = r"^(?:commit|sha\d*|md5|digest|checksum|version|build|revision|uuid|isbn|phone|tel|fax|card|order|invoice)\W*$"
 PROVIDERS = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}|sk-[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-.]+)$"
-ASSIGNED = rf"(?i)(?:^|[^a-z])([a-z_\-]*{NAMES}[a-z_\-]*)[\"']?[=:](?!//)"
+ASSIGNED = rf"(?i)(?<![a-z])([a-z_\-]*{NAMES}[a-z_\-]*)[\"']?[=:](?!//)"
+#: A name at the end of a word, alone or with its sign, and the signs that may stand apart from it.
+NAMED = rf"(?i)(?<![a-z])([a-z_\-]*{NAMES}[a-z_\-]*)[\"']?"
+SIGNS = ["=", ":", ":=", "=>"]
+PARAMETER = r"&(?=[A-Za-z0-9_.\-]+=)"
+VALUE = r"[A-Za-z0-9+/_.@%!?~^&*$#:()\\\-]{4,}=*"
 MAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+$"
 NETWORK = r"^\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?$"
 NUMBER = r"^[+(]?[\d().,/:\-]+$"
@@ -56,30 +62,50 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         long = (F.length(x) >= 8) & x.rlike("[0-9]") & x.rlike(r"[A-Za-z0-9+/_.@\-]{8,}")
         return long | x.rlike(ASSIGNED)
 
+    def word(w: Column, i: Column) -> Column:
+        return F.coalesce(F.get(w, i), F.lit(""))
+
+    def name_before(w: Column, i: Column) -> Column:
+        """The name that the word is assigned to by the words before it, or null."""
+        one, two, own = word(w, i - 1), word(w, i - 2), word(w, i)
+        apart = one.isin(SIGNS) & two.rlike(f"{NAMED}$")
+        behind = (one.endswith("=") | one.endswith(":")) & one.rlike(f"{NAMED}(?::?=|:)$")
+        ahead = own.rlike("^(?::?=|:)[^=:]") & one.rlike(f"{NAMED}$")
+        return F.when(apart, F.regexp_extract(two, f"{NAMED}$", 1)).when(behind, F.regexp_extract(one, f"{NAMED}(?::?=|:)$", 1)).when(
+            ahead, F.regexp_extract(one, f"{NAMED}$", 1)
+        )
+
     def places(w: Column) -> Column:
         every = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-        chosen = F.filter(every, lambda i: possible(F.get(w, i)))
+        chosen = F.filter(every, lambda i: possible(F.get(w, i)) | name_before(w, i).isNotNull())
         return F.transform(
             chosen,
             lambda i: F.struct(
-                i.alias("word"), F.get(w, i).alias("raw"), F.get(w, i - 2).alias("before2"),
+                i.alias("word"), F.get(w, i).alias("raw"), name_before(w, i).alias("named"),
                 F.get(w, i - 1).alias("before"), F.get(w, i + 1).alias("after"),
             ),
         )
 
+    def values(raw: Column, named: Column) -> Column:
+        """All values of a word, each with the name in front of it; ``named`` is that of the first."""
+        own = F.when(named.isNotNull(), F.regexp_replace(raw, "^(?::?=|:)", "")).otherwise(raw)
+        cut = F.regexp_replace(F.translate(own, "\1\2", "  "), PARAMETER, "\1")
+        parts = F.split(F.regexp_replace(cut, ASSIGNED, "\1$1\2"), "\1")
+
+        def part(p: Column, k: Column) -> Column:
+            own = F.when(p.contains("\2"), F.substring_index(p, "\2", 1)).when(k == 0, named)
+            found = F.regexp_extract_all(F.substring_index(p, "\2", -1), F.lit(VALUE), 0)
+            return F.transform(found, lambda v, j: F.struct(F.when(j == 0, own).alias("name"), v.alias("value")))
+
+        return F.flatten(F.transform(parts, part))
+
     found = docs.select(F.col(key).alias("key_"), F.xxhash64(t).alias("row_"), F.explode(let(words_of(t), places)).alias("x"))
     raw = F.col("x.raw")
-    name = F.regexp_extract(raw, ASSIGNED, 1)
-    rest = F.when(name != "", F.regexp_replace(raw, rf"^.*?{ASSIGNED}", "")).otherwise(raw)
-    value = F.regexp_extract(rest, r"[A-Za-z0-9+/_.@%!?~^&*$#:()\\\-]{4,}=*", 0)
     return (
-        found.select(
+        found.select("key_", "row_", "x", F.explode(values(raw, F.col("x.named"))).alias("y"))
+        .select(
             F.col("key_"), F.col("row_"), F.col("x.word").cast("bigint").alias("word"),
-            F.regexp_replace(value, r"[.,;:!?)]+$", "").alias("value"),
-            F.lower(F.when(name != "", name).when(
-                F.col("x.before").isin("=", ":") & F.coalesce(F.col("x.before2"), F.lit("")).rlike(rf"(?i)^[\"']?[a-z_\-]*{NAMES}[a-z_\-]*[\"']?$"),
-                F.col("x.before2"),
-            )).alias("name"),
+            F.regexp_replace("y.value", r"[.,;:!?)]+$", "").alias("value"), F.lower("y.name").alias("name"),
             F.coalesce("x.before", F.lit("")).alias("before"), F.coalesce("x.after", F.lit("")).alias("after"),
             raw.rlike("[\"']").alias("in_quotes"),
         )
