@@ -24,7 +24,7 @@ from propensa.llm.quality import let, words_of
 from propensa.llm.shield import restored, shielded
 from propensa.session import cut_lineage
 
-#: Labelled findings that a forest is fitted on, at most, and words of its dictionary.
+#: Labelled findings that a forest is fitted on, at most, and the size of the dictionary of words around all candidates.
 FIT_ROWS = 20_000
 DICTIONARY_WORDS = 300
 MARK = "[SECRET]"
@@ -113,10 +113,9 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def dictionary(found: DataFrame, rows: int = FIT_ROWS, words: int = DICTIONARY_WORDS) -> list[str]:
-    """The most frequent plain words around at most ``rows`` candidates."""
-    near = found.select("before", "after").orderBy(F.xxhash64("before", "after", "word")).limit(rows)
-    each = near.select(F.explode(F.array(F.lower("before"), F.lower("after"))).alias("w")).where(F.col("w").rlike("^[a-z]{4,}$"))
+def dictionary(found: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
+    """The most frequent plain words around all candidates."""
+    each = found.select(F.explode(F.array(F.lower("before"), F.lower("after"))).alias("w")).where(F.col("w").rlike("^[a-z]{4,}$"))
     top = each.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
     return [r["w"] for r in top.collect()]
 
