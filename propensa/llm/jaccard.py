@@ -7,8 +7,10 @@ over the threshold on average, and sends every set to a child for the value at e
 that sets above the threshold meet in a child about as often as they part. Nodes of up to ``LIMIT``
 sets are compared by brute force. A larger node first compares all its sets with one of them, the
 pivot; sets nearly equal to it need not go on, as whatever they are linked to is close to the pivot
-too, and the others are split further. Runs are repeated as often as the target recall asks for a pair right at the
-threshold.
+too, and the others are split further. The more splits a pair has to survive, the more seldom one run brings it
+together. The first runs are as many as the target recall asks for a pair that agrees in a threshold's share of its
+places and is split ``LEVELS`` times; the sets that still stood in a large node then go through runs with new seeds, until
+there are as many as the deepest split that was reached asks for.
 
 Runs only propose which sets belong together. Each proposed group is then compared exactly, all
 members with all, in cells of two blocks of bounded size; groups of any size are spread over cells,
@@ -46,11 +48,13 @@ PROPOSED = THRESHOLD - 0.2
 #: Estimate from which a set is let go with its pivot.
 NEAR_PIVOT = 0.9
 LIMIT = 64
+#: Splits that the first runs are made for.
+LEVELS = 4
 BLOCK = 256
 SEED = 0x5851F42D4C957F2D
 
 
-def runs_for(recall: float, levels: int = 4) -> int:
+def runs_for(recall: float, levels: int = LEVELS) -> int:
     """Runs after which a pair at the threshold has met with that probability, if it takes ``levels`` splits."""
     met = 1.0
     for _ in range(levels):
@@ -132,15 +136,15 @@ def child(path: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
     return ta.mix(path ^ ta.mix(value.astype(np.uint64) << np.uint64(8) | place.astype(np.uint64)))
 
 
-def root_task(runs: int, threshold: float):
-    """Task code: the first two splits of every run.
+def root_task(first: int, runs: int, threshold: float):
+    """Task code: the first two splits of every run from ``first`` to below ``runs``.
 
     After one split a node still holds all sets that share a passage, which are seldom similar; so no
     node is looked at before the second.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = ta.mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(SEED))
+        seeds = ta.mix(np.arange(first + 1, runs + 1, dtype=np.uint64) * np.uint64(SEED))
         node, place = np.nonzero(drawn(seeds, threshold))
         for batch in batches:
             sig, cid = embeddings(rp.field(batch, "sig")), rp.numbers(batch, "cid")
@@ -251,8 +255,32 @@ def split_task(threshold: float):
 
 def proposed(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Links (a, b) between class ids that are to be looked at together."""
-    frontier = reps.select("cid", "sig").mapInArrow(root_task(runs_for(recall), threshold), "path bigint, cid bigint")
-    links = []
+    links, sets, done, need = [], reps.select("cid", "sig"), 0, runs_for(recall)
+    while done < need:
+        levels, crowded, found = descended(sets, reps, done, need, threshold)
+        links += found
+        if not done and crowded:
+            # A pair is split more than LEVELS times only while both of its sets stand in large nodes.
+            deep = cut_lineage(united(crowded).distinct(), "crowded")
+            sets = cut_lineage(reps.select("cid", "sig").join(rp.apart(deep), "cid", "left_semi"), "crowded-sets")
+        # One level more than was reached, as new runs may go a little deeper.
+        done, need = need, need if runs_for(recall, max(levels, LEVELS)) <= need else runs_for(recall, levels + 1)
+    return united(links)
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def descended(
+    sets: DataFrame, reps: DataFrame, first: int, runs: int, threshold: float
+) -> tuple[int, list[DataFrame], list[DataFrame]]:
+    """(splits, sets still in large nodes after ``LEVELS`` of them, links) of the runs ``first`` to below ``runs``."""
+    frontier = sets.mapInArrow(root_task(first, runs, threshold), "path bigint, cid bigint")
+    levels, crowded, links = 2, [], []
     while True:
         frontier = frontier.select("path", "cid")
         nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1")
@@ -262,7 +290,9 @@ def proposed(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
         ordered = small.repartition("path").sortWithinPartitions("path", "cid")
         links.append(cut_lineage(ordered.mapInArrow(small_task, "a bigint, b bigint"), "links"))
         if live.where(F.col("n") > LIMIT).isEmpty():
-            break
+            return levels, crowded, links
+        if levels >= LEVELS:
+            crowded.append(live.where(F.col("n") > LIMIT).select("cid"))
         pivots = reps.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig"))
         large = members.where(F.col("n") > LIMIT).join(pivots, "pivot")
         split = cut_lineage(
@@ -272,10 +302,7 @@ def proposed(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
         )
         links.append(split.where("link").select(F.col("path").alias("a"), F.col("cid").alias("b")))
         frontier = split.where("not link")
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+        levels += 1
 
 
 def cells_task(size: int, threshold: float):

@@ -105,6 +105,29 @@ def test_runs_reach_the_recall():
     assert jaccard.runs_for(0.5) < jaccard.runs_for(0.999) <= 20
 
 
+def test_runs_follow_the_depth(spark, monkeypatch):
+    """Sets that share a passage stay in large nodes beyond LEVELS splits and go through more runs, with new seeds."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "LIMIT", 8)
+    sig = np.random.default_rng(12).integers(0, 1 << 32, (400, jaccard.PLACES), dtype=np.uint32)
+    sig[:300, :36] = sig[0, :36]
+    sets = frame(spark, [(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "cid bigint, sig binary")
+    plain, calls = jaccard.descended, []
+
+    def noted(some, reps, first, runs, threshold):
+        out = plain(some, reps, first, runs, threshold) if len(calls) == 0 else (calls[0][3], [], [])
+        calls.append((first, runs, {r.cid for r in some.select("cid").collect()}, out[0]))
+        return out[0], out[1], out[2] or [frame(spark, [], "a bigint, b bigint")]
+
+    monkeypatch.setattr(jaccard, "descended", noted)
+    jaccard.proposed(sets, 0.8, 0.999)
+    levels = calls[0][3]
+    assert levels > jaccard.LEVELS and calls[0][:2] == (0, jaccard.runs_for(0.999))
+    assert calls[1][0] == calls[0][1] and calls[1][1] >= jaccard.runs_for(0.999, levels)
+    assert set(range(300)) >= calls[1][2] and len(calls[1][2]) > 290 and len(calls) == 2
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
