@@ -14,6 +14,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+os.environ.setdefault("PROPENSA_ROUNDS_SHARE", "0.1")
+
 from propensa.plans import QUERIES  # noqa: E402
 from propensa.session import drop_scratch, local_session  # noqa: E402
 

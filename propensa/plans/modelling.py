@@ -256,10 +256,10 @@ def union_resampled(spark, sf_dir):
     )
 
 
-# Classifiers: the line-up at its depths and rates; the number of rounds and trees is a share of it.
+# Classifiers: the line-up; a small test machine may train a share of its rounds and trees.
 
 #: Share of the rounds and trees of the line-up that the registered queries train, 1 for all of them.
-ROUNDS_SHARE = float(os.environ.get("PROPENSA_ROUNDS_SHARE", "0.1"))
+ROUNDS_SHARE = float(os.environ.get("PROPENSA_ROUNDS_SHARE", "1"))
 _ROUNDS = ("n", "numTrees", "maxIter")
 
 

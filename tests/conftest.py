@@ -6,6 +6,9 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+# A tenth of the rounds and trees, as the tests had before the whole line-up became the default.
+os.environ.setdefault("PROPENSA_ROUNDS_SHARE", "0.1")
+
 from propensa.session import drop_scratch, local_session  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

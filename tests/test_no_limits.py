@@ -112,3 +112,14 @@ def test_compare_leaves_the_callers_cache(spark):
     training.compare(df, df, {"decision_tree": {"maxDepth": 2}}, label="y")
     assert df.storageLevel.useMemory
     df.unpersist()
+
+
+def test_whole_line_up_is_the_default():
+    import os
+    import subprocess
+    import sys
+
+    code = "from propensa.plans import modelling as m; assert m._LINE_UP == {k: dict(v) for k, v in m.training.LINE_UP.items()}"
+    env = {k: v for k, v in os.environ.items() if k != "PROPENSA_ROUNDS_SHARE"}
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=root)
