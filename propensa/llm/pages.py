@@ -5,8 +5,9 @@ tree of one exemplar of its host by simple tree matching (the largest set of pai
 that keeps order and ancestry). A node of the exemplar whose text is the same on most aligned pages
 is template, the others are slots. Template nodes, and elements that say by tag, role or class
 that they are no content, are dropped; the text of the slots is the main text. Where a page marks
-its article, that element is the slot: everything in it is kept but nested menus, adverts, forms
-and the like, even if many pages share it.
+its main part, that element is the slot, with what stands around an article in it; without one, or with most
+text in an article elsewhere, the article is, if it holds most of what is not template. Everything in the element is kept but
+nested menus, adverts, forms and the like, even if many pages share it.
 
 All pages of a host vote; the votes are added up before they are shuffled. Pages are joined with
 their host's exemplar under a salt, so a host with any share of the pages is spread over tasks.
@@ -73,6 +74,7 @@ class Page:
         self.depth = [0]
         self.chrome = [False]
         self.marked = [0]
+        self.in_main = [False]
         self.texts: list[tuple[int, str]] = []
         self._read(source)
 
@@ -141,7 +143,8 @@ class Page:
         role = found.get("role", "")
         up = stack[-1]
         inside = self.marked[up]
-        own = 2 if name == "article" else 1 if name == "main" or role == "main" else 0
+        main = name == "main" or role == "main"
+        own = 2 if name == "article" else 1 if main else 0
         plain = name in ("html", "body") or own > 0
         hidden = "hidden" in found or found.get("aria-hidden") == "true"
         chrome = hidden or not plain and (
@@ -157,6 +160,7 @@ class Page:
         self.depth.append(self.depth[up] + 1)
         self.chrome.append(self.chrome[up] or chrome)
         self.marked.append(max(inside, own))
+        self.in_main.append(self.in_main[up] or main)
         if name != "hr":
             stack.append(node)
 
@@ -169,11 +173,18 @@ class Page:
 
     def main_text(self, template: set[int]) -> str:
         """Text of the slots; ``template`` names nodes of this page that are template."""
-        best = max((self.marked[n] for n, _ in self.texts if not self.chrome[n]), default=0)
-        return " ".join(
-            text for node, text in self.texts
-            if not self.chrome[node] and self.marked[node] >= best and (best or node not in template)
-        )
+        slots = [(n, t) for n, t in self.texts if not self.chrome[n] and (self.marked[n] or n not in template)]
+
+        def length(part: list[tuple[int, str]]) -> int:
+            return sum(len(t) for _, t in part)
+
+        main = [(n, t) for n, t in slots if self.in_main[n]]
+        article = [(n, t) for n, t in slots if self.marked[n] == 2]
+        if main and 2 * length(main) >= length([(n, t) for n, t in slots if self.marked[n]]):
+            slots = main
+        elif article and 2 * length(article) >= length(slots):
+            slots = article
+        return " ".join(t for _, t in slots)
 
 
 def align(a: Page, b: Page) -> list[tuple[int, int]]:

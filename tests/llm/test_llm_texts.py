@@ -330,6 +330,20 @@ def test_main_text_of_a_page():
     assert pages.Page(source).main_text(set()) == "A & b c d e 1 2"
 
 
+def test_article_is_not_the_whole_story():
+    story = "The long story of the day, told in many words. " * 5
+
+    def text(body):
+        return pages.Page(f"<body>{body}</body>").main_text(set())
+
+    whole = " ".join(story.split())
+    assert text(f"<nav>Menu</nav><main><h1>Title</h1><p>Lead</p><article><p>{story}</article></main>") == f"Title Lead {whole}"
+    assert text(f"<div><p>{story}</p></div><article>Teaser</article>") == f"{whole} Teaser"
+    assert text(f"<main><p>{story}</p><article>Teaser</article></main>") == f"{whole} Teaser"
+    assert text(f"<div>By the way</div><article>{story}</article>") == whole
+    assert text(f"<main>Short</main><article>{story}</article>") == whole
+
+
 def tree_match(a, b, x=0, y=0):
     if a.label[x] != b.label[y]:
         return 0
