@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensa.llm import bpe, chat, decontaminate, jaccard, pages, quality, secrets, substring, suffixes, toxicity
+from propensa.llm import bpe, chat, decontaminate, jaccard, pages, quality, secrets, substring, suffixes, toxicity, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +80,8 @@ def op9(spark, sf_dir):
 @query("op10_secret_scan")
 def op10(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op11_conversation_trie", trie.ORACLE)
+def op11(spark, sf_dir):
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
