@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from propensa.llm import bpe, chat, decontaminate, jaccard, pages, quality, secrets, substring, suffixes, toxicity, trie
+from propensa.llm import (
+    bpe, chat, decontaminate, jaccard, negatives, pages, quality, secrets, substring, suffixes, topk, toxicity, trie
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +87,13 @@ def op10(spark, sf_dir):
 @query("op11_conversation_trie", trie.ORACLE)
 def op11(spark, sf_dir):
     return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_exact_top_k", topk.ORACLE)
+def op12(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_hard_negatives", negatives.ORACLE)
+def op13(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
