@@ -154,7 +154,7 @@ def with_features(found: DataFrame, known: list[str]) -> DataFrame:
 def form_label() -> Column:
     """1 or 0 where the form of a finding settles it, else null."""
     v = F.col("value")
-    assigned = F.length("name") > 0
+    assigned = F.coalesce(F.length("name") > 0, F.lit(False))
     mixed = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.length(v) >= 8)
     harmless = v.rlike(MAIL) | v.rlike(NETWORK) | v.rlike(NUMBER) | v.rlike(PATH) | ~v.rlike("[0-9]")
     return (
