@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from propensa.operators.ordered import (
-    quantiles,
-    quantiles_of_frequencies,
-    value_frequencies,
-)
+from propensa.functions.sums import merge_task, pearson_task, products_task
+from propensa.operators.ordered import quantiles, value_frequencies
+from propensa.session import cut_lineage
 
 # Above this many distinct values a numeric column counts as continuous.
 DISCRETE_LIMIT = 25
+# Tasks that merge the sums of all others before the last one does.
+MERGERS = 16
 
 
 def _rows(df: DataFrame, names: Sequence[str], entries) -> DataFrame:
@@ -93,13 +94,34 @@ def imbalance_ratio(df: DataFrame, label: str) -> DataFrame:
 def discrete_or_continuous(
     df: DataFrame, columns: Sequence[str], limit: int = DISCRETE_LIMIT, exact: bool = True
 ) -> DataFrame:
-    """Kind of each numeric column by its distinct values, a missing value being one of them."""
-    count = F.count_distinct if exact else F.approx_count_distinct
-    distinct = [
-        (count(F.col(c)) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))).alias(c)
-        for c in columns
-    ]
-    rows = _rows(df.agg(*distinct), ["column", "n_distinct"], [(F.lit(c), F.col(c)) for c in columns])
+    """Kind of each numeric column by its distinct values, a missing value being one of them.
+
+    A sketch of all columns tells which have far more values than ``limit``. The others' values, at most
+    about twice the limit, are collected as sets in one aggregate. With ``exact`` the many
+    values of the rest are counted too, else their number is the sketch's.
+    """
+    sketch = df.agg(
+        *[F.approx_count_distinct(c, 0.02).alias(f"s{i}") for i, c in enumerate(columns)],
+        *[F.max(F.col(c).isNull().cast("int")).alias(f"m{i}") for i, c in enumerate(columns)],
+    ).first()
+    missing = {c: sketch[f"m{i}"] or 0 for i, c in enumerate(columns)}
+    few = [c for i, c in enumerate(columns) if sketch[f"s{i}"] <= 2 * limit]
+    many = {c: sketch[f"s{i}"] for i, c in enumerate(columns) if c not in few}
+    parts = []
+    if few:
+        sets = df.agg(*[F.size(F.collect_set(c)).cast("bigint").alias(f"d{i}") for i, c in enumerate(few)])
+        parts.append(_rows(sets, ["column", "n_distinct"], [
+            (F.lit(c), F.col(f"d{i}") + F.lit(missing[c])) for i, c in enumerate(few)
+        ]))
+    if many and exact:
+        # Values merge in every task before they are shuffled.
+        known = value_frequencies(df, list(many)).groupBy("column").agg(F.count("*").alias("n_distinct"))
+        gap = F.create_map(*[x for c in many for x in (F.lit(c), F.lit(missing[c]))])
+        parts.append(known.select("column", (F.col("n_distinct") + gap[F.col("column")]).alias("n_distinct")))
+    elif many:
+        rows = [(c, n + missing[c]) for c, n in many.items()]
+        parts.append(df.sparkSession.createDataFrame(rows, "column string, n_distinct bigint"))
+    rows = functools.reduce(DataFrame.unionByName, parts)
     kind = F.when(F.col("n_distinct") <= limit, "discrete").otherwise("continuous")
     return rows.withColumn("kind", kind)
 
@@ -187,33 +209,19 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x, y, r): Pearson correlation of every ordered pair, over rows where both are known."""
-    pairs = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for i in range(len(columns))
-            for j in range(i, len(columns))
-        ]
-    )
-    values = F.array(*[F.col(c).cast("double") for c in columns]).alias("v")
-    long = df.select(values).select("v", F.explode(pairs).alias("p")).select(
-        "p.i", "p.j", F.get("v", F.col("p.i")).alias("a"), F.get("v", F.col("p.j")).alias("b")
-    )
-    # Partial aggregation leaves one row per pair and task before anything is shuffled.
-    half = (
-        long.where(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("i", "j")
-        .agg(F.corr("a", "b").alias("r"))
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    ways = F.array(
-        F.struct(F.col("i").alias("x"), F.col("j").alias("y")),
-        F.struct(F.col("j").alias("x"), F.col("i").alias("y")),
-    )
-    turned = F.when(F.col("i") == F.col("j"), F.slice(ways, 1, 1)).otherwise(ways)
-    return half.select("r", F.explode(turned).alias("e")).select(
-        F.get(names, F.col("e.x")).alias("x"), F.get(names, F.col("e.y")).alias("y"), "r"
-    )
+    """(x, y, r): Pearson correlation of every ordered pair, over rows where both are known.
+
+    Every task adds up one masked cross product of its rows, four matrices with one element per pair;
+    those are merged element by element, so no row is made per pair until the result. Values are taken
+    relative to their column's mean. Pairs with fewer than two rows have no correlation (null).
+    """
+    numbers = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    means = numbers.agg(*[F.avg(c).alias(c) for c in numbers.columns]).first()
+    shift = [m if m is not None and math.isfinite(m) else 0.0 for m in means]
+    schema = "n array<double>, x array<double>, xx array<double>, xy array<double>"
+    sums = numbers.mapInArrow(products_task(shift), schema)
+    merged = sums.repartition(MERGERS).mapInArrow(merge_task, schema).repartition(1).mapInArrow(merge_task, schema)
+    return merged.mapInArrow(pearson_task(list(columns)), "x string, y string, r double")
 
 
 def histogram(df: DataFrame, column: str, label: str, bins: int = 30) -> DataFrame:
@@ -246,36 +254,49 @@ def histogram(df: DataFrame, column: str, label: str, bins: int = 30) -> DataFra
 def box_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 IQR) and outlier count per (by…, column).
 
-    Works on value frequencies: equal values have been merged before anything is joined.
+    The quartiles of a group are one row; the rows meet them where they are, in one aggregate.
     """
     by = list(by)
-    keys = [*by, "column"]
-    frequencies = value_frequencies(df, columns, by)
-    quartiles = quantiles_of_frequencies(frequencies, [0.25, 0.5, 0.75], by)
-    reach = (F.col("q75") - F.col("q25")) * 1.5
-    inside = F.col("value").between(F.col("q25") - reach, F.col("q75") + reach)
-    return (
-        frequencies.withColumnRenamed("n", "copies")
-        .join(quartiles, keys)
-        .groupBy(*keys)
-        .agg(
-            F.max("n").alias("n"),
-            F.max("q25").alias("q1"),
-            F.max("q50").alias("median"),
-            F.max("q75").alias("q3"),
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.sum(F.when(inside, 0).otherwise(F.col("copies"))).alias("n_outliers"),
-        )
+    quartiles = quantiles(df, columns, [0.25, 0.5, 0.75], by)
+    stats = F.struct("n", "q25", "q50", "q75")
+    groups = quartiles.groupBy(*by).agg(
+        *[F.max(F.when(F.col("column") == c, stats)).alias(f"s{i}") for i, c in enumerate(columns)]
     )
+    groups = cut_lineage(groups, "quartiles")
+    known = df.select(*by, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    if by:
+        rows = known.join(groups, by)
+    else:
+        rows = known.withColumn("_one", F.lit(1)).join(F.broadcast(groups.withColumn("_one", F.lit(1))), "_one")
+    out = []
+    for i, c in enumerate(columns):
+        v, s = F.col(f"v{i}"), F.col(f"s{i}")
+        reach = (s["q75"] - s["q25"]) * 1.5
+        inside = v.between(s["q25"] - reach, s["q75"] + reach)
+        out.append(F.struct(
+            F.lit(c).alias("column"),
+            F.max(s["n"]).alias("n"),
+            F.max(s["q25"]).alias("q1"),
+            F.max(s["q50"]).alias("median"),
+            F.max(s["q75"]).alias("q3"),
+            F.min(F.when(inside, v)).alias("whisker_low"),
+            F.max(F.when(inside, v)).alias("whisker_high"),
+            F.count_if(v.isNotNull() & ~inside).alias("n_outliers"),
+        ))
+    found = rows.groupBy(*by).agg(F.array(*out).alias("e")).select(*by, F.explode("e").alias("e"))
+    return found.select(*by, "e.*").where(F.col("n").isNotNull())
+
+
+# Points of a density curve that are added up in one aggregate.
+POINTS_AT_ONCE = 64
 
 
 def density(df: DataFrame, column: str, by: Sequence[str], grid: int = 32) -> DataFrame:
     """(by…, point, x, density): Gaussian kernel estimate on a grid per group.
 
     Bandwidth 1.059·min(std, IQR/1.349)·n^(-1/5); the grid spans two bandwidths beyond the data.
-    Equal values are merged first, and each task adds up its share of every grid point before
-    the shuffle, which then carries ``grid`` rows per group and task.
+    Equal values are merged first; each of them then adds its height to every grid point inside one
+    aggregate, so no row is made per value and point.
     """
     by = list(by)
     known = df.dropna(subset=[*by, column]).select(*by, F.col(column).cast("double").alias(column))
@@ -284,8 +305,7 @@ def density(df: DataFrame, column: str, by: Sequence[str], grid: int = 32) -> Da
         F.min(column).alias("_min"),
         F.max(column).alias("_max"),
     )
-    frequencies = value_frequencies(known, [column], by)
-    quartiles = quantiles_of_frequencies(frequencies, [0.25, 0.75], by)
+    quartiles = quantiles(known, [column], [0.25, 0.75], by)
     scale = F.least(F.col("_std"), (F.col("q75") - F.col("q25")) / 1.349)
     bandwidth = F.lit(1.059) * scale * F.pow(F.col("_all"), F.lit(-0.2))
     shape = (
@@ -297,18 +317,22 @@ def density(df: DataFrame, column: str, by: Sequence[str], grid: int = 32) -> Da
         .withColumn("_step", (F.col("_max") - F.col("_min") + 4 * F.col("_h")) / float(grid - 1))
         .select(*by, "_all", "_h", "_start", "_step")
     )
-
-    z = (F.col("_start") + F.col("_step") * F.col("point") - F.col("value")) / F.col("_h")
-    height = F.col("n") * F.exp(-0.5 * z * z) / (F.col("_all") * F.col("_h"))
-    points = F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point")
-    return (
-        frequencies.join(shape, by)
-        .select("*", points)
-        .groupBy(*by, "point")
-        .agg(
-            F.max(F.col("_start") + F.col("_step") * F.col("point")).alias("x"),
-            (F.sum(height) / math.sqrt(2 * math.pi)).alias("density"),
-        )
+    shape = cut_lineage(shape, "curves")
+    frequencies = value_frequencies(known, [column], by).join(shape, by)
+
+    def height(point: int) -> Column:
+        z = (F.col("_start") + F.col("_step") * point - F.col("value")) / F.col("_h")
+        return F.sum(F.col("n") * F.exp(-0.5 * z * z))
+
+    parts = []
+    for start in range(0, grid, POINTS_AT_ONCE):
+        points = range(start, min(start + POINTS_AT_ONCE, grid))
+        curve = F.array(*[F.struct(F.lit(p).alias("point"), height(p).alias("height")) for p in points])
+        parts.append(frequencies.groupBy(*by).agg(curve.alias("e")).select(*by, F.explode("e").alias("e")))
+    heights = functools.reduce(DataFrame.unionByName, parts).select(*by, "e.*")
+    return heights.join(shape, by).select(
+        *by, "point", (F.col("_start") + F.col("_step") * F.col("point")).alias("x"),
+        (F.col("height") / (F.col("_all") * F.col("_h")) / math.sqrt(2 * math.pi)).alias("density"),
     )
 
 

@@ -16,15 +16,17 @@ from propensa.functions.hashing import SEED, digest
 from propensa.operators.clean import columns_by_type, medians
 from propensa.operators.explore import value_counts_of
 from propensa.operators.ordered import cutoff_table, hash_cutoffs
+from propensa.session import cut_lineage
 
 
 def _with_cutoffs(df: DataFrame, group: Column, order: Column, quotas: Sequence[Column]) -> DataFrame:
     """``df`` with the cutoffs of each row's group as ``_cuts``; a null group is a group too.
 
-    The cutoffs have one row per group; Spark's own estimate decides whether they are broadcast.
+    The cutoffs are found once and stored, one row per group: whatever reads the result only compares
+    digests with them. From the stored size Spark decides whether they are broadcast.
     """
     table = cutoff_table(df.select(group.alias("_by"), order.alias("_digest")), F.col("_digest"), quotas, F.col("_by"))
-    cuts = table.select(F.col("by").alias("_by"), F.col("cuts").alias("_cuts"))
+    cuts = cut_lineage(table.select(F.col("by").alias("_by"), F.col("cuts").alias("_cuts")), "cutoffs")
     return df.join(cuts, group.eqNullSafe(F.col("_by")), "left").drop("_by")
 
 

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from propensa.session import cut_lineage
+
 # A digest slice is its first four hex digits: at most 65,536 slices.
 SLICE_DIGITS = 4
-# Upper bound of the (group, quota) pairs whose cutoffs become literals of a plan.
 
 
 def _slice_of(value: Column, bounds: Column, slices: int) -> Column:
@@ -114,29 +115,89 @@ def quantile_name(share: float) -> str:
     return f"q{share * 100:g}".replace(".", "_")
 
 
-def quantiles(
-    df: DataFrame, columns: Sequence[str], shares: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per (by…, column)."""
-    return quantiles_of_frequencies(value_frequencies(df, columns, by), shares, by)
+# Brackets reach this far to either side of a quantile, as a share of the rows.
+REACH = 1 / 1_000
+# Largest error of a sketched rank, as a share of the rows; a tenth of the reach.
+SKETCH = 1 / 10_000
 
 
-def quantiles_of_frequencies(
-    frequencies: DataFrame, shares: Sequence[float], by: Sequence[str] = ()
-) -> DataFrame:
-    ranked = running_totals(frequencies, "value", ["n"], [*by, "column"])
-    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
-
-    def value_at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position <= last), F.col("value")))
+def _brackets(known: DataFrame, width: int, shares: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by…, n0, low0, high0, …): per column its known rows, and values just below and above each quantile.
 
+    Groups of few rows, where a rank is more than the sketch can tell apart, are inside as a whole; NaN is
+    the largest value there is.
+    """
+    m = len(shares)
+    low, high = [max(0.0, q - REACH) for q in shares], [min(1.0, q + REACH) for q in shares]
+    values = [f"v{i}" for i in range(width)]
+    sketched = known.groupBy(*by).agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.percentile_approx(v, [*low, *high], int(1 / SKETCH)).alias(f"b{i}") for i, v in enumerate(values)],
+    )
     out = []
-    for share in shares:
-        position = F.lit(float(share)) * (F.col("n_all") - 1)
-        low, high = value_at(F.floor(position)), value_at(F.ceil(position))
-        gap = F.max(position - F.floor(position))
-        out.append((low + (high - low) * gap).alias(quantile_name(share)))
-    return ranked.groupBy(*by, "column").agg(F.max("n_all").alias("n"), *out)
+    for i in range(width):
+        few = F.col(f"n{i}") < 4 / REACH
+        out.append(F.col(f"n{i}"))
+        for name, ends, start, outer in (("low", low, 0, float("-inf")), ("high", high, m, float("nan"))):
+            edges = [
+                F.lit(outer) if ends[j] in (0.0, 1.0)
+                else F.when(few, F.lit(outer)).otherwise(F.get(f"b{i}", F.lit(start + j)))
+                for j in range(m)
+            ]
+            out.append(F.array(*edges).alias(f"{name}{i}"))
+    return cut_lineage(sketched.select(*by, *out), "brackets")
+
+
+def quantiles(
+    df: DataFrame, columns: Sequence[str], shares: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per (by…, column).
+
+    A sketch brackets each quantile, a second pass counts the rows below the bracket and ranks only the
+    values inside it. So of a continuous column about 2·REACH of the rows are shuffled for each share,
+    and of a discrete one a few rows per task. Columns without a known value have no row.
+    """
+    by, m = list(by), len(shares)
+    known = df.select(*by, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    known = known.dropna(subset=by) if by else known
+    brackets = _brackets(known, len(columns), shares, by)
+    if by:
+        rows = known.join(brackets, by)
+    else:
+        # One row, of as many numbers as columns and shares.
+        only = brackets.first()
+        rows = known.withColumns({c: F.lit(only[c]) for c in brackets.columns})
+    below, inside = [], []
+    for i in range(len(columns)):
+        v = F.col(f"v{i}")
+        for j in range(m):
+            low, high = F.get(f"low{i}", F.lit(j)), F.get(f"high{i}", F.lit(j))
+            below.append(F.struct(
+                F.lit(i).alias("i"), F.lit(j).alias("j"), F.max(f"n{i}").alias("n_all"),
+                F.count_if(v < low).alias("below"),
+            ))
+            hit = F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("value"))
+            inside.append(F.when((v >= low) & (v <= high), hit))
+    counts = rows.groupBy(*by).agg(F.array(*below).alias("e")).select(*by, F.explode("e").alias("e")).select(*by, "e.*")
+    merged = (
+        rows.select(*by, F.explode(F.array_compact(F.array(*inside))).alias("e")).select(*by, "e.*")
+        .groupBy(*by, "i", "j", "value").agg(F.count("*").alias("n"))
+    )
+    key = [*by, "i", "j"]
+    ranked = running_totals(merged, "value", ["n"], key).join(counts.withColumnRenamed("n_all", "rows"), key)
+    first = F.col("below") + F.col("n_before")
+    position = F.element_at(F.array(*[F.lit(float(q)) for q in shares]), F.col("j") + 1) * (F.col("rows") - 1)
+
+    def value_at(rank: Column) -> Column:
+        found = F.max(F.when((first <= rank) & (rank < first + F.col("n")), F.col("value")))
+        return F.coalesce(found, F.raise_error(F.lit("a quantile is outside its bracket")).cast("double"))
+
+    low, high, gap = value_at(F.floor(position)), value_at(F.ceil(position)), F.max(position - F.floor(position))
+    each = ranked.groupBy(*key).agg(F.max("rows").alias("n"), (low + (high - low) * gap).alias("q"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return each.groupBy(*by, "i").agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("j") == j, F.col("q"))).alias(quantile_name(q)) for j, q in enumerate(shares)]
+    ).select(*by, F.get(names, F.col("i")).alias("column"), "n", *[quantile_name(q) for q in shares])
 
 
 def cutoff_table(

@@ -7,7 +7,7 @@ import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Model, PipelineModel
+from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -15,14 +15,13 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propensa.functions.hashing import SEED
 from propensa.operators.balance import oversample
+from propensa.operators.boosting import TreeSum, boost, stumps
 from propensa.operators.evaluate import auc, binary_metrics
 from propensa.operators.features import folds
 from propensa.session import cut_lineage
@@ -30,8 +29,6 @@ from propensa.session import cut_lineage
 FEATURES = "features"
 # Spark's trees are at most this deep; an unlimited depth maps to it.
 DEEPEST = 30
-# AdaBoost stores its weights after this many rounds, so that plans stay short.
-ROUNDS_PER_STORE = 5
 
 
 def estimator(name: str, label: str, n_rows: int | None = None, weight: str | None = None,
@@ -57,15 +54,6 @@ def estimator(name: str, label: str, n_rows: int | None = None, weight: str | No
     if name == "gradient_boosting":
         settings = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": seed}
         return GBTClassifier(**common, **(settings | params))
-    if name == "boosted_regularized":
-        # Row and column subsampling, minimum gain and minimum child weight are the regularizers
-        # Spark's boosted trees offer; there is no L1/L2 term on leaf values.
-        settings = {
-            "maxIter": 150, "stepSize": 0.05, "maxDepth": 4, "subsamplingRate": 0.8,
-            "featureSubsetStrategy": "1.0", "minInfoGain": 0.0, "minInstancesPerNode": 1,
-            "seed": seed,
-        }
-        return GBTClassifier(**common, **(settings | params))
     raise ValueError(f"unknown classifier {name!r}")
 
 
@@ -79,7 +67,9 @@ def fit(name: str, train: DataFrame, label: str = "ProdTaken", weight: str | Non
     """Train one classifier on a table with a feature vector, a label and maybe a weight."""
     train = _two_classes(train, label)
     if name == "adaboost":
-        return adaboost(train, label, weight, seed=seed, **params)
+        return adaboost(train, label, weight, **params)
+    if name == "boosted_regularized":
+        return boost(train, label, weight, FEATURES, seed=seed, **params)
     n_rows = _mass(train, weight) if name == "logistic_regression" else None
     return estimator(name, label, n_rows, weight, seed, **params).fit(train)
 
@@ -91,60 +81,9 @@ def _mass(df: DataFrame, weight: str | None) -> float:
 
 
 def adaboost(train: DataFrame, label: str = "ProdTaken", weight: str | None = None, n: int = 50,
-             rate: float = 1.0, seed: int = SEED) -> PipelineModel:
-    """Boosted decision stumps with discrete weight updates (SAMME, two classes).
-
-    The first weights are those of the ``weight`` column, or equal. A round trains one stump on the
-    weighted rows, weighs it by its error and raises the weight of the rows it got wrong. It stops early when a stump is perfect or no better than chance.
-    The result is a pipeline of stumps and one SQL stage that adds up their votes.
-    """
-    total = float(train.count())
-    mass = _mass(train, weight)
-    start = F.lit(1.0) if weight is None else F.col(weight) * F.lit(total / mass if mass else 1.0)
-    rows = _two_classes(train.select(FEATURES, label, start.alias("w")), label)
-    stumps, alphas = [], []
-    for i in range(n):
-        vote = f"stump_{i}"
-        stump = DecisionTreeClassifier(
-            featuresCol=FEATURES, labelCol=label, weightCol="w", maxDepth=1, seed=seed + i,
-            predictionCol=vote, rawPredictionCol=f"{vote}_raw", probabilityCol=f"{vote}_p",
-            cacheNodeIds=False,
-        ).fit(rows)
-        voted = stump.transform(rows).select(FEATURES, label, "w", vote)
-        wrong = (F.col(vote) != F.col(label)).cast("double")
-        sums = voted.agg(F.sum(F.col("w") * wrong).alias("e"), F.sum("w").alias("w")).first()
-        error = sums["e"] / sums["w"]
-        if error >= 0.5:
-            break
-        if error <= 0:
-            stumps.append(stump)
-            alphas.append(1.0)
-            break
-        alpha = rate * math.log((1 - error) / error)
-        stumps.append(stump)
-        alphas.append(alpha)
-        # New weights, scaled back to a sum of one per row on average.
-        norm = total / (sums["w"] + sums["e"] * (math.exp(alpha) - 1))
-        rows = voted.select(
-            FEATURES, label, (F.col("w") * F.exp(alpha * wrong) * F.lit(norm)).alias("w")
-        )
-        if (i + 1) % ROUNDS_PER_STORE == 0:
-            rows = cut_lineage(rows, "boost")
-    if not stumps:
-        raise ValueError("no stump is better than chance")
-    votes = " + ".join(
-        f"({a!r}D * (2 * {s.getPredictionCol()} - 1))" for a, s in zip(alphas, stumps)
-    )
-    hidden = ", ".join(
-        c for s in stumps
-        for c in (s.getPredictionCol(), s.getRawPredictionCol(), s.getProbabilityCol())
-    )
-    decision = f"(({votes}) / {sum(alphas)!r}D)"
-    total_vote = SQLTransformer(
-        statement=f"SELECT * EXCEPT ({hidden}), 1 / (1 + exp(-{decision})) AS score, "
-        f"CAST({decision} > 0 AS DOUBLE) AS prediction FROM __THIS__"
-    )
-    return PipelineModel([*stumps, total_vote])
+             rate: float = 1.0) -> TreeSum:
+    """Boosted decision stumps; see :func:`propensa.operators.boosting.stumps`."""
+    return stumps(train, label, weight, FEATURES, rounds=n, rate=rate)[0]
 
 
 def predict(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -155,6 +94,19 @@ def predict(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     return out.select(*keep, "score", F.col("prediction").cast("int").alias("prediction"))
 
 
+def scores_of(models: Mapping[str, Model], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep…, model, score, prediction): every model on every row, in one scan of ``df``."""
+    out, entries = df, []
+    for i, (name, model) in enumerate(models.items()):
+        step = model.transform(out)
+        score = F.col("score") if "score" in step.columns else vector_to_array("probability")[1]
+        out = step.select(*out.columns, score.alias(f"_s{i}"), F.col("prediction").cast("int").alias(f"_p{i}"))
+        entries.append(F.struct(
+            F.lit(name).alias("model"), F.col(f"_s{i}").alias("score"), F.col(f"_p{i}").alias("prediction")
+        ))
+    return out.select(*keep, F.explode(F.array(*entries)).alias("_m")).select(*keep, "_m.*")
+
+
 def metrics_of(scored: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
     """Label metrics and AUC per group of a table with ``score`` and ``prediction``."""
     hard = binary_metrics(scored, label, "prediction", by)
@@ -168,12 +120,12 @@ LINE_UP = {
     "random_forest": {"numTrees": 150},
     "adaboost": {"n": 100, "rate": 0.5},
     "gradient_boosting": {"maxIter": 150, "stepSize": 0.05, "maxDepth": 4},
-    "boosted_regularized": {"maxIter": 150, "stepSize": 0.05, "maxDepth": 4},
+    "boosted_regularized": {"rounds": 150, "rate": 0.05, "depth": 4},
 }
 
 
-# Parameter grids of the random searches, in the terms of Spark ML. An unlimited
-# depth is DEEPEST; minimum samples per split, L1 and L2 have no counterpart.
+# Parameter grids of the random searches, in the terms of Spark ML and of the boosted trees.
+# An unlimited depth is DEEPEST; minimum samples per split have no counterpart.
 FOREST_GRID = {
     "numTrees": [100, 200, 300, 500],
     "maxDepth": [5, 8, 12, DEEPEST],
@@ -182,13 +134,15 @@ FOREST_GRID = {
     "bootstrap": [True, False],
 }
 BOOSTED_GRID = {
-    "maxIter": [100, 200, 500, 1000],
-    "maxDepth": [3, 5, 7, 10],
-    "stepSize": [0.01, 0.05, 0.1, 0.2],
-    "subsamplingRate": [0.6, 0.8, 1.0],
-    "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
-    "minInfoGain": [0.0, 0.1, 0.3, 0.5],
-    "minInstancesPerNode": [1, 3, 5, 7],
+    "rounds": [100, 200, 500, 1000],
+    "depth": [3, 5, 7, 10],
+    "rate": [0.01, 0.05, 0.1, 0.2],
+    "rows": [0.6, 0.8, 1.0],
+    "columns": [0.6, 0.8, 1.0],
+    "min_gain": [0.0, 0.1, 0.3, 0.5],
+    "child_weight": [1, 3, 5, 7],
+    "l1": [0, 0.01, 0.1, 1],
+    "l2": [0.1, 1, 5, 10],
 }
 
 
@@ -205,8 +159,8 @@ def compare(
     """One metrics row per model, best AUC first, and the trained models.
 
     ``weight`` is one column for all models, or the column of each by name (none where it is not
-    named). The fits are independent jobs, ``parallelism`` of them at a time. All models are scored into
-    one table and evaluated together. With ``on_train`` every model also gets a row for the train rows
+    named). The fits are independent jobs, ``parallelism`` of them at a time. All models score the rows in
+    one scan and are evaluated together. With ``on_train`` every model also gets a row for the train rows
     (column ``split``), to show over-fitting. Tables that the caller has cached stay cached.
     """
     given, held = (train, test), []
@@ -224,15 +178,10 @@ def compare(
             for n, p in line_up.items()
         }
         models = {n: f.result() for n, f in fits.items()}
-    parts = [("test", test)] + ([("train", train)] if on_train else [])
-    scored = None
-    for name, model in models.items():
-        for part, rows in parts:
-            one = predict(model, rows, [label]).select(
-                F.lit(name).alias("model"), F.lit(part).alias("split"), label, "score", "prediction"
-            )
-            scored = one if scored is None else scored.unionByName(one)
-    stored = cut_lineage(scored, "scored")
+    rows = test.select(label, FEATURES, F.lit("test").alias("split"))
+    if on_train:
+        rows = rows.unionByName(train.select(label, FEATURES, F.lit("train").alias("split")))
+    stored = cut_lineage(scores_of(models, rows, [label, "split"]), "scored")
     for df in held:
         df.unpersist()
     table = metrics_of(stored, label, ["model", "split"]).orderBy("split", F.desc("roc_auc"))
@@ -300,51 +249,41 @@ def random_search(
     """(metrics per setting, best setting, model refitted with it on all train rows).
 
     Settings are scored by cross-validation on stratified folds, by AUC or by accuracy. With ``balance`` synthetic
-    rows are made inside each training part, so none of them reaches the rows it is scored on.
+    rows are made inside each training part, so none of them reaches the rows it is scored on. Folds, and the grown
+    training part of each, are stored once and shared by all settings; ``parallelism`` fits run at a time.
     """
     settings = draw_settings(grid, n_iter, seed)
     if balance and weight:
         raise ValueError("rows are balanced by weights or by synthetic rows, not by both")
-    if name == "adaboost":
-        raise ValueError("adaboost has no settings that Spark's search can vary")
-    with_fold = _two_classes(folds(train, key, label, k, seed), label).persist()
-    if metric == "roc_auc":
-        judge = BinaryClassificationEvaluator(
-            labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0
-        )
-    elif metric == "accuracy":
-        judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    else:
+    if metric not in ("roc_auc", "accuracy"):
         raise ValueError("metric must be 'roc_auc' or 'accuracy'")
-    # The strength C of a regression stands for a penalty relative to the rows of a training part.
-    mass = _mass(with_fold, weight) * (k - 1) / k
-    base = estimator(name, label, mass, weight, seed)
-
-    def params(setting: Mapping) -> dict:
-        named = {("regParam" if p == "C" else p): 1.0 / (v * mass) if p == "C" else v for p, v in setting.items()}
-        return {base.getParam(p): v for p, v in named.items()}
-
-    maps = [params(s) for s in settings]
-    if not balance:
-        search = CrossValidator(
-            estimator=base, estimatorParamMaps=maps, evaluator=judge, numFolds=k,
-            foldCol="fold", parallelism=parallelism, seed=seed,
-        )
-        fitted = search.fit(with_fold)
-        scores, best = fitted.avgMetrics, fitted.bestModel
+    dealt = cut_lineage(_two_classes(folds(train, key, label, k, seed), label), "folds")
+    parts = []
+    for fold in range(k):
+        learn = dealt.where(F.col("fold") != fold).drop("fold")
+        if balance:
+            learn = cut_lineage(balanced(learn, key, label, seed=seed), "grown")
+        parts.append((learn.persist(), dealt.where(F.col("fold") == fold).drop("fold").persist()))
+    if metric == "roc_auc":
+        judge = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="score", numBins=0)
     else:
-        totals = [0.0] * len(settings)
-        for fold in range(k):
-            held = with_fold.where(F.col("fold") == fold)
-            grown = balanced(with_fold.where(F.col("fold") != fold), key, label, seed=seed).persist()
-            for i, one in base.fitMultiple(grown, maps):
-                totals[i] += judge.evaluate(one.transform(held))
-            grown.unpersist()
-        scores = [t / k for t in totals]
-        chosen = maps[max(range(len(scores)), key=scores.__getitem__)]
-        best = base.fit(balanced(train, key, label, seed=seed), chosen)
-    with_fold.unpersist()
+        judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+
+    def judged(at: tuple[int, int]) -> float:
+        learn, held = parts[at[1]]
+        model = fit(name, learn, label, weight, seed, **settings[at[0]])
+        return judge.evaluate(predict(model, held, [label]).withColumn("prediction", F.col("prediction").cast("double")))
+
+    tasks = [(i, fold) for i in range(len(settings)) for fold in range(k)]
+    with ThreadPoolExecutor(parallelism) as jobs:
+        found = dict(zip(tasks, jobs.map(judged, tasks)))
+    for learn, held in parts:
+        learn.unpersist()
+        held.unpersist()
+    scores = [sum(found[i, fold] for fold in range(k)) / k for i in range(len(settings))]
     top = max(range(len(scores)), key=scores.__getitem__)
+    whole = balanced(train, key, label, seed=seed) if balance else train
+    best = fit(name, whole, label, weight, seed, **settings[top])
     rows = [
         (i, ", ".join(f"{p}={v}" for p, v in sorted(s.items())), float(m))
         for i, (s, m) in enumerate(zip(settings, scores))

@@ -19,6 +19,7 @@ from propensa.operators.features import (
     fitted_fills,
     folds,
     split,
+    with_class_weights,
 )
 from propensa.operators.neighbours import knn
 from propensa.plans import sql
@@ -260,7 +261,7 @@ def union_resampled(spark, sf_dir):
 
 #: Share of the rounds and trees of the line-up that the registered queries train, 1 for all of them.
 ROUNDS_SHARE = float(os.environ.get("PROPENSA_ROUNDS_SHARE", "1"))
-_ROUNDS = ("n", "numTrees", "maxIter")
+_ROUNDS = ("n", "numTrees", "maxIter", "rounds")
 
 
 def _sized(name: str) -> dict:
@@ -272,13 +273,20 @@ def _sized(name: str) -> dict:
 
 
 _LINE_UP = {name: _sized(name) for name in training.LINE_UP}
-#: Models that are trained on weighted rows; plain boosting is not.
+#: Models that are trained on weighted rows; plain boosting is not, regularized boosting weighs the positives only.
 _WEIGHTS = {name: None if name in ("adaboost", "gradient_boosting") else "weight" for name in _LINE_UP}
+_WEIGHTS["boosted_regularized"] = "ratio"
+
+
+def _line_up_matrix(spark, sf_dir):
+    """Train rows with both kinds of weights, test rows, preprocessing."""
+    train, test, pre = trained_matrix(spark, sf_dir)
+    return with_class_weights(train, LABEL, "ratio", "ratio"), test, pre
 
 
 def _scores_of(name: str):
     def plan(spark, sf_dir):
-        train, test, _ = trained_matrix(spark, sf_dir)
+        train, test, _ = _line_up_matrix(spark, sf_dir)
         model = training.fit(name, cached(train), weight=_WEIGHTS[name], **_LINE_UP[name])
         return rounded(training.predict(model, test, [KEY, LABEL]))
 
@@ -308,7 +316,7 @@ def _compared(spark, sf_dir, split: str | None = "test"):
     """
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _metrics:
-        train, test, _ = trained_matrix(spark, sf_dir)
+        train, test, _ = _line_up_matrix(spark, sf_dir)
         table, _ = training.compare(train, test, _LINE_UP, weight=_WEIGHTS, on_train=True)
         _metrics[at] = cut_lineage(table, "metrics")
     table = _metrics[at]

@@ -486,7 +486,7 @@ def test_adaboost_beats_chance_and_stops_when_perfect(spark):
     assert evaluate.binary_metrics(judged, "y", "prediction").first()["accuracy"] > 0.8
     assert evaluate.auc(judged, "y", "score").first()["auc"] > 0.9
     easy = cached(df.select((F.col("v")[0] > 0).cast("int").alias("y"), array_to_vector("v").alias("features")))
-    assert len(training.fit("adaboost", easy, label="y", n=8).stages) < 9
+    assert len(training.fit("adaboost", easy, label="y", n=8).nodes()) < 8
 
 
 def test_search_by_accuracy(spark, unbalanced):
@@ -562,3 +562,111 @@ def test_scoring_fills_missing_columns(spark, sf_dir):
     assert all(0 <= r["probability"] <= 1 for r in judged)
     rows = customer_profile(spark, sf_dir).drop("ProdTaken", "OwnCar", "CityTier")
     assert serve.score(rows, made).count() == 150
+
+
+# Searches that prune, sketches that bracket
+
+
+def test_knn_compares_few_rows_and_survives_a_hot_vector(spark):
+    rng = np.random.default_rng(12)
+    scattered = np.hstack([rng.normal(size=(900, 2)), rng.integers(0, 2, (900, 8)), rng.integers(0, 6, (900, 2))])
+    points = np.vstack([scattered, np.repeat(scattered[:1], 600, axis=0)]).astype(float)
+    ids = [int(i) for i in rng.permutation(len(points))]
+    assert found_neighbours(spark, points, ids) == brute_neighbours(points, ids, 5)
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in zip(ids, points)], "id long, v array<double>")
+    cost = neighbours.search_cost(rows, "id", "v").first()
+    assert cost["n"] == 1500 and 0 < cost["share"] < 0.2
+
+
+def test_quantiles_shuffle_few_rows(spark):
+    n = 40_000
+    df = spark.range(n).select(
+        (F.col("id") % 2).cast("int").alias("g"), F.sqrt(F.col("id")).alias("x"), (F.col("id") % 7).alias("d"),
+        F.when(F.col("id") % 3 == 0, -F.col("id")).alias("y"), F.lit(None).cast("double").alias("none"),
+    )
+    shares = [0, 0.001, 0.25, 0.5, 0.999, 1]
+    whole = {r["column"]: r for r in ordered.quantiles(df, ["x", "d", "y", "none"], shares).collect()}
+    values = {"x": [math.sqrt(i) for i in range(n)], "d": [i % 7 for i in range(n)], "y": [-i for i in range(0, n, 3)]}
+    assert set(whole) == set(values)
+    for c, v in values.items():
+        assert whole[c]["n"] == len(v)
+        for q in shares:
+            assert whole[c][ordered.quantile_name(q)] == pytest.approx(brute_quantile(v, q)), (c, q)
+    parts = {(r["g"], r["column"]): r for r in ordered.quantiles(df, ["x", "y"], [0.25, 0.5], ["g"]).collect()}
+    for g in (0, 1):
+        assert parts[g, "x"]["q50"] == pytest.approx(brute_quantile(values["x"][g::2], 0.5))
+        assert parts[g, "y"]["q25"] == pytest.approx(brute_quantile([-i for i in range(0, n, 3) if i % 2 == g], 0.25))
+    plan = ordered.quantiles(df, ["x"], [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_quantiles_rank_only_the_bracket(spark):
+    known = spark.range(40_000).select(F.sqrt("id").alias("v0"))
+    only = ordered._brackets(known, 1, [0.25, 0.5, 0.75], []).first()
+    inside = sum(known.where(F.col("v0").between(a, b)).count() for a, b in zip(only["low0"], only["high0"]))
+    assert 0 < inside < 0.05 * 40_000
+
+
+def test_quantiles_order_nan_last(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,)], "x double")
+    row = ordered.quantiles(df, ["x"], [0, 0.5]).first()
+    assert (row["q0"], row["q50"], row["n"]) == (1.0, 2.0, 3)
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 100)) + 1e6
+    x[:, 1] = 3 * x[:, 0] - 7
+    x[:, 2] = 5.0
+    holes = rng.random(x.shape) < 0.1
+    rows = [[None if h else float(v) for v, h in zip(r, g)] for r, g in zip(x, holes)]
+    names = [f"c{i}" for i in range(100)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    got = {(r["x"], r["y"]): r["r"] for r in explore.correlations(df, names).collect()}
+    assert len(got) == 10_000
+    for i, j in [(0, 0), (0, 1), (3, 4), (4, 3), (50, 99)]:
+        both = ~holes[:, i] & ~holes[:, j]
+        assert got[names[i], names[j]] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-6)
+    assert math.isnan(got["c2", "c3"])
+    one = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, b double")
+    assert {r["r"] for r in explore.correlations(one, ["a", "b"]).where("x != y").collect()} == {None}
+    plan = explore.correlations(df, names)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_discrete_columns_are_counted_without_copies_of_the_table(spark):
+    df = spark.range(5_000).select(
+        (F.col("id") % 25).alias("a"), (F.col("id") % 24).alias("b"), F.col("id").alias("c"),
+        F.when(F.col("id") % 2 == 0, F.col("id") % 50).alias("d"), F.lit(None).cast("int").alias("e"),
+    )
+    found = explore.discrete_or_continuous(df, list("abcde"))
+    assert {r["column"]: (r["n_distinct"], r["kind"]) for r in found.collect()} == {
+        "a": (25, "discrete"), "b": (24, "discrete"), "c": (5_000, "continuous"), "d": (26, "continuous"), "e": (1, "discrete"),
+    }
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    rough = explore.discrete_or_continuous(df, ["a", "c"], exact=False).collect()
+    assert {r["column"]: r["kind"] for r in rough} == {"a": "discrete", "c": "continuous"}
+
+
+def test_density_adds_up_to_one(spark):
+    df = spark.range(3_000).select((F.col("id") % 2).alias("g"), (F.sqrt("id") * F.lit(2.0)).alias("x"))
+    curve = explore.density(df, "x", ["g"], grid=150).orderBy("g", "x").collect()
+    assert len(curve) == 300
+    for g in (0, 1):
+        part = [r for r in curve if r["g"] == g]
+        area = sum((b["x"] - a["x"]) * (a["density"] + b["density"]) / 2 for a, b in zip(part, part[1:]))
+        assert area == pytest.approx(1, abs=0.02)
+
+
+def test_box_of_a_whole_table(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(9)] + [(100.0,), (None,)], "x double")
+    box = explore.box_stats(df, ["x"]).first()
+    assert (box["n"], box["median"], box["whisker_low"], box["whisker_high"], box["n_outliers"]) == (10, 4.5, 0.0, 8.0, 1)
+
+
+def test_cutoffs_are_found_once(spark):
+    df = spark.range(100).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"))
+    parted = features.split(df, "id", "y")
+    plan = parted._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "HashAggregate" not in plan
+    assert parted.where("split = 'test'").groupBy("y").count().orderBy("y").collect() == [(0, 15), (1, 5)]
