@@ -8,7 +8,7 @@ findings: by default those whose form settles the matter (provider formats and a
 against mail and network addresses, numbers, paths and plain words); a caller may bring labels of
 its own. Its score then decides all candidates, which removes false positives.
 
-Fitting looks at no more than ``FIT_ROWS`` labelled findings, chosen by a hash; every candidate of
+Labels by form leave out the findings that no form settles; on those the forest alone decides. Fitting looks at no more than ``FIT_ROWS`` labelled findings, chosen by a hash; every candidate of
 every whole text is scored. The main path is one row at a time, without shuffle.
 """
 
@@ -26,6 +26,8 @@ from propensa.session import cut_lineage
 
 #: Labelled findings that a forest is fitted on, at most, and the size of the dictionary of words around all candidates.
 FIT_ROWS = 20_000
+#: Labelled findings of either kind that a forest needs at least; with fewer the form of a finding decides.
+LEAST_LABELS = 10
 DICTIONARY_WORDS = 300
 MARK = "[SECRET]"
 
@@ -48,6 +50,8 @@ FEATURES = [
     "length", "digits", "upper", "lower", "hex", "distinct", "class_steps", "case_steps", "spoken", "dictionary",
     "dots", "slashes", "at_sign", "provider", "assigned", "near_for", "near_against", "quoted",
 ]
+#: Features that the labels by form are made of; a forest that learns from such labels does not see them.
+SETTLING = ["provider", "assigned"]
 
 
 def _count(v: Column, kind: str) -> Column:
@@ -162,30 +166,37 @@ def form_label() -> Column:
     )
 
 
-def fit(measured: DataFrame, label: Column | None = None, rows: int = FIT_ROWS):
-    """A forest from at most ``rows`` labelled findings, or None if they do not hold both labels."""
+def fit(measured: DataFrame, label: Column | None = None, rows: int = FIT_ROWS, least: int = LEAST_LABELS):
+    """(forest, its features) from at most ``rows`` labelled findings, or None for fewer than ``least`` of either label.
+
+    Without ``label`` the findings are labelled by their form, and the features that settle the form are left
+    out: the forest has to tell from length, transitions, words and neighbours what it is given.
+    """
+    used = FEATURES if label is not None else [f for f in FEATURES if f not in SETTLING]
     known = measured.withColumn("label", (form_label() if label is None else label).cast("double")).where("label is not null")
     chosen = (
-        known.select("label", *[f"f_{f}" for f in FEATURES]).orderBy(F.xxhash64("key_", "word", "value")).limit(rows)
+        known.select("label", *[f"f_{f}" for f in used]).orderBy(F.xxhash64("key_", "word", "value")).limit(rows)
         if {"key_", "word"} <= set(measured.columns) else known.limit(rows)
     )
     chosen = chosen.persist()
     try:
-        if {r["label"] for r in chosen.select("label").distinct().collect()} != {0.0, 1.0}:
+        counts = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
+        if min(counts.get(0.0, 0), counts.get(1.0, 0)) < least:
             return None
-        ready = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features").transform(chosen)
+        ready = VectorAssembler(inputCols=[f"f_{f}" for f in used], outputCol="features").transform(chosen)
         forest = RandomForestClassifier(labelCol="label", numTrees=30, maxDepth=8, seed=11, featureSubsetStrategy="sqrt")
-        return forest.fit(ready)
+        return forest.fit(ready), used
     finally:
         chosen.unpersist()
 
 
-def judged(measured: DataFrame, forest) -> DataFrame:
-    """``measured`` with score and is_secret; without a forest the form alone decides."""
-    if forest is None:
+def judged(measured: DataFrame, fitted) -> DataFrame:
+    """``measured`` with score and is_secret; where nothing could be fitted the form alone decides."""
+    if fitted is None:
         scored = measured.withColumn("score", F.coalesce(form_label(), F.lit(0)).cast("double"))
     else:
-        ready = VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features").transform(measured)
+        forest, used = fitted
+        ready = VectorAssembler(inputCols=[f"f_{f}" for f in used], outputCol="features").transform(measured)
         scored = forest.transform(ready).withColumn("score", vector_to_array("probability")[1])
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
 
