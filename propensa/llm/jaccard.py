@@ -6,8 +6,11 @@ the Jaccard similarity. One run splits all sets recursively: a node draws some o
 over the threshold on average, and sends every set to a child for the value at each of them, so
 that sets above the threshold meet in a child about as often as they part. Nodes of up to ``LIMIT``
 sets are compared by brute force. A larger node first compares all its sets with one of them, the
-pivot; sets nearly equal to it need not go on, as whatever they are linked to is close to the pivot
-too, and the others are split further. The more splits a pair has to survive, the more seldom one run brings it
+pivot, drawn by a hash of its own for every node. Sets as close to it as the threshold need not go on: by the
+triangle inequality whatever they are linked to is within two such distances of the pivot, and sets that close to it are
+proposed together. An estimate that is too low for that in one node is made against another pivot in the
+next. The others are split further. So a crowd of near copies leaves a node within a few splits instead of being
+copied from level to level. The more splits a pair has to survive, the more seldom one run brings it
 together. The first runs are as many as the target recall asks for a pair that agrees in a threshold's share of its
 places and is split ``LEVELS`` times; the sets that still stood in a large node then go through runs with new seeds, until
 there are as many as the deepest split that was reached asks for.
@@ -46,7 +49,7 @@ PLACES = 64
 #: Estimate from which a pair is proposed: four such errors below the threshold.
 PROPOSED = THRESHOLD - 0.2
 #: Estimate from which a set is let go with its pivot.
-NEAR_PIVOT = 0.9
+NEAR_PIVOT = THRESHOLD
 LIMIT = 64
 #: Splits that the first runs are made for.
 LEVELS = 4
@@ -95,11 +98,11 @@ def sketch_task(size: int):
                 hashes, of = shingles(*ta.flat(rp.field(piece, "text")), size)
                 first = np.searchsorted(of, np.arange(piece.num_rows + 1))
                 some = np.flatnonzero(np.diff(first) > 0)
-                embedded = np.zeros((piece.num_rows, PLACES), dtype=np.uint32)
+                embedded = np.zeros((piece.num_rows, PLACES), dtype=np.uint16)
                 if len(some):
                     for j in range(PLACES):
                         turned = hashes * factor[j]
-                        embedded[some, j] = np.minimum.reduceat(turned, first[some]) >> np.uint64(32)
+                        embedded[some, j] = np.minimum.reduceat(turned, first[some]) >> np.uint64(48)
                 whole = ta.slice_hashes(hashes, first[:-1], first[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -121,8 +124,8 @@ def binaries(rows: np.ndarray) -> pa.Array:
 
 
 def embeddings(column: pa.Array) -> np.ndarray:
-    """The matrix back from the binary values."""
-    body = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint32)
+    """The matrix back from the binary values; 16 bits of a hash are equal by chance once in 65,536 places."""
+    body = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint16)
     return body[column.offset * PLACES : (column.offset + len(column)) * PLACES].reshape(-1, PLACES)
 
 
@@ -283,7 +286,8 @@ def descended(
     levels, crowded, links = 2, [], []
     while True:
         frontier = frontier.select("path", "cid")
-        nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1")
+        lot = F.min(F.struct(F.xxhash64("path", "cid").alias("lot"), "cid"))["cid"]
+        nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), lot.alias("pivot")).where("n > 1")
         live = cut_lineage(frontier.join(rp.apart(nodes), "path"), "nodes")
         members = live.join(reps.select("cid", "sig"), "cid")
         small = members.where(F.col("n") <= LIMIT).select("path", "cid", "sig")
