@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propensa.llm import bpe, decontaminate, jaccard, secrets, toxicity
@@ -17,10 +17,17 @@ from propensa.session import cut_lineage
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The documents with all columns but id and text under names that no stage uses, and their own columns back from these."""
+    names = {c: c if c in ("doc_id", "text") else f"given_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), [F.col(inner).alias(c) for c, inner in names.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs).where("predicted = 0").select(*docs.columns)
+    given, own = _apart(docs)
+    model = toxicity.fit(given, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.score(given).where("predicted = 0").select(*own)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +37,9 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("n_hit = 0").select(*docs.columns)
+    given, own = _apart(docs)
+    found = decontaminate.decontaminate(given, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("n_hit = 0").select(*own)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
