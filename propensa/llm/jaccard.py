@@ -6,14 +6,15 @@ the Jaccard similarity. One run splits all sets recursively: a node draws some o
 over the threshold on average, and sends every set to a child for the value at each of them, so
 that sets above the threshold meet in a child about as often as they part. Nodes of up to ``LIMIT``
 sets are compared by brute force. A larger node first compares all its sets with one of them, the
-pivot, drawn by a hash of its own for every node. Sets as close to it as the threshold need not go on: by the
-triangle inequality whatever they are linked to is within two such distances of the pivot, and sets that close to it are
-proposed together. An estimate that is too low for that in one node is made against another pivot in the
-next. The others are split further. So a crowd of near copies leaves a node within a few splits instead of being
-copied from level to level. The more splits a pair has to survive, the more seldom one run brings it
+pivot, drawn by a hash of its own for every node. Sets nearly as close to it as the threshold need not go on: what
+they are linked to is close to the pivot, too, and all sets not far from it are proposed together. An estimate that is too low
+for that in one node is made against other pivots in other nodes and runs. The others are split further. So a
+crowd of near copies leaves a node within a few splits instead of being copied from level to level. The more splits a pair has to survive, the more seldom one run brings it
 together. The first runs are as many as the target recall asks for a pair that agrees in a threshold's share of its
 places and is split ``LEVELS`` times; the sets that still stood in a large node then go through runs with new seeds, until
-there are as many as the deepest split that was reached asks for.
+there are as many as the deepest split that was reached asks for. A node of which the pivot ties a tenth or more does not count
+for that: if a share f of a node's sets is tied at every split, and a similar pair as often, one run brings it together with a
+probability r = f + (1 - f)(1 - exp(-r)) at any depth, which for a tenth is 0.35, more than the first runs are made for.
 
 Runs only propose which sets belong together. Each proposed group is then compared exactly, all
 members with all, in cells of two blocks of bounded size; groups of any size are spread over cells,
@@ -48,9 +49,12 @@ RECALL = 0.999
 PLACES = 64
 #: Estimate from which a pair is proposed: four such errors below the threshold.
 PROPOSED = THRESHOLD - 0.2
-#: Estimate from which a set is let go with its pivot.
-NEAR_PIVOT = THRESHOLD
+#: Estimate from which a set is let go with its pivot. A partner of it is about as close, and proposed with the same
+#: pivot or, where the estimate is too low for that, with that of another node or run.
+NEAR_PIVOT = THRESHOLD - 0.1
 LIMIT = 64
+#: Share of a large node's sets that its pivot has to tie for the node not to count as a split.
+TIED = 0.1
 #: Splits that the first runs are made for.
 LEVELS = 4
 BLOCK = 256
@@ -249,8 +253,9 @@ def split_task(threshold: float):
                     pa.array(np.concatenate([np.ones(len(near), bool), np.zeros(len(row), bool)])),
                     pa.array(np.concatenate([of[near], below.view(np.int64)])),
                     pa.array(np.concatenate([cid[near], cid[on[row]]])),
+                    pa.array(np.concatenate([path[near], path[on[row]]])),
                 ],
-                names=["link", "path", "cid"],
+                names=["link", "path", "cid", "node"],
             )
 
     return run
@@ -281,31 +286,40 @@ def united(parts: list[DataFrame]) -> DataFrame:
 def descended(
     sets: DataFrame, reps: DataFrame, first: int, runs: int, threshold: float
 ) -> tuple[int, list[DataFrame], list[DataFrame]]:
-    """(splits, sets still in large nodes after ``LEVELS`` of them, links) of the runs ``first`` to below ``runs``."""
+    """(splits of large nodes that their pivot did not tie, the sets in them after ``LEVELS``, links) of the runs ``first`` to below ``runs``."""
     frontier = sets.mapInArrow(root_task(first, runs, threshold), "path bigint, cid bigint")
-    levels, crowded, links = 2, [], []
+    levels, deepest, crowded, links = 2, 2, [], []
     while True:
         frontier = frontier.select("path", "cid")
-        lot = F.min(F.struct(F.xxhash64("path", "cid").alias("lot"), "cid"))["cid"]
-        nodes = frontier.groupBy("path").agg(F.count("*").alias("n"), lot.alias("pivot")).where("n > 1")
+        # A lot that its owner can be told from, so that numbers alone are aggregated.
+        turn = F.xxhash64("path")
+        nodes = (
+            frontier.groupBy("path").agg(F.count("*").alias("n"), F.min(F.col("cid").bitwiseXOR(turn)).alias("lot"))
+            .where("n > 1").select("path", "n", F.col("lot").bitwiseXOR(turn).alias("pivot"))
+        )
         live = cut_lineage(frontier.join(rp.apart(nodes), "path"), "nodes")
         members = live.join(reps.select("cid", "sig"), "cid")
         small = members.where(F.col("n") <= LIMIT).select("path", "cid", "sig")
         ordered = small.repartition("path").sortWithinPartitions("path", "cid")
         links.append(cut_lineage(ordered.mapInArrow(small_task, "a bigint, b bigint"), "links"))
         if live.where(F.col("n") > LIMIT).isEmpty():
-            return levels, crowded, links
-        if levels >= LEVELS:
-            crowded.append(live.where(F.col("n") > LIMIT).select("cid"))
+            return deepest, crowded, links
         pivots = reps.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig"))
         large = members.where(F.col("n") > LIMIT).join(pivots, "pivot")
         split = cut_lineage(
             large.select("path", "cid", "sig", "pivot", "pivot_sig")
-            .mapInArrow(split_task(threshold), "link boolean, path bigint, cid bigint"),
+            .mapInArrow(split_task(threshold), "link boolean, path bigint, cid bigint, node bigint"),
             "split",
         )
         links.append(split.where("link").select(F.col("path").alias("a"), F.col("cid").alias("b")))
-        frontier = split.where("not link")
+        if levels >= LEVELS:
+            tied = split.where("link").groupBy(F.col("node").alias("path")).agg(F.count("*").alias("tied"))
+            left = live.where(F.col("n") > LIMIT).join(tied, "path", "left")
+            left = cut_lineage(left.where(F.coalesce("tied", F.lit(0)) < TIED * F.col("n")).select("cid").distinct(), "crowded")
+            if not left.isEmpty():
+                deepest = levels
+                crowded.append(left)
+        frontier = split.where("not link").select("path", "cid")
         levels += 1
 
 
