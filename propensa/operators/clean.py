@@ -86,43 +86,49 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {r["column"]: r["q50"] for r in quantiles(df, columns, [0.5]).collect()}
 
 
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
 def mode_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, number, text, n): the most frequent value of each column, smallest on ties.
+    """(column, number, whole, text, n): the most frequent value of each column, smallest on ties.
 
+    The value is in ``whole`` for integers of any size, in ``text`` for texts and booleans, else in ``number``.
     Values are counted before they are compared, so no task ever holds all values of a column.
     """
     types = dict(df.dtypes)
 
     def entry(c: str) -> Column:
-        is_text = types[c] in ("string", "boolean")
+        is_text, is_whole = types[c] in ("string", "boolean"), types[c] in WHOLE
         return F.struct(
             F.lit(c).alias("column"),
-            (F.lit(None) if is_text else F.col(c)).cast("double").alias("number"),
+            (F.lit(None) if is_text or is_whole else F.col(c)).cast("double").alias("number"),
+            (F.col(c) if is_whole else F.lit(None)).cast("bigint").alias("whole"),
             (F.col(c) if is_text else F.lit(None)).cast("string").alias("text"),
         )
 
     long = df.select(F.explode(F.array(*[entry(c) for c in columns])).alias("e")).select("e.*")
     counted = (
-        long.where(F.col("number").isNotNull() | F.col("text").isNotNull())
-        .groupBy("column", "number", "text")
+        long.where(F.coalesce(F.col("number").cast("string"), F.col("whole").cast("string"), "text").isNotNull())
+        .groupBy("column", "number", "whole", "text")
         .agg(F.count("*").alias("n"))
     )
-    best = F.min(F.struct((-F.col("n")).alias("less"), "number", "text")).alias("b")
+    best = F.min(F.struct((-F.col("n")).alias("less"), "number", "whole", "text")).alias("b")
     return counted.groupBy("column").agg(best).select(
-        "column", "b.number", "b.text", (-F.col("b.less")).alias("n")
+        "column", "b.number", "b.whole", "b.text", (-F.col("b.less")).alias("n")
     )
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict:
+    """The most frequent value by column; an integer column's is an int."""
     if not columns:
         return {}
     rows = mode_table(df, columns).collect()
-    return {r["column"]: r["text"] if r["text"] is not None else r["number"] for r in rows}
+    return {r["column"]: next(v for v in (r["text"], r["whole"], r["number"]) if v is not None) for r in rows}
 
 
 def fit_impute(
     df: DataFrame, median: Sequence[str] = (), mode: Sequence[str] = ()
-) -> dict[str, float | str]:
+) -> dict[str, float | int | str]:
     """Fill value per column, learned from ``df``; columns without any value are left out."""
     # Two independent jobs over the same rows; Spark runs them side by side.
     with ThreadPoolExecutor(2) as jobs:
@@ -136,20 +142,22 @@ def impute(
     mode: Sequence[str] = MODE_COLUMNS,
     fills: Mapping | None = None,
 ) -> DataFrame:
-    """Fill nulls with medians and modes, learned from ``df`` unless ``fills`` is given."""
+    """Fill nulls with medians and modes, learned from ``df`` unless ``fills`` is given.
+
+    An integer column stays one when an integer, such as its mode, fills it; a median makes it double.
+    """
     if fills is None:
         present = set(df.columns)
         fills = fit_impute(
             df, [c for c in median if c in present], [c for c in mode if c in present]
         )
     types = dict(df.dtypes)
-    return df.withColumns(
-        {
-            c: F.coalesce(F.col(c), F.lit(v).cast(types[c] if types[c] in ("string", "boolean") else "double"))
-            for c, v in fills.items()
-            if c in types
-        }
-    )
+
+    def kind(c: str, v) -> str:
+        keeps = types[c] in ("string", "boolean") or (types[c] in WHOLE and isinstance(v, int))
+        return types[c] if keeps else "double"
+
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(kind(c, v))) for c, v in fills.items() if c in types})
 
 
 def clean(df: DataFrame, key: str = "CustomerID", keep_key: bool = False) -> DataFrame:

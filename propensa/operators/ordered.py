@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from propensa.session import cut_lineage
 
+# Rows of a slice whose running totals are summed up in one task.
+SLICE_ROWS = 200_000
 # A digest slice is its first four hex digits: at most 65,536 slices.
 SLICE_DIGITS = 4
 
@@ -49,27 +51,27 @@ def running_totals(
     With ``prior`` also ``<m>_prior``, the measure of the next smaller ``order``.
 
     ``counts`` holds one row per (``by``, ``order``), already aggregated, with non-null keys and
-    a numeric ``order``. Slices are cut at approximate quantiles of ``order``, so they hold
-    similar row numbers whatever the distribution looks like.
+    a numeric ``order``; it is stored, as several steps read it. Slices are cut at approximate quantiles of ``order``, so they hold
+    similar row numbers whatever the distribution looks like: about SLICE_ROWS rows, unless their number is given.
     """
     by = list(by)
     if slices is None:
-        slices = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if slices > 1:
-        shares = [i / slices for i in range(1, slices)]
-        # The measures are summed along so that this query reads the very shuffle of ``counts``
-        # that the main query reads, and Spark runs it once.
-        found = counts.agg(
-            F.struct(
-                F.percentile_approx(order, shares, 10_000).alias("bounds"),
-                *[F.sum(m).alias(m) for m in measures],
-            ).alias("found")
+        counts = cut_lineage(counts, "counts")
+        slices = max(1, -(-counts.count() // SLICE_ROWS))
+    if slices == 1:
+        whole = Window.partitionBy(*by)
+        rows = whole.orderBy(order)
+        before = rows.rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(
+            "*",
+            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_before") for m in measures],
+            *[F.sum(m).over(whole).alias(f"{m}_all") for m in measures],
+            *[F.lag(m).over(rows).alias(f"{m}_prior") for m in measures if prior],
         )
-        sliced = counts.withColumn("_bounds", found.scalar()["bounds"])
-        sliced = sliced.withColumn("_slice", _slice_of(F.col(order), F.col("_bounds"), slices))
-        sliced = sliced.drop("_bounds")
-    else:
-        sliced = counts.withColumn("_slice", F.lit(0))
+    shares = [i / slices for i in range(1, slices)]
+    bounds = counts.agg(F.percentile_approx(order, shares, max(10_000, 10 * slices)).alias("bounds")).scalar()
+    sliced = counts.withColumn("_bounds", bounds)
+    sliced = sliced.withColumn("_slice", _slice_of(F.col(order), F.col("_bounds"), slices)).drop("_bounds")
     lasts = [F.max_by(m, order).alias(f"_{m}_last") for m in measures] if prior else []
     per_slice = sliced.groupBy(*by, "_slice").agg(*[F.sum(m).alias(m) for m in measures], *lasts)
     group = Window.partitionBy(*by)

@@ -124,6 +124,17 @@ LINE_UP = {
 }
 
 
+# The line-up for rows balanced by synthetic ones, and the weight of positives in its regularized boosting.
+BALANCED_LINE_UP = {
+    "logistic_regression": {"C": 1.0, "maxIter": 1000},
+    "decision_tree": {},
+    "random_forest": {"numTrees": 200},
+    "gradient_boosting": {"maxIter": 150, "stepSize": 0.1, "maxDepth": 3},
+    "boosted_regularized": {"rounds": 150, "rate": 0.3, "depth": 6},
+}
+BALANCED_POSITIVE_WEIGHT = 4.0
+
+
 # Parameter grids of the random searches, in the terms of Spark ML and of the boosted trees.
 # An unlimited depth is DEEPEST; minimum samples per split have no counterpart.
 FOREST_GRID = {

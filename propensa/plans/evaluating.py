@@ -169,6 +169,31 @@ def roc_curve_corners(spark, sf_dir):
     )
 
 
+@query(
+    "roc_curve_collinear",
+    sql.using(
+        "scored",
+        """SELECT round(score, 9) AS threshold, round(fp / all_neg::DOUBLE, 6) AS fpr, round(tp / all_pos::DOUBLE, 6) AS tpr FROM (
+          SELECT *, row_number() OVER w AS i, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg
+          FROM fine_curve WINDOW w AS (ORDER BY score DESC))
+        WHERE i = 1 OR next_pos IS NULL OR next_pos != pos OR next_neg != neg
+        UNION ALL SELECT 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE""",
+        """fine AS (SELECT ProdTaken, score + CustomerID / 1e9::DOUBLE AS score FROM scored)""",
+        """fine_curve AS (
+          SELECT score, (ProdTaken = 1)::INT AS pos, (ProdTaken = 0)::INT AS neg,
+            sum((ProdTaken = 1)::INT) OVER (ORDER BY score DESC) AS tp, sum((ProdTaken = 0)::INT) OVER (ORDER BY score DESC) AS fp,
+            sum((ProdTaken = 1)::INT) OVER () AS all_pos, sum((ProdTaken = 0)::INT) OVER () AS all_neg FROM fine)""",
+    ),
+)
+def roc_curve_collinear(spark, sf_dir):
+    """A curve of scores that all differ: its many straight runs of one-row steps shrink to their ends."""
+    fine = scored(spark, sf_dir).withColumn("score", F.col("score") + F.col(KEY) / F.lit(1e9))
+    corners = evaluate.roc(fine, LABEL, "score", drop_collinear=True)
+    return corners.select(
+        F.round("threshold", 9).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr")
+    )
+
+
 _F1_AT = "2 * prec * rec / (prec + rec + 1e-9)"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from propensa.operators import serve, training
 from propensa.operators.balance import oversample, smote
-from propensa.operators.clean import align_columns
+from propensa.operators.clean import align_columns, clean, recode_values, variant
 from propensa.operators.evaluate import best_threshold, threshold_report
 from propensa.operators.features import (
     Preprocessor,
@@ -25,8 +26,8 @@ from propensa.operators.neighbours import knn
 from propensa.plans import sql
 from propensa.plans.common import kept_profile, parted, profile, rounded, trained_matrix
 from propensa.plans.registry import query
-from propensa.session import cached, cut_lineage, fresh_path
-from propensa.sources.schemas import KEY, LABEL
+from propensa.session import cached, cut_lineage, fresh_path, remembered
+from propensa.sources.schemas import KEY, LABEL, VARIANT_COLUMNS
 from propensa.streaming.scoring import score_stream
 
 _NOT_FEATURES = [KEY, LABEL, "split"]
@@ -132,6 +133,32 @@ def feature_matrix(spark, sf_dir):
     return rounded(pre.apply(rows, [KEY, LABEL, "split"]))
 
 
+@query(
+    "feature_matrix_cleaned",
+    sql.using("cleaned", _matrix_sql(sql.features(sql.CLEANED_CATEGORIES, sql.CLEANED_NUMERIC), "set_matrix"),
+              sql.matrix_of("cleaned", sql.CLEANED_NUMERIC, sql.CLEANED_CATEGORIES, imputed=False)),
+)
+def feature_matrix_cleaned(spark, sf_dir):
+    """The 17 columns of the cleaned table, encoded columns first; a category that no train row has is an error."""
+    rows = split(clean(kept_profile(spark, sf_dir), keep_key=True))
+    train = rows.where(F.col("split") == "train")
+    pre = Preprocessor.fit(train, _NOT_FEATURES, imputed=False, unknown="error", onehot_first=True)
+    return rounded(pre.apply(rows, [KEY]))
+
+
+@query(
+    "feature_matrix_variant",
+    sql.using("variant", _matrix_sql(sql.features(sql.VARIANT_CATEGORIES, sql.VARIANT_NUMERIC), "set_matrix"),
+              sql.matrix_of("variant", sql.VARIANT_NUMERIC, sql.VARIANT_CATEGORIES, imputed=True)),
+)
+def feature_matrix_variant(spark, sf_dir):
+    """The 16 columns of the derived variant, imputed from train rows, scaled columns first."""
+    rows = recode_values(kept_profile(spark, sf_dir))
+    rows = split(variant(rows).select(KEY, *VARIANT_COLUMNS))
+    pre = Preprocessor.fit(rows.where(F.col("split") == "train"), _NOT_FEATURES)
+    return rounded(pre.apply(rows, [KEY]))
+
+
 @query(
     "class_weights",
     sql.using(
@@ -264,17 +291,31 @@ ROUNDS_SHARE = float(os.environ.get("PROPENSA_ROUNDS_SHARE", "1"))
 _ROUNDS = ("n", "numTrees", "maxIter", "rounds")
 
 
-def _sized(name: str) -> dict:
+@contextlib.contextmanager
+def share_of_rounds(share: float):
+    """Train that share of the rounds and trees for a while, as to warm up or on a small test machine."""
+    global ROUNDS_SHARE
+    before, ROUNDS_SHARE = ROUNDS_SHARE, share
+    try:
+        yield
+    finally:
+        ROUNDS_SHARE = before
+
+
+def _sized(name: str, line_up=training.LINE_UP) -> dict:
     """The line-up's parameters of a model with the share of its rounds; regressions run to their end."""
-    given = dict(training.LINE_UP[name])
+    given = dict(line_up[name])
     if name == "logistic_regression":
         return given
     return {p: max(5, round(v * ROUNDS_SHARE)) if p in _ROUNDS else v for p, v in given.items()}
 
 
-_LINE_UP = {name: _sized(name) for name in training.LINE_UP}
+def _line_up(line_up=training.LINE_UP) -> dict[str, dict]:
+    return {name: _sized(name, line_up) for name in line_up}
+
+
 #: Models that are trained on weighted rows; plain boosting is not, regularized boosting weighs the positives only.
-_WEIGHTS = {name: None if name in ("adaboost", "gradient_boosting") else "weight" for name in _LINE_UP}
+_WEIGHTS = {name: None if name in ("adaboost", "gradient_boosting") else "weight" for name in training.LINE_UP}
 _WEIGHTS["boosted_regularized"] = "ratio"
 
 
@@ -287,14 +328,14 @@ def _line_up_matrix(spark, sf_dir):
 def _scores_of(name: str):
     def plan(spark, sf_dir):
         train, test, _ = _line_up_matrix(spark, sf_dir)
-        model = training.fit(name, cached(train), weight=_WEIGHTS[name], **_LINE_UP[name])
+        model = training.fit(name, cached(train), weight=_WEIGHTS[name], **_sized(name))
         return rounded(training.predict(model, test, [KEY, LABEL]))
 
     plan.__name__ = name
     return plan
 
 
-for _name in _LINE_UP:
+for _name in training.LINE_UP:
     query(_name)(_scores_of(_name))
 
 
@@ -306,20 +347,23 @@ def score_batch(spark, sf_dir):
     return rounded(training.predict(model, everyone, [KEY, LABEL]))
 
 
-_metrics: dict[tuple[str, str], object] = {}
+def _tables(sf_dir: str) -> list[str]:
+    """The tables that every model is learned from."""
+    return [f"{sf_dir}/{t}.parquet" for t in ("customer", "nation", "orders", "lineitem", "part")]
 
 
 def _compared(spark, sf_dir, split: str | None = "test"):
-    """Metrics of all six models on train and test rows, trained once per application and tables.
+    """Metrics of all six models on train and test rows, trained once per application and state of the tables.
 
     The metrics are stored in the shared folder; queries that sort or sum them up read them there.
     """
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _metrics:
+
+    def make():
         train, test, _ = _line_up_matrix(spark, sf_dir)
-        table, _ = training.compare(train, test, _LINE_UP, weight=_WEIGHTS, on_train=True)
-        _metrics[at] = cut_lineage(table, "metrics")
-    table = _metrics[at]
+        table, _ = training.compare(train, test, _line_up(), weight=_WEIGHTS, on_train=True)
+        return cut_lineage(table, "metrics")
+
+    table = remembered(spark, f"metrics-{ROUNDS_SHARE}", _tables(sf_dir), make)
     return table if split is None else table.where(F.col("split") == split)
 
 
@@ -328,6 +372,18 @@ def compare_models(spark, sf_dir):
     return rounded(_compared(spark, sf_dir).orderBy(F.desc("roc_auc")))
 
 
+@query("compare_models_balanced")
+def compare_models_balanced(spark, sf_dir):
+    """The line-up for balanced rows, trained on train rows and synthetic ones, judged on the test rows."""
+    train, test, _ = trained_matrix(spark, sf_dir)
+    grown = training.balanced(cached(train.drop("weight")))
+    mark = F.when(F.col(LABEL) == 1, training.BALANCED_POSITIVE_WEIGHT).otherwise(1.0)
+    table, _ = training.compare(
+        grown.withColumn("four", mark), test, _line_up(training.BALANCED_LINE_UP), weight={"boosted_regularized": "four"}
+    )
+    return rounded(table)
+
+
 @query("train_vs_test")
 def train_vs_test(spark, sf_dir):
     return rounded(_compared(spark, sf_dir, None).orderBy("split", F.desc("roc_auc")))
@@ -387,7 +443,7 @@ def kpis_with_best_scores(spark, sf_dir):
 def metrics_agree(spark, sf_dir):
     """The library's AUC and accuracy of a forest against Spark's own evaluators."""
     train, test, _ = trained_matrix(spark, sf_dir)
-    model = training.fit("random_forest", cached(train), weight="weight", **_LINE_UP["random_forest"])
+    model = training.fit("random_forest", cached(train), weight="weight", **_sized("random_forest"))
     judged = cached(training.predict(model, test, [KEY, LABEL]).withColumn("p", F.col("prediction").cast("double")))
     own = training.metrics_of(judged.withColumn("model", F.lit("forest")), LABEL, ["model"]).first()
     area = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="score", numBins=0).evaluate(judged)
@@ -410,7 +466,7 @@ def regression_optimum(spark, sf_dir):
     """Is the gradient of the penalised loss zero at the fitted coefficients?"""
     train, _, _ = trained_matrix(spark, sf_dir)
     kept = cached(train)
-    model = training.fit("logistic_regression", kept, weight="weight", **_LINE_UP["logistic_regression"])
+    model = training.fit("logistic_regression", kept, weight="weight", **_sized("logistic_regression"))
     mass = kept.agg(F.sum("weight").alias("w")).first()["w"]
     beta = [float(b) for b in model.coefficients]
     x = vector_to_array("features")
@@ -438,7 +494,7 @@ def tuned_forest(spark, sf_dir):
     dealt = cached(folds(train.drop("weight")))
     learn, check = dealt.where(F.col("fold") > 0).drop("fold"), dealt.where(F.col("fold") == 0)
     grown = training.balanced(learn)
-    model = training.fit("random_forest", cached(grown), **_LINE_UP["random_forest"])
+    model = training.fit("random_forest", cached(grown), **_sized("random_forest"))
     tuned = best_threshold(training.predict(model, check, [LABEL]), LABEL, "score").first()["threshold"]
     judged = cached(training.predict(model, test, [LABEL]))
     return rounded(threshold_report(judged, LABEL, "score", tuned))
@@ -456,7 +512,7 @@ def random_search(spark, sf_dir):
 
 def _forest_importances(spark, sf_dir):
     train, _, pre = trained_matrix(spark, sf_dir)
-    model = training.fit("random_forest", cached(train), weight="weight", **_LINE_UP["random_forest"])
+    model = training.fit("random_forest", cached(train), weight="weight", **_sized("random_forest"))
     return training.importances(model, pre.feature_names(), train)
 
 
@@ -494,31 +550,39 @@ def top_features(spark, sf_dir):
     return rounded(training.top_features(_forest_importances(spark, sf_dir), 15))
 
 
-def _bundle(spark, sf_dir) -> serve.Bundle:
-    """Trained on the train rows; the threshold is tuned on a validation part of them."""
+def _bundle(spark, sf_dir, names: tuple[str, ...] = tuple(training.LINE_UP)) -> serve.Bundle:
+    """The best of the named models and its threshold.
+
+    The models learn from four fifths of the train rows. The last fifth, which none of them has seen, decides
+    which has the highest AUC and tunes its threshold; the test rows play no part.
+    """
     rows = parted(spark, sf_dir)
     train = folds(rows.where(F.col("split") == "train"))
     learn, check = train.where(F.col("fold") > 0).drop("fold"), train.where(F.col("fold") == 0)
     pre = Preprocessor.fit(learn, _NOT_FEATURES)
-    model = training.fit(
-        "logistic_regression", cached(pre.matrix(learn, [KEY, LABEL])), **_LINE_UP["logistic_regression"]
-    )
-    judged = training.predict(model, pre.matrix(check, [KEY, LABEL]), [LABEL])
+    matrix = with_class_weights(with_class_weights(pre.matrix(learn, [KEY, LABEL]), LABEL), LABEL, "ratio", "ratio")
+    held = pre.matrix(check, [KEY, LABEL])
+    table, models = training.compare(cached(matrix), cached(held), {n: _sized(n) for n in names}, weight=_WEIGHTS)
+    best = training.best_model(table).first()["model"]
+    judged = training.predict(models[best], held, [LABEL])
     threshold = best_threshold(judged, LABEL, "score").first()["threshold"]
-    return serve.bundle(pre, model, threshold)
+    return serve.bundle(pre, models[best], threshold, best)
+
+
+def train_bundle(spark, sf_dir) -> str:
+    """Folder of the published bundles of these tables; the first is trained where there is none."""
 
+    def make():
+        root = fresh_path(spark, "bundles")
+        serve.publish(_bundle(spark, sf_dir), spark, root)
+        return root
 
-_bundles: dict[tuple[str, str], str] = {}
+    return remembered(spark, f"bundle-{ROUNDS_SHARE}", _tables(sf_dir), make)
 
 
 def _saved_bundle(spark, sf_dir) -> serve.Bundle:
-    """The bundle, trained once per application and tables and then loaded from the shared folder."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _bundles:
-        path = fresh_path(spark, "bundle")
-        serve.save(_bundle(spark, sf_dir), spark, path)
-        _bundles[at] = path
-    return serve.load(spark, _bundles[at])
+    """The latest published bundle; scoring loads it and trains nothing."""
+    return serve.current(spark, train_bundle(spark, sf_dir))
 
 
 _ALL_SAME = sql.using("profile", "SELECT CustomerID, TRUE AS same FROM profile")
@@ -527,10 +591,9 @@ _ALL_SAME = sql.using("profile", "SELECT CustomerID, TRUE AS same FROM profile")
 @query("model_roundtrip", _ALL_SAME)
 def model_roundtrip(spark, sf_dir):
     """Scores before saving and after loading, key by key; a row lost on either side is not the same."""
-    made = _bundle(spark, sf_dir)
-    path = fresh_path(spark, "bundle")
-    serve.save(made, spark, path)
-    loaded = serve.load(spark, path)
+    made = _bundle(spark, sf_dir, ("logistic_regression", "boosted_regularized"))
+    root = fresh_path(spark, "bundles")
+    loaded = serve.current(spark, root, serve.publish(made, spark, root))
     rows = profile(spark, sf_dir)
     before = serve.score(rows, made).select(KEY, F.struct("probability", "decision").alias("before"))
     after = serve.score(rows, loaded).select(KEY, F.struct("probability", "decision").alias("after"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Columns, categories, coefficients, bands and titles below are those of the data and its rules.
 NUMERIC = [
     "Age", "CityTier", "DurationOfPitch", "NumberOfFollowups", "PreferredPropertyStar",
     "NumberOfTrips", "Passport", "PitchSatisfactionScore", "OwnCar", "MonthlyIncome",
@@ -161,6 +162,62 @@ MATRIX = (
     + "\n  FROM filled, spread)"
 )
 
+# Two more sets of feature columns: those of the cleaned table and those of the derived variant.
+CLEANED_NUMERIC = [
+    "Age", "CityTier", "DurationOfPitch", "NumberOfFollowups", "PreferredPropertyStar", "NumberOfTrips", "Passport",
+    "PitchSatisfactionScore", "OwnCar", "MonthlyIncome", "TotalVisiting",
+]
+CLEANED_CATEGORIES = {c: v for c, v in CATEGORIES.items() if c != "AgeGroup"}
+VARIANT_NUMERIC = [
+    "Age", "MonthlyIncome", "NumberOfTrips", "DurationOfPitch", "PitchSatisfactionScore", "NumberOfFollowups",
+    "TotalVisiting", "Passport", "CityTier", "IncomePerTrip",
+]
+VARIANT_CATEGORIES = {c: v for c, v in CATEGORIES.items() if c != "TypeofContact"}
+
+VARIANT = f"""
+variant AS (
+  SELECT CustomerID, ProdTaken, trunc(Age)::INT AS Age, trunc(MonthlyIncome)::INT AS MonthlyIncome,
+    trunc(NumberOfTrips)::INT AS NumberOfTrips, trunc(DurationOfPitch)::INT AS DurationOfPitch,
+    PitchSatisfactionScore, trunc(NumberOfFollowups)::INT AS NumberOfFollowups,
+    (NumberOfPersonVisiting + NumberOfChildrenVisiting)::INT AS TotalVisiting, Passport,
+    Occupation, Gender, MaritalStatus, Designation, ProductPitched, CityTier,
+    trunc(MonthlyIncome / CASE WHEN NumberOfTrips = 0 THEN 1 ELSE NumberOfTrips END)::INT AS IncomePerTrip,
+    {AGE_GROUP} AS AgeGroup
+  FROM recoded)"""
+
+
+def features(categories: dict, numeric: list[str]) -> list[str]:
+    return [f"{c}_{v}" for c, vs in categories.items() for v in vs[1:]] + [f"num_{c}" for c in numeric]
+
+
+def matrix_of(source: str, numeric: list[str], categories: dict, imputed: bool) -> str:
+    """``set_matrix``: the scaled and encoded columns of ``source``, with statistics of its train rows."""
+
+    def filled(c: str, value: str) -> str:
+        return f"coalesce({value}, f_{c}) AS {c}" if imputed else f"{value} AS {c}"
+
+    fills = ", ".join(
+        [f"(SELECT median({c}) FROM set_train)::DOUBLE AS f_{c}" for c in numeric]
+        + [f"{mode_of(c, 'set_train')} AS f_{c}" for c in categories]
+    )
+    cells = ", ".join([filled(c, f"{c}::DOUBLE") for c in numeric] + [filled(c, c) for c in categories])
+    moments = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in numeric)
+    made = ", ".join(
+        [f'({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS "num_{c}"' for c in numeric]
+        + [f"""({c} = '{v}')::INT::DOUBLE AS "{c}_{v}\"""" for c, vs in categories.items() for v in vs[1:]]
+    )
+    return f"""
+set_parted AS MATERIALIZED (
+  SELECT *, CASE WHEN row_number() OVER (PARTITION BY ProdTaken ORDER BY md5(CustomerID::VARCHAR || ':split:42'))
+    <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY ProdTaken)) THEN 'test' ELSE 'train' END AS split
+  FROM {source}),
+set_train AS (SELECT * FROM set_parted WHERE split = 'train'),
+set_fills AS MATERIALIZED (SELECT {fills}),
+set_filled AS MATERIALIZED (SELECT CustomerID, split, {cells} FROM set_parted, set_fills),
+set_spread AS MATERIALIZED (SELECT {moments} FROM set_filled WHERE split = 'train'),
+set_matrix AS MATERIALIZED (SELECT CustomerID, {made} FROM set_filled, set_spread)"""
+
+
 SCORED = f"""
 scored AS MATERIALIZED (
   SELECT CustomerID, ProdTaken, round({PROPENSITY}, 6) AS score FROM profile)"""
@@ -193,6 +250,7 @@ _ORDER = {
     "recoded": [PROFILE, RECODED],
     "imputed": [PROFILE, RECODED, IMPUTED],
     "cleaned": [PROFILE, RECODED, IMPUTED, CLEANED],
+    "variant": [PROFILE, RECODED, VARIANT],
     "derived": [PROFILE, RECODED, DERIVED],
     "split": [PROFILE, RECODED, DERIVED, SPLIT],
     "filled": [PROFILE, RECODED, DERIVED, SPLIT, FILLS],

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+# By application: temporary folders of local masters, tables that are kept, results that are remembered.
 _local_roots: dict[str, str] = {}
+_held: dict[str, list[DataFrame]] = {}
+_remembered: dict[str, dict] = {}
 
 
 def local_session(app: str, cores: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -53,12 +59,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote below :func:`fresh_path`; call it when results are out."""
+    """Delete what this application wrote below :func:`fresh_path`; call it when results are out.
+
+    Results remembered by path are forgotten and tables that are kept are released with it.
+    """
+    release(spark)
+    _remembered.pop(spark.sparkContext.applicationId, None)
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_scratch(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def table_state(spark: SparkSession, paths: Sequence[str]) -> str:
+    """Size and time of change of every file below the paths, as one text."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return "\n".join(sorted(out))
+
+
+def remembered(spark: SparkSession, name: str, paths: Sequence[str], make: Callable[[], T]) -> T:
+    """What ``make`` returned for these tables before, or now.
+
+    It is made anew when a file of the tables has changed or the application's scratch space is gone.
+    """
+    kept = _remembered.setdefault(spark.sparkContext.applicationId, {})
+    key = (name, table_state(spark, paths))
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write the table to the shared folder and read it back.
 
@@ -71,6 +107,21 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def cached(df: DataFrame) -> DataFrame:
-    """Keep a table that several jobs read; a plan that is already kept is not kept twice."""
+    """Keep a table that several jobs read; a plan that is already kept is not kept twice.
+
+    The application owns it until :func:`release`.
+    """
     level = df.storageLevel
-    return df if level.useMemory or level.useDisk else df.persist()
+    if level.useMemory or level.useDisk:
+        return df
+    _held.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df)
+    return df.persist()
+
+
+def release(spark: SparkSession) -> int:
+    """Let go of every table kept by :func:`cached`; the number of those that were still kept."""
+    frames = _held.pop(spark.sparkContext.applicationId, [])
+    kept = [df for df in frames if df.storageLevel.useMemory or df.storageLevel.useDisk]
+    for df in kept:
+        df.unpersist()
+    return len(kept)

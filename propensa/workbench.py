@@ -14,7 +14,7 @@ from propensa.operators import serve, training
 from propensa.operators.clean import clean, derive
 from propensa.operators.evaluate import best_threshold
 from propensa.operators.features import Preprocessor, folds, split, with_class_weights
-from propensa.session import cached
+from propensa.session import cached, release
 from propensa.sources.schemas import KEY, LABEL
 from propensa.sources.tables import customers_or_profile
 
@@ -37,7 +37,11 @@ class Trained:
     threshold: float
 
     def bundle(self) -> serve.Bundle:
-        return serve.bundle(self.preprocessor, self.models[self.best_name], self.threshold)
+        return serve.bundle(self.preprocessor, self.models[self.best_name], self.threshold, self.best_name)
+
+    def release(self) -> None:
+        """Let go of the tables that were kept for training; metrics and models stay usable."""
+        release(self.test.sparkSession)
 
 
 def train_models(
@@ -58,7 +62,8 @@ def train_models(
     keep = [KEY, LABEL]
     matrix, weight = pre.matrix(learn, keep), None
     if balance == "weights":
-        matrix, weight = with_class_weights(matrix, LABEL), "weight"
+        matrix = with_class_weights(with_class_weights(matrix, LABEL), LABEL, "ratio", "ratio")
+        weight = dict.fromkeys(line_up, "weight") | {"boosted_regularized": "ratio"}
     elif balance == "synthetic":
         matrix = training.balanced(cached(matrix), seed=seed)
     elif balance != "none":

@@ -119,7 +119,60 @@ def test_whole_line_up_is_the_default():
     import subprocess
     import sys
 
-    code = "from propensa.plans import modelling as m; assert m._LINE_UP == {k: dict(v) for k, v in m.training.LINE_UP.items()}"
+    code = "from propensa.plans import modelling as m; assert m._line_up() == {k: dict(v) for k, v in m.training.LINE_UP.items()}"
     env = {k: v for k, v in os.environ.items() if k != "PROPENSA_ROUNDS_SHARE"}
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, env=env, cwd=root)
+
+
+def test_integer_columns_stay_integers(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, 1, 1.5), (big, 2, None), (None, None, 1.5)], "a bigint, b int, c double")
+    assert clean.modes(df, ["a", "b", "c"]) == {"a": big, "b": 1, "c": 1.5}
+    out = clean.impute(df, [], ["a", "b", "c"])
+    assert dict(out.dtypes) == {"a": "bigint", "b": "int", "c": "double"}
+    assert [r["a"] for r in out.collect()] == [big] * 3
+    assert dict(clean.impute(df, ["b"], []).dtypes)["b"] == "double"
+
+
+def test_kept_tables_are_released(spark):
+    from propensa.session import cached, release
+
+    release(spark)
+    df = spark.range(10)
+    kept = cached(df)
+    assert cached(kept) is kept and kept.storageLevel.useMemory
+    assert release(spark) == 1 and not kept.storageLevel.useMemory and release(spark) == 0
+
+
+def test_remembered_until_a_table_changes(spark, tmp_path):
+    from propensa.session import remembered
+
+    path, calls = str(tmp_path / "t"), []
+    spark.range(3).write.parquet(path)
+    make = lambda: calls.append(1) or len(calls)
+    assert [remembered(spark, "x", [path], make) for _ in range(2)] == [1, 1]
+    assert remembered(spark, "y", [path], make) == 2
+    spark.range(4).write.mode("append").parquet(path)
+    assert remembered(spark, "x", [path], make) == 3
+
+
+def test_published_versions(spark, tmp_path):
+    from propensa.operators import serve
+
+    rows = spark.range(60).select(
+        (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 7).cast("double").alias("x")
+    )
+    pre = features.Preprocessor.fit(rows, ["y"])
+    ready = pre.matrix(rows, ["y"])
+    root = str(tmp_path / "bundles")
+    assert serve.versions(spark, root) == []
+    with pytest.raises(ValueError, match="no such version"):
+        serve.current(spark, root)
+    for name, params in (("decision_tree", {"maxDepth": 2}), ("boosted_regularized", {"rounds": 2})):
+        model = training.fit(name, ready, "y", **params)
+        serve.publish(serve.bundle(pre, model, 0.4, name), spark, root)
+    assert serve.versions(spark, root) == [1, 2]
+    latest, first = serve.current(spark, root), serve.current(spark, root, 1)
+    assert (latest.model, first.model, first.threshold) == ("boosted_regularized", "decision_tree", 0.4)
+    assert latest.pipeline.transform(rows).select("score").count() == 60
