@@ -147,7 +147,7 @@ def _brackets(known: DataFrame, width: int, shares: Sequence[float], by: Sequenc
                 for j in range(m)
             ]
             out.append(F.array(*edges).alias(f"{name}{i}"))
-    return cut_lineage(sketched.select(*by, *out), "brackets")
+    return sketched.select(*by, *out)
 
 
 def quantiles(
@@ -164,7 +164,8 @@ def quantiles(
     known = known.dropna(subset=by) if by else known
     brackets = _brackets(known, len(columns), shares, by)
     if by:
-        rows = known.join(brackets, by)
+        # From the stored size Spark decides whether they are broadcast.
+        rows = known.join(cut_lineage(brackets, "brackets"), by)
     else:
         # One row, of as many numbers as columns and shares.
         only = brackets.first()
