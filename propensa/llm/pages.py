@@ -5,12 +5,17 @@ tree of one exemplar of its host by simple tree matching (the largest set of pai
 that keeps order and ancestry). A node of the exemplar whose text is the same on most aligned pages
 is template, the others are slots. Template nodes, and elements that say by tag, role or class
 that they are no content, are dropped; the text of the slots is the main text. Where a page marks
-its main part, that element is the slot, with what stands around an article in it; without one, or with most
-text in an article elsewhere, the article is, if it holds most of what is not template. Everything in the element is kept but
-nested menus, adverts, forms and the like, even if many pages share it.
+its main part, that element holds the slots, with what stands around an article in it; without one, or with most
+text in an article elsewhere, the article does, if it holds most of what is not template. Inside a marked part
+a node is template only if nearly all pages with another story have its text; a page that shares most of the
+exemplar's story is a copy of it and has no vote there.
+
+A class or id counts as a whole: ``sidebar`` and ``site-footer`` are no content, ``no-sidebar`` and
+``legal-history`` say nothing. An element that would leave next to nothing of a page is content, whatever its name.
 
 All pages of a host vote; the votes are added up before they are shuffled. Pages are joined with
-their host's exemplar under a salt, so a host with any share of the pages is spread over tasks.
+their host's exemplar; the pages of a host are dealt to as many salts as their size asks for, so a host with
+any share of the pages is spread over tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -26,12 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from propensa.llm import repeats as rp
+from propensa.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A node is template if so many aligned pages vote, and that share of them have its text.
 LEAST_VOTES, TEMPLATE_SHARE = 3, 0.5
-SALTS = 16
+#: The share inside a marked main part.
+MARKED_SHARE = 0.9
+#: An element that is no content by its name or as a form has at most so many times the text of the rest of the page.
+REST = 10
+#: Characters of a host's pages that go to one task.
+SALT_CHARS = 1 << 21
 #: Levels of a tree that are aligned; what lies deeper is read, but counted with its ancestor.
 LEVELS = 100
 
@@ -42,8 +53,8 @@ BLOCKS = frozenset(
     "tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math textarea select button object title head".split())
-CHROME_TAGS = frozenset("nav footer aside form menu dialog header".split())
+RAW = frozenset("script style template noscript iframe svg textarea select button object title head".split())
+CHROME_TAGS = frozenset("nav footer aside menu dialog header".split())
 CHROME_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert form menu".split())
 CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
@@ -52,6 +63,13 @@ CHROME_NAMES = frozenset(
     "recommended recommendations comment comments respond reply replies disqus discussion widget pagination pager toolbar "
     "skip copyright legal disclaimer".split()
 )
+#: Parts of a name that say where or in what form something stands, but not what it is.
+PLACES = frozenset(
+    "site page main global top bottom left right primary secondary sub mobile desktop sticky fixed inner outer wrap wrapper "
+    "container box block area section region zone row col column list item items link links bar button buttons icon icons "
+    "group panel slot unit space label title text content body module component form posts post articles stories news "
+    "first last small large js u c 0 1 2 3 4 5 6 7 8 9".split()
+)
 CLOSES = {  # an opening tag ends these open elements, up to the scope
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -63,6 +81,12 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
+def no_content(name: str) -> bool:
+    """Does a class or id say that its element is no content? All its parts must, or tell a place or form."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    return any(p in CHROME_NAMES for p in parts) and all(p in CHROME_NAMES or p in PLACES for p in parts)
+
+
 class Page:
     """Block elements of a page, in order, and the pieces of text between their tags."""
 
@@ -73,10 +97,12 @@ class Page:
         self.children: list[list[int]] = [[]]
         self.depth = [0]
         self.chrome = [False]
+        self.named = [False]
         self.marked = [0]
         self.in_main = [False]
         self.texts: list[tuple[int, str]] = []
         self._read(source)
+        self._settle()
 
     def _read(self, source: str) -> None:
         stack, at, piece = [0], 0, []
@@ -139,17 +165,20 @@ class Page:
                 del stack[i:]
                 break
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-        names = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
         role = found.get("role", "")
         up = stack[-1]
         inside = self.marked[up]
         main = name == "main" or role == "main"
         own = 2 if name == "article" else 1 if main else 0
-        plain = name in ("html", "body") or own > 0
+        plain = name in ("html", "body") or main
         hidden = "hidden" in found or found.get("aria-hidden") == "true"
-        chrome = hidden or not plain and (
-            name in CHROME_TAGS and not (name == "header" and inside) or role in CHROME_ROLES
-            or bool(names & CHROME_NAMES) and not (inside and name in ("h1", "h2", "h3", "p"))
+        chrome = hidden or not plain and own == 0 and (
+            name in CHROME_TAGS and not (name == "header" and inside) or role in CHROME_ROLES and role != "form"
+        )
+        named = not plain and (
+            name == "form" or role == "form"
+            or any(map(no_content, names)) and not (inside and name in ("h1", "h2", "h3", "p"))
         )
         node = len(self.tag)
         self.tag.append(name)
@@ -159,11 +188,43 @@ class Page:
         self.children[up].append(node)
         self.depth.append(self.depth[up] + 1)
         self.chrome.append(self.chrome[up] or chrome)
+        self.named.append(named)
         self.marked.append(max(inside, own))
         self.in_main.append(self.in_main[up] or main)
         if name != "hr":
             stack.append(node)
 
+    def _settle(self) -> None:
+        """Elements that are no content by name, but for those that would leave next to nothing of the page."""
+        above = [-1] * len(self.tag)  # the nearest element by name around each node, or the node itself
+        for node in range(1, len(self.tag)):
+            above[node] = node if self.named[node] and not self.chrome[node] else above[self.parent[node]]
+        inner: dict[int, list[int]] = {}
+        whole, own, own_marked = {-1: 0}, {-1: 0}, {-1: 0}
+        for node in range(1, len(self.tag)):
+            if above[node] == node:
+                inner.setdefault(above[self.parent[node]], []).append(node)
+                whole[node] = own[node] = own_marked[node] = 0
+        if not inner:
+            return
+        for node, text in self.texts:
+            if not self.chrome[node]:
+                own[above[node]] += len(text)
+                own_marked[above[node]] += len(text) if self.marked[node] else 0
+        for node in sorted(whole, reverse=True):
+            whole[node] += own[node]
+            if node > 0:
+                whole[above[self.parent[node]]] += whole[node]
+        left, marked, at, kept = own[-1], own_marked[-1], -1, {-1}
+        while at in inner:
+            at = max(inner[at], key=whole.__getitem__)
+            if marked or whole[at] <= REST * left:
+                break
+            kept.add(at)
+            left, marked = left + own[at], marked + own_marked[at]
+        for node in range(1, len(self.tag)):
+            self.chrome[node] = self.chrome[node] or above[node] not in kept
+
     def words(self) -> dict[int, str]:
         """The text of each node that has some of its own."""
         out: dict[int, list[str]] = {}
@@ -173,7 +234,7 @@ class Page:
 
     def main_text(self, template: set[int]) -> str:
         """Text of the slots; ``template`` names nodes of this page that are template."""
-        slots = [(n, t) for n, t in self.texts if not self.chrome[n] and (self.marked[n] or n not in template)]
+        slots = [(n, t) for n, t in self.texts if not self.chrome[n] and n not in template]
 
         def length(part: list[tuple[int, str]]) -> int:
             return sum(len(t) for _, t in part)
@@ -251,19 +312,25 @@ def vote_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if source == model:
                 continue
             page = Page(source or "")
-            own, theirs = page.words(), models[host][1]
-            for x, y in align(models[host][0], page):
-                if x in theirs and not models[host][0].marked[x]:
+            (model_page, theirs), own = models[host], page.words()
+            if [t for _, t in page.texts] == [t for _, t in model_page.texts]:
+                continue
+            pairs = [(x, theirs[x] == own.get(y)) for x, y in align(model_page, page) if x in theirs]
+            story = {x: len(t) for x, t in theirs.items() if model_page.marked[x] and not model_page.chrome[x]}
+            copy = 2 * sum(story.get(x, 0) for x, same in pairs if same) >= sum(story.values())
+            for x, same in pairs:
+                if not (copy and model_page.marked[x]):
                     vote = votes.setdefault((host, x), [0, 0])
                     vote[0] += 1
-                    vote[1] += theirs[x] == own.get(y)
+                    vote[1] += same
         keys = list(votes)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
                 pa.array([votes[k][0] for k in keys], pa.int64()), pa.array([votes[k][1] for k in keys], pa.int64()),
+                pa.array([models[host][0].marked[node] > 0 for host, node in keys], pa.bool_()),
             ],
-            names=["host", "node", "pages", "same"],
+            names=["host", "node", "pages", "same", "marked"],
         )
 
 
@@ -302,19 +369,29 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", carry: lis
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#:]*)", 1))
     code = F.xxhash64(F.coalesce(F.col(source), F.lit("")))
     rows = given.select(
-        host.alias("host"), F.pmod(code, F.lit(SALTS)).cast("int").alias("salt"), F.col(source).alias("html"),
+        host.alias("host"), code.alias("code"), F.col(source).alias("html"),
         *[F.col(c).alias(clear[c]) for c in kept if c != source],
     )
     # The exemplar of a host: its page with the smallest hash of the source, of those that have one.
-    exemplars = rows.where(F.length("html") > 0).groupBy("host").agg(F.min(F.struct(F.xxhash64("html"), "html")).alias("m"))
-    exemplars = exemplars.select("host", F.col("m.html").alias("model"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = rows.where(F.length("html") > 0).groupBy("host").agg(
+        F.min(F.struct(F.xxhash64("html"), "html")).alias("m"), F.sum(F.length("html")).alias("size")
+    )
+    salts = F.ceil(F.col("size") / SALT_CHARS).cast("int")
+    hosts = cut_lineage(found.select("host", F.col("m.html").alias("model"), salts.alias("salts")), "hosts")
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    exemplars = hosts.select("host", "model", every)
+    # Few hosts need more than one salt: at most as many as the pages have blocks of SALT_CHARS.
+    crowded = hosts.where("salts > 1").select("host", "salts")
+    salt = F.pmod(F.col("code"), F.coalesce(F.col("salts"), F.lit(1))).cast("int").alias("salt")
+    rows = rows.join(crowded, "host", "left").select("host", salt, *rows.drop("host", "code").columns)
     joined = rows.join(exemplars, ["host", "salt"], "left")
     # Both uses of the joined pages read the same columns, so that they share one shuffle of the pages.
-    votes = joined.mapInArrow(vote_task, "host string, node int, pages bigint, same bigint")
-    counted = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    template = counted.where((F.col("pages") >= LEAST_VOTES) & (F.col("same") >= TEMPLATE_SHARE * F.col("pages")))
+    votes = joined.mapInArrow(vote_task, "host string, node int, pages bigint, same bigint, marked boolean")
+    counted = votes.groupBy("host", "node", "marked").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    share = F.when(F.col("marked"), MARKED_SHARE).otherwise(TEMPLATE_SHARE)
+    template = counted.where((F.col("pages") >= LEAST_VOTES) & (F.col("same") >= share * F.col("pages")))
     nodes = template.groupBy("host").agg(F.collect_list("node").alias("nodes"))
-    nodes = nodes.select("host", "nodes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    nodes = nodes.join(hosts.select("host", "salts"), "host").select("host", "nodes", every)
     ready = joined.join(nodes, ["host", "salt"], "left")
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("host", "salt").schema.fields)
     out = ready.mapInArrow(extract_task, f"{base}, main string")

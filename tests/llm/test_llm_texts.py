@@ -383,6 +383,66 @@ def test_template_of_a_host_is_dropped(spark):
     assert all(r.n_chars == len(r.text) and r.host in ("e", None) for r in rows)
 
 
+def test_names_count_as_a_whole():
+    def text(body):
+        return pages.Page(f"<body>{body}</body>").main_text(set())
+
+    assert text('<div class="main-content no-sidebar"><p>Whole story</div>') == "Whole story"
+    assert text('<div id="page" class="site has-banner"><article><p>Whole story</article></div>') == "Whole story"
+    assert text('<article><p>a</p><section class="social-history">b</section><div class="legal-history">c</div></article>') == "a b c"
+    assert text('<article><p>a</p><div class="site-footer">b</div><div id="ad_2">c</div><div class="x sidebar">d</div></article>') == "a"
+    assert text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "so x=2 holds"
+
+
+def test_an_element_that_holds_the_page_is_content():
+    def text(body):
+        return pages.Page(f"<body>{body}</body>").main_text(set())
+
+    assert text("<form><div>Whole story of the day</div><nav>Menu</nav></form>") == "Whole story of the day"
+    assert text('<div class="banner"><div class="sidebar"><p>Whole story</p></div></div>') == "Whole story"
+    assert text('<div class="banner"><p>Whole story</p><div class="sidebar">Side</div></div>') == "Whole story"
+    assert text(f'<article>Short</article><div class="comments">{"Long remark. " * 50}</div>') == "Short"
+    assert text(f'<div>Short story</div><div class="comments">{"Remark. " * 10}</div>') == "Short story"
+    assert text(f'<article>Story</article><article class="comment">{"Remark. " * 10}</article>') == "Story"
+    assert text('<div class="ad">' * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def hosts_of_boilerplate():
+    """Two hosts: one without a marked part, one whose articles have a constant line, copies and a shared line."""
+    made = [
+        (i, "http://a.example/x", f"<div class='top'>Site name</div><div>Story {i} of the day</div><div class='end'>All rights</div>")
+        for i in range(8)
+    ]
+    made += [
+        (100 + i, "http://b.example/x", f"<article><p>Follow us</p><p>Story number {i} is told in many words here.</p>"
+         + ("<p>Shared by some</p>" if i % 2 else f"<p>Not shared, page {i}</p>") + "</article>")
+        for i in range(8)
+    ]
+    same = "One story that has many copies on its host, word for word"
+    made += [(200 + i, "http://c.example/x", f"<article><p>{same}</p></article><div>seen {i}</div>") for i in range(8)]
+    return made
+
+
+def test_wrapper_decides_inside_an_article(spark, monkeypatch):
+    table = frame(spark, hosts_of_boilerplate(), "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract(table).collect()}
+    for i in range(8):
+        assert got[i] == f"Story {i} of the day"
+        assert got[100 + i].startswith(f"Story number {i} is told in many words here. ")
+        assert got[100 + i].endswith("Shared by some") or "Not shared" in got[100 + i]
+        assert got[200 + i] == "One story that has many copies on its host, word for word"
+    monkeypatch.setattr(pages, "LEAST_VOTES", 1 << 40)
+    off = {r.page_id: r.text for r in pages.extract(table).collect()}
+    assert off[0] == "Site name Story 0 of the day All rights" and off[100].startswith("Follow us Story")
+
+
+def test_salts_do_not_change_texts(spark, monkeypatch):
+    table = frame(spark, hosts_of_boilerplate(), "page_id bigint, url string, html string")
+    got = sorted(tuple(r) for r in pages.extract(table).collect())
+    monkeypatch.setattr(pages, "SALT_CHARS", 100)
+    assert got == sorted(tuple(r) for r in pages.extract(table).collect())
+
+
 def test_article_is_kept_whole(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     got = {r.page_id: r.text for r in pages.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
