@@ -384,8 +384,9 @@ def extract(pages: DataFrame, url: str = "url", source: str = "html", carry: lis
     crowded = hosts.where("salts > 1").select("host", "salts")
     salt = F.pmod(F.col("code"), F.coalesce(F.col("salts"), F.lit(1))).cast("int").alias("salt")
     rows = rows.join(crowded, "host", "left").select("host", salt, *rows.drop("host", "code").columns)
-    joined = rows.join(exemplars, ["host", "salt"], "left")
-    # Both uses of the joined pages read the same columns, so that they share one shuffle of the pages.
+    # Both uses of the joined pages read the same columns, so that they share one shuffle of the pages: without
+    # the hint a small table of exemplars would be broadcast, and the pages shuffled with the exemplar on each.
+    joined = rows.join(exemplars.hint("merge"), ["host", "salt"], "left")
     votes = joined.mapInArrow(vote_task, "host string, node int, pages bigint, same bigint, marked boolean")
     counted = votes.groupBy("host", "node", "marked").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     share = F.when(F.col("marked"), MARKED_SHARE).otherwise(TEMPLATE_SHARE)
