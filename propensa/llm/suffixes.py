@@ -5,7 +5,7 @@ in it with the smallest hash, and consecutive windows with one anchor are a run
 :mod:`repeats`). Equal windows have the same anchor, so runs are sorted by their anchor as leading
 token, in two rounds:
 
-1. Runs are range-partitioned by (anchor, 128-bit digest of the whole run, document, start), with splitters
+1. Runs are range-partitioned by (anchor, 96-bit digest of the whole run, document, start), with splitters
    that Spark draws from a sample. In a bucket, a run equal to an earlier one in anchor, digest and length
    consists of windows that occur earlier. Of the others, those go on whose anchor also begins a different run.
 2. These runs are range-partitioned by (anchor, salt), with their bytes; an anchor with more than
@@ -40,7 +40,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WIDTH = 100
 GRAM = 16
 SPAN = "array<struct<start: bigint, end: bigint>>"
-RUNS = "anchor bigint, d1 bigint, d2 bigint, row bigint, t bigint, ord bigint, start int, n int"
+RUNS = "anchor bigint, d1 bigint, d2 int, row bigint, t int, start int, n int"
+#: Set in ``t`` of a run whose text has no id; the other 31 bits are those of the text.
+NO_ID = -(1 << 31)
 COPIED, OPEN, EDGE = 0, 1, 2
 #: Runs of an anchor that go on, from which they are spread over several buckets.
 ANCHOR_RUNS = 16_384
@@ -48,6 +50,17 @@ ANCHOR_RUNS = 16_384
 WINDOWS_AT_ONCE = 1 << 21
 
 
+def tagged(piece: pa.RecordBatch, text: np.ndarray) -> pa.Array:
+    """The column t of runs of ``text``, with a mark on those that come after all others."""
+    last = rp.numbers(piece, "ord")[text] == rp.LAST
+    return pa.array((rp.numbers(piece, "t")[text] | np.where(last, NO_ID, 0)).astype(np.int32))
+
+
+def untagged(row: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(t, ord) of runs as :func:`tagged` wrote them."""
+    return (t & ~NO_ID).astype(np.int64), np.where(t < 0, rp.LAST, row)
+
+
 def runs_task(width: int, gram: int):
     """Task code: every run of windows with one anchor."""
 
@@ -59,11 +72,11 @@ def runs_task(width: int, gram: int):
                 d1, d2 = units.digests(start, start + n + width - 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rp.signed(anchor), rp.signed(d1), rp.signed(d2),
-                        *(pa.array(rp.numbers(piece, c)[text], pa.int64()) for c in ("row", "t", "ord")),
+                        rp.signed(anchor), rp.signed(d1), pa.array((d2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                        pa.array(rp.numbers(piece, "row")[text], pa.int64()), tagged(piece, text),
                         pa.array((start - units.first[text]).astype(np.int32)), pa.array(n.astype(np.int32)),
                     ],
-                    names=["anchor", "d1", "d2", "row", "t", "ord", "start", "n"],
+                    names=["anchor", "d1", "d2", "row", "t", "start", "n"],
                 )
 
     return run
@@ -107,10 +120,18 @@ def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = table_of(batches)
     if whole is None:
         return
-    names = ("anchor", "d1", "d2", "row", "t", "ord", "start", "n")
-    anchor, d1, d2, row, t, own, start, n = (whole.column(c).to_numpy() for c in names)
+    names = ("anchor", "d1", "d2", "row", "t", "start", "n")
+    anchor, d1, d2, row, t, start, n = (whole.column(c).to_numpy() for c in names)
     del whole
-    order = np.lexsort((start, t, row, own, n, d2, d1, anchor))
+    t, own = untagged(row, t)
+    order = np.lexsort((d1, anchor))
+    # Only runs that share anchor and first digest need the other keys.
+    same = np.zeros(len(order) + 1, dtype=bool)
+    same[1:-1] = ~fresh(anchor[order], d1[order])[1:]
+    tied = np.flatnonzero(same[:-1] | same[1:])
+    group = np.cumsum(~same[:-1])[tied]
+    i = order[tied]
+    order[tied] = i[np.lexsort((start[i], t[i], row[i], own[i], n[i], d2[i], group))]
     anchor, d1, d2, row, t, own, start, n = (x[order] for x in (anchor, d1, d2, row, t, own, start, n))
     new = fresh(anchor, d1, d2, n)
     copied = later(new, row, t, own, start)
@@ -157,12 +178,11 @@ def bytes_task(width: int, gram: int):
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rp.signed(anchor[at]),
-                        *(pa.array(rp.numbers(piece, c)[text], pa.int64()) for c in ("row", "t", "ord")),
+                        rp.signed(anchor[at]), pa.array(rp.numbers(piece, "row")[text], pa.int64()), tagged(piece, text),
                         pa.array(start.astype(np.int32)), bodies, pa.array(part + reach * place(piece, text, start, salts)),
                         pa.array(salts > reach),
                     ],
-                    names=["anchor", "row", "t", "ord", "start", "bytes", "salt", "spread"],
+                    names=["anchor", "row", "t", "start", "bytes", "salt", "spread"],
                 )
 
     return run
@@ -236,7 +256,8 @@ def second_round(width: int):
         of = np.repeat(np.arange(len(n)), n)
         pos = rp.spread(np.zeros(len(n), dtype=np.int64), n)
         at = (np.cumsum(size) - size)[of] + pos
-        anchor, row, t, own, start = (part.column(c).to_numpy().astype(np.int64) for c in ("anchor", "row", "t", "ord", "start"))
+        anchor, row, t, start = (part.column(c).to_numpy().astype(np.int64) for c in ("anchor", "row", "t", "start"))
+        t, own = untagged(row, t)
         order, group = multikey(body, at, (np.cumsum(fresh(anchor)) - 1)[of], width)
         r = of[order]
         first = start[r] + pos[order]
@@ -329,7 +350,7 @@ def suffix_dedup(
     )
     rows = rp.with_rows(source, "id_", "text")
     read = rows.select("row", "t", "ord", "text")
-    runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "d1", "d2", "ord", "start")
+    runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "d1", "d2", "row", "start")
     judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint, anchor bigint")
     left = judged.where(F.col("kind") == OPEN).select("anchor", "row", "t", "start", "n").distinct()
     many = left.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > ANCHOR_RUNS)
@@ -338,7 +359,7 @@ def suffix_dedup(
     spans = left.groupBy("row").agg(F.collect_list(F.struct("t", "start", "n", salts.alias("salts"))).alias("open"))
     opened = rp.attach(read, spans, "inner").mapInArrow(
         bytes_task(width, gram),
-        "anchor bigint, row bigint, t bigint, ord bigint, start int, bytes binary, salt bigint, spread boolean",
+        "anchor bigint, row bigint, t int, start int, bytes binary, salt bigint, spread boolean",
     )
     windows = opened.repartitionByRange("anchor", "salt").mapInArrow(
         second_round(width),
