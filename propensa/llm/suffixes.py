@@ -45,7 +45,7 @@ RUNS = "anchor bigint, d1 bigint, d2 int, row bigint, t int, start int, n int"
 NO_ID = -(1 << 31)
 COPIED, OPEN, EDGE = 0, 1, 2
 #: Runs of an anchor that go on, from which they are spread over several buckets.
-ANCHOR_RUNS = 16_384
+ANCHOR_RUNS = 32_768
 #: Windows that are sorted at once, where one anchor does not have more in its bucket.
 WINDOWS_AT_ONCE = 1 << 21
 
