@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propensa.llm import repeats as rp
@@ -330,6 +330,27 @@ def removal_task(width: int):
     return run
 
 
+def packed(runs: DataFrame) -> DataFrame:
+    """Runs as five long columns: a field of a shuffled row takes eight bytes whatever its type."""
+
+    def both(high: str, low: str) -> Column:
+        return F.shiftleft(F.col(high).cast("bigint"), 32).bitwiseOR(F.col(low).cast("bigint"))
+
+    return runs.select("anchor", "d1", both("d2", "start").alias("place"), "row", both("t", "n").alias("size"))
+
+
+def unpacked(runs: DataFrame) -> DataFrame:
+    def high(c: str) -> Column:
+        return F.shiftright(c, 32).cast("int")
+
+    def low(c: str) -> Column:
+        return F.col(c).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint")).cast("int")
+
+    return runs.select(
+        "anchor", "d1", high("place").alias("d2"), "row", high("size").alias("t"), low("place").alias("start"), low("size").alias("n")
+    )
+
+
 def suffix_dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM
 ) -> DataFrame:
@@ -350,7 +371,7 @@ def suffix_dedup(
     )
     rows = rp.with_rows(source, "id_", "text")
     read = rows.select("row", "t", "ord", "text")
-    runs = read.mapInArrow(runs_task(width, gram), RUNS).repartitionByRange("anchor", "d1", "d2", "row", "start")
+    runs = unpacked(packed(read.mapInArrow(runs_task(width, gram), RUNS)).repartitionByRange("anchor", "d1", "place", "row"))
     judged = runs.mapInArrow(first_round, "kind tinyint, row bigint, t bigint, start bigint, n bigint, anchor bigint")
     left = judged.where(F.col("kind") == OPEN).select("anchor", "row", "t", "start", "n").distinct()
     many = left.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > ANCHOR_RUNS)
