@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from propensa.operators import serve, training
 from propensa.operators.balance import oversample, smote
 from propensa.operators.clean import align_columns, clean, recode_values, variant
-from propensa.operators.evaluate import best_threshold, threshold_report
+from propensa.operators.evaluate import best_threshold, confusion, pr, roc, threshold_report
 from propensa.operators.features import (
     Preprocessor,
     class_weights,
@@ -352,18 +352,25 @@ def _tables(sf_dir: str) -> list[str]:
     return [f"{sf_dir}/{t}.parquet" for t in ("customer", "nation", "orders", "lineitem", "part")]
 
 
-def _compared(spark, sf_dir, split: str | None = "test"):
-    """Metrics of all six models on train and test rows, trained once per application and state of the tables.
+def _results(spark, sf_dir):
+    """(metrics, scores) of all six models, trained once per application and state of the tables.
 
-    The metrics are stored in the shared folder; queries that sort or sum them up read them there.
+    The metrics are those of train and test rows, the scores those of the test rows. Both are stored in the
+    shared folder; queries that sort them or sum them up read them there.
     """
 
     def make():
         train, test, _ = _line_up_matrix(spark, sf_dir)
-        table, _ = training.compare(train, test, _line_up(), weight=_WEIGHTS, on_train=True)
-        return cut_lineage(table, "metrics")
+        table, models = training.compare(train, test, _line_up(), weight=_WEIGHTS, on_train=True)
+        scores = training.scores_of(models, test, [KEY, LABEL])
+        return cut_lineage(table, "metrics"), cut_lineage(scores, "model-scores")
+
+    return remembered(spark, f"results-{ROUNDS_SHARE}", _tables(sf_dir), make)
 
-    table = remembered(spark, f"metrics-{ROUNDS_SHARE}", _tables(sf_dir), make)
+
+def _compared(spark, sf_dir, split: str | None = "test"):
+    """The metrics of all six models."""
+    table = _results(spark, sf_dir)[0]
     return table if split is None else table.where(F.col("split") == split)
 
 
@@ -402,6 +409,81 @@ def pr_tradeoff(spark, sf_dir):
     )
 
 
+@query("model_roc_curves")
+def model_roc_curves(spark, sf_dir):
+    """A ROC curve for every model on the test rows, without points on a straight line between their neighbours."""
+    return rounded(roc(_results(spark, sf_dir)[1], LABEL, "score", ["model"], drop_collinear=True))
+
+
+@query("model_pr_curves")
+def model_pr_curves(spark, sf_dir):
+    """Precision, recall and F1 of every model at each of its scores."""
+    return rounded(pr(_results(spark, sf_dir)[1], LABEL, "score", ["model"]))
+
+
+@query("model_confusion")
+def model_confusion(spark, sf_dir):
+    """Actual and predicted classes of the test rows, counted for every model."""
+    return confusion(_results(spark, sf_dir)[1], LABEL, "prediction", ["model"])
+
+
+_MODEL_NAMES = "(VALUES " + ", ".join(f"('{name}')" for name in training.LINE_UP) + ") AS models(model)"
+
+
+@query(
+    "model_confusion_support",
+    sql.using(
+        "split",
+        f"SELECT model, ProdTaken AS actual, count(*) AS n FROM parted, {_MODEL_NAMES} WHERE split = 'test' GROUP BY 1, 2",
+    ),
+)
+def model_confusion_support(spark, sf_dir):
+    """Rows of either class that each model has judged, added up from its confusion cells."""
+    cells = model_confusion(spark, sf_dir)
+    return cells.groupBy("model", "actual").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "model_curves_agree",
+    sql.using(
+        "split",
+        f"""SELECT model, TRUE AS area_agrees, TRUE AS pr_agrees, TRUE AS metrics_agree FROM {_MODEL_NAMES}""",
+    ),
+)
+def model_curves_agree(spark, sf_dir):
+    """For every model: the stored AUC against Spark's evaluator on the stored scores, the highest recall and the
+    base rate against the end of its precision-recall curve, precision and recall against the confusion cells."""
+    metrics, scores = _results(spark, sf_dir)
+    rows = []
+    for name in training.LINE_UP:
+        own = scores.where(F.col("model") == name)
+        area = BinaryClassificationEvaluator(labelCol=LABEL, rawPredictionCol="score", numBins=0).evaluate(own)
+        rows.append((name, float(area)))
+    areas = spark.createDataFrame(rows, "model string, area double")
+    curve = pr(scores, LABEL, "score", ["model"], closing=False).groupBy("model").agg(
+        F.max("recall").alias("top"), F.min_by("precision", "threshold").alias("base")
+    )
+    cells = confusion(scores, LABEL, "prediction", ["model"]).groupBy("model").agg(
+        *[
+            F.sum(F.when((F.col("actual") == a) & (F.col("predicted") == p), F.col("n"))).alias(f"c{a}{p}")
+            for a in (0, 1) for p in (0, 1)
+        ]
+    )
+
+    def near(a, b):
+        return F.abs(F.col(a) - b) < 1e-9
+
+    both = metrics.where("split = 'test'").join(areas, "model").join(curve, "model").join(cells, "model")
+    precision = F.coalesce(F.try_divide(F.col("c11"), F.col("c01") + F.col("c11")), F.lit(0.0))
+    return both.select(
+        "model",
+        near("roc_auc", F.col("area")).alias("area_agrees"),
+        (near("top", F.lit(1.0)) & near("base", (F.col("c10") + F.col("c11")) / sum(F.col(f"c{a}{p}") for a in (0, 1) for p in (0, 1))))
+        .alias("pr_agrees"),
+        (near("precision", precision) & near("recall", F.col("c11") / (F.col("c10") + F.col("c11")))).alias("metrics_agree"),
+    )
+
+
 @query("best_scores")
 def best_scores(spark, sf_dir):
     return rounded(training.best_scores(_compared(spark, sf_dir)))

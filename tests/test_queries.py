@@ -75,3 +75,8 @@ def test_importances_add_up(spark, sf_dir):
     rows = QUERIES["feature_importance"](spark, sf_dir).collect()
     assert sum(r["importance"] for r in rows) == pytest.approx(1, abs=1e-4)
     assert QUERIES["top_features"](spark, sf_dir).count() == 15
+
+
+def test_curves_of_models(spark, sf_dir):
+    for name in ("model_roc_curves", "model_pr_curves"):
+        assert {r["model"] for r in QUERIES[name](spark, sf_dir).collect()} == set(SCORES)
