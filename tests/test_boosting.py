@@ -167,3 +167,32 @@ def test_search_over_boosted_trees(spark, train):
 def test_no_rows_to_train_on(train):
     with pytest.raises(ValueError, match="no rows"):
         boosting.boost(train.where("y > 5"), "y")
+
+
+def test_sums_have_a_place_per_bin_there_is(train, monkeypatch):
+    """A feature with two values took as many places in the sums as the one with the most bins."""
+    made = []
+    real = boosting.tree_tasks.histogram_task
+    monkeypatch.setattr(boosting.tree_tasks, "histogram_task", lambda *given: (made.append(given), real(*given))[1])
+
+    data = boosting._Rows(train, "y", None, "features", boosting.quantile_edges)
+    g, _ = data.sums(boosting.tree_tasks.gradients, [(-1, 0.0, -1, -1, 0.0)], [0])
+    counts = [len(e) + 1 for e in data.edges]
+    assert counts[1:] == [4, 2, 1] and counts[0] > 100
+    assert int(made[0][0][-1]) == sum(counts)
+    assert g.shape == (1, 4, max(counts)) and not g[0][~np.hstack([np.ones((4, 1), bool), data.valid()])].any()
+    assert [float(a.sum()) for a in g[0]] == pytest.approx([float(g[0, 0].sum())] * 4)
+    data.release()
+
+
+def test_margins_of_many_rows_are_stored_more_often(train, monkeypatch):
+    few = boosting.boost(train, "y", rounds=6, rate=0.5, depth=2)
+    monkeypatch.setattr(boosting, "MANY", 100)
+    kept = []
+    real = boosting._Rows._keep
+    monkeypatch.setattr(boosting._Rows, "_keep", lambda self, rows: (kept.append(len(self.pending)), real(self, rows)))
+    many = boosting.boost(train, "y", rounds=6, rate=0.5, depth=2)
+    assert kept == [0, 5]
+    for a, b in zip(few.nodes(), many.nodes(), strict=True):
+        assert [n[:4] for n in a] == [n[:4] for n in b]
+        assert [n[4] for n in a] == pytest.approx([n[4] for n in b])
