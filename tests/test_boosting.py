@@ -196,3 +196,37 @@ def test_margins_of_many_rows_are_stored_more_often(train, monkeypatch):
     for a, b in zip(few.nodes(), many.nodes(), strict=True):
         assert [n[:4] for n in a] == [n[:4] for n in b]
         assert [n[4] for n in a] == pytest.approx([n[4] for n in b])
+
+
+def test_gradient_boosting_equals_numpy(data, train, monkeypatch):
+    """It was Spark's, with four jobs and a shuffle of sums per tree; every sum now is one job over a few tasks."""
+    x, y, _ = data
+    monkeypatch.setattr(training, "GBTClassifier", None, raising=False)
+    model = training.fit("gradient_boosting", train, "y", maxIter=4, stepSize=0.4, maxDepth=2)
+    cuts = [sorted({n[1] for t in model.nodes() for n in t if n[0] == j}) for j in range(x.shape[1])]
+    m = np.zeros(len(y))
+    sign = 2.0 * y - 1
+    for t, nodes in enumerate(model.nodes()):
+        # Residuals in which each leaf is the mean, and of which the root takes the cut with the least variance.
+        target = sign if t == 0 else 4 * sign / (1 + np.exp(2 * sign * m))
+        at = boosting.tree_tasks.leaves(x, nodes)
+        for leaf in np.unique(at):
+            assert nodes[leaf][4] == pytest.approx(target[at == leaf].mean() * (0.4 if t else 1.0))
+        f, cut = nodes[0][:2]
+
+        def error(a, c):
+            return sum(target[s].var() * s.sum() for s in (x[:, a] < c, x[:, a] >= c) if s.any())
+
+        assert all(error(f, cut) <= error(a, c) + 1e-9 for a, cs in enumerate(cuts) for c in cs)
+        m += np.array([n[4] for n in nodes])[at]
+    got = scores(model, train)
+    assert max(abs(got[tuple(r)] - s) for r, s in zip(x, 1 / (1 + np.exp(-2 * m)))) < 1e-9
+
+
+def test_few_rows_are_few_tasks(spark, train):
+    """A sum over some hundred rows took a task per file, each of which is mostly overhead."""
+    data = boosting._Rows(train.repartition(8), "y", None, "features", boosting.quantile_edges)
+    assert data.parts == 2
+    g, h = data.sums(boosting.tree_tasks.gradients, [(-1, 0.0, -1, -1, 0.0)], [0])
+    assert h[0, 0].sum() == pytest.approx(train.count() / 4)
+    data.release()
