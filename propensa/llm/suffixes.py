@@ -208,7 +208,8 @@ def multikey(body: np.ndarray, at: np.ndarray, group: np.ndarray, width: int) ->
     another splits the windows that were equal so far; the last symbol overlaps the one before.
     """
     n = len(at)
-    eight = np.lib.stride_tricks.as_strided(body, shape=(len(body) - 7, 8), strides=(1, 1))
+    # Eight bytes from every place on, as one number.
+    eight = np.ndarray((len(body) - 7,), dtype=">u8", buffer=body, strides=(1,))
     order = np.arange(n)
     starts = [*range(0, width - 7, 8)]
     if starts[-1] != width - 8:
@@ -220,7 +221,15 @@ def multikey(body: np.ndarray, at: np.ndarray, group: np.ndarray, width: int) ->
         if not len(tied):
             break
         rows, of = order[tied], group[tied]
-        value = np.ascontiguousarray(eight[at[rows] + offset]).view(">u8").ravel().astype(np.uint64)
+        value = eight[at[rows] + offset].astype(np.uint64)
+        # Groups that agree in the symbol stay as they are; most of those left are copies.
+        begin = fresh(of)
+        first = np.flatnonzero(begin)
+        number = np.cumsum(begin) - 1
+        mixed = np.flatnonzero(np.logical_or.reduceat(value != value[first[number]], first)[number])
+        if not len(mixed):
+            continue
+        tied, rows, of, value = tied[mixed], rows[mixed], of[mixed], value[mixed]
         inner = np.lexsort((value, of))
         order[tied], value = rows[inner], value[inner]
         new = ~same[:-1]

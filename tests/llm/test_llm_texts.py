@@ -479,3 +479,22 @@ def test_extra_columns_stay(spark):
     ):
         r = out.first()
         assert (r.doc_id, r.text, r.row, r.t, r.n_words_, r.x0x) == (1, "a b c", 5, "u", 7, 8)
+
+
+def test_copies_are_not_sorted_symbol_by_symbol(monkeypatch):
+    """Windows that agree in a symbol were sorted by it all the same, copies by every one of their thirteen symbols."""
+    rng = np.random.default_rng(5)
+    one, other = rng.integers(0, 256, (2, 100), dtype=np.uint8)
+    late = one.copy()
+    late[-1] ^= 1
+    windows = [one, other, one, late, other, one]
+    body = np.concatenate([*windows, np.zeros(8, np.uint8)])
+    sorts = []
+    real = np.lexsort
+    monkeypatch.setattr(suffixes.np, "lexsort", lambda keys: (sorts.append(len(keys[0])), real(keys))[1])
+    order, number = suffixes.multikey(body, np.arange(6) * 100, np.zeros(6, dtype=np.int64), 100)
+    want = sorted(range(6), key=lambda i: windows[i].tobytes())
+    assert order.tolist() == want
+    texts = [windows[i].tobytes() for i in want]
+    assert number.tolist() == [sorted(set(texts)).index(t) for t in texts]
+    assert sorts == [6, 4]
