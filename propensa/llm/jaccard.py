@@ -16,6 +16,11 @@ there are as many as the deepest split that was reached asks for. A node of whic
 for that: if a share f of a node's sets is tied at every split, and a similar pair as often, one run brings it together with a
 probability r = f + (1 - f)(1 - exp(-r)) at any depth, which for a tenth is 0.35, more than the first runs are made for.
 
+A row is moved once per run and path of the first two splits, with a byte per place. A task goes through the whole recursion
+below its nodes, level by level for many nodes at once, and gives at most one link per row. Only nodes of more than ``HELD``
+sets are split by Spark first: they are found by counts of paths in buckets, exact within the few buckets that are full, so
+that no task takes in a node of any size.
+
 Runs only propose which sets belong together. Each proposed group is then compared exactly, all
 members with all, in cells of two blocks of bounded size; groups of any size are spread over cells,
 and a pair is met in one cell only. No link within a group is dropped, and no list of pairs is
@@ -53,6 +58,8 @@ PROPOSED = THRESHOLD - 0.2
 #: pivot or, where the estimate is too low for that, with that of another node or run.
 NEAR_PIVOT = THRESHOLD - 0.1
 LIMIT = 64
+#: Sets of a node up to which one task goes through everything below it.
+HELD = 4096
 #: Share of a large node's sets that its pivot has to tie for the node not to count as a split.
 TIED = 0.1
 #: Splits that the first runs are made for.
@@ -106,7 +113,8 @@ def sketch_task(size: int):
                 if len(some):
                     for j in range(PLACES):
                         turned = hashes * factor[j]
-                        embedded[some, j] = np.minimum.reduceat(turned, first[some]) >> np.uint64(48)
+                        # The smallest of many hashes starts with zeros; only mixed are its first bits those of a hash.
+                        embedded[some, j] = ta.mix(np.minimum.reduceat(turned, first[some])) >> np.uint64(48)
                 whole = ta.slice_hashes(hashes, first[:-1], first[1:])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -133,6 +141,26 @@ def embeddings(column: pa.Array) -> np.ndarray:
     return body[column.offset * PLACES : (column.offset + len(column)) * PLACES].reshape(-1, PLACES)
 
 
+def short(sig: np.ndarray) -> np.ndarray:
+    """The upper byte of every place, eight in a number; two bytes are equal by chance once in 256 places."""
+    return np.ascontiguousarray((sig >> np.uint16(8)).astype(np.uint8)).view(np.uint64)
+
+
+def shorts(column: pa.Array) -> np.ndarray:
+    """The rows of numbers back from the binary values."""
+    body = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint64)
+    width = PLACES // 8
+    return body[column.offset * width : (column.offset + len(column)) * width].reshape(-1, width)
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in which the rows of two arrays of :func:`short` agree."""
+    x = a ^ b
+    for bits in (4, 2, 1):
+        x |= x >> np.uint64(bits)
+    return PLACES - np.bitwise_count(x & np.uint64(0x0101010101010101)).sum(axis=1, dtype=np.int64)
+
+
 def drawn(path: np.ndarray, threshold: float) -> np.ndarray:
     """[node, place]: does the node split by the place? One over the threshold of them, on average."""
     places = (np.arange(PLACES, dtype=np.uint64) + np.uint64(1)) * ta.BASE
@@ -143,23 +171,48 @@ def child(path: np.ndarray, place: np.ndarray, value: np.ndarray) -> np.ndarray:
     return ta.mix(path ^ ta.mix(value.astype(np.uint64) << np.uint64(8) | place.astype(np.uint64)))
 
 
-def root_task(first: int, runs: int, threshold: float):
-    """Task code: the first two splits of every run from ``first`` to below ``runs``.
+def children(path: np.ndarray, sig: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path) of what the rows of :func:`short` that stand in these nodes are sent to."""
+    row, place = np.nonzero(drawn(path, threshold))
+    return row, child(path[row], place, sig.view(np.uint8)[row, place])
+
+
+def roots(sig: np.ndarray, first: int, runs: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, path) after the first two splits of every run from ``first`` to below ``runs``.
 
     After one split a node still holds all sets that share a passage, which are seldom similar; so no
     node is looked at before the second.
     """
+    seeds = ta.mix(np.arange(first + 1, runs + 1, dtype=np.uint64) * np.uint64(SEED))
+    for r, j in zip(*np.nonzero(drawn(seeds, threshold)), strict=True):
+        path = child(seeds[r], np.array(j), sig[:, j])
+        row, second = np.nonzero(drawn(path, threshold))
+        yield row, child(path[row], second, sig[row, second])
+
+
+def root_task(first: int, runs: int, threshold: float):
+    """Task code: every set in the nodes of :func:`roots`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = ta.mix(np.arange(first + 1, runs + 1, dtype=np.uint64) * np.uint64(SEED))
-        node, place = np.nonzero(drawn(seeds, threshold))
         for batch in batches:
             sig, cid = embeddings(rp.field(batch, "sig")), rp.numbers(batch, "cid")
-            for r, j in zip(node, place, strict=True):
-                path = child(seeds[r], np.array(j), sig[:, j])
-                row, second = np.nonzero(drawn(path, threshold))
-                below = child(path[row], second, sig[row, second])
-                yield pa.RecordBatch.from_arrays([rp.signed(below), pa.array(cid[row])], names=["path", "cid"])
+            few = short(sig)
+            for row, path in roots(sig, first, runs, threshold):
+                yield pa.RecordBatch.from_arrays([rp.signed(path), pa.array(cid[row]), binaries(few[row])], names=["path", "cid", "sig"])
+
+    return run
+
+
+def count_task(first: int, runs: int, threshold: float, buckets: int):
+    """Task code: rows of :func:`root_task` by the last bits of their path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(buckets, dtype=np.int64)
+        for batch in batches:
+            found = [path & np.uint64(buckets - 1) for _, path in roots(embeddings(rp.field(batch, "sig")), first, runs, threshold)]
+            held += np.bincount(np.concatenate(found).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["bucket", "n"])
 
     return run
 
@@ -204,24 +257,69 @@ def groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(rest)
 
 
-def small_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task code: brute force in every small node; rows come sorted by node."""
-    for table in groups(batches, ["path"]):
-        for part in pieces_of(table):
-            path, cid = (part.column(c).to_numpy() for c in ("path", "cid"))
-            sig = embeddings(part.column("sig").combine_chunks())
-            a, b = [], []
-            for k in range(1, LIMIT):
-                i = np.flatnonzero(path[k:] == path[:-k])
-                if not len(i):
-                    break
-                near = i[(sig[i] == sig[i + k]).mean(axis=1) >= PROPOSED]
-                a.append(near)
-                b.append(near + k)
-            if a:
-                label = together(len(cid), np.concatenate(a), np.concatenate(b))
+def descent_task(level: int, threshold: float):
+    """Task code: the whole recursion below nodes of that level; rows come sorted by node.
+
+    Gives (0, a, b) for two sets that are tied, and (level, a, null) for a set that stood in a large node, not tied by
+    its pivot, after so many splits, the most in this node.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["path"]):
+            for part in pieces_of(table):
+                path, cid = (part.column(c).to_numpy() for c in ("path", "cid"))
+                a, b, deep = descent(path.view(np.uint64), cid, shorts(part.column("sig").combine_chunks()), level, threshold)
+                label = together(len(cid), a, b)
                 tied = np.flatnonzero(label != np.arange(len(cid)))
-                yield pa.RecordBatch.from_arrays([pa.array(cid[tied]), pa.array(cid[label[tied]])], names=["a", "b"])
+                left = np.flatnonzero(deep)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([np.zeros(len(tied), np.int32), deep[left]])),
+                        pa.array(np.concatenate([cid[tied], cid[left]])),
+                        pa.array(np.concatenate([cid[label[tied]], cid[left]])),
+                    ],
+                    names=["level", "a", "b"],
+                )
+
+    return run
+
+
+def descent(path: np.ndarray, cid: np.ndarray, sig: np.ndarray, level: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, deep): pairs of rows that are tied, and the level of the last large node each row was left in, or 0."""
+    ties, deep, row = [], np.zeros(len(cid), dtype=np.int32), np.arange(len(cid))
+    while len(row):
+        order = np.argsort(path, kind="stable")
+        path, row = path[order], row[order]
+        starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+        n = np.diff(np.append(starts, len(path)))
+        end = np.repeat(starts + n, n)
+        i = np.flatnonzero(np.repeat(n <= LIMIT, n))
+        for k in range(1, LIMIT):
+            i = i[i + k < end[i]]
+            if not len(i):
+                break
+            near = i[agreeing(sig[row[i]], sig[row[i + k]]) >= PROPOSED * PLACES]
+            ties.append((row[near], row[near + k]))
+        large = np.flatnonzero(n > LIMIT)
+        if not len(large):
+            break
+        stay = np.repeat(n > LIMIT, n)
+        path, row, starts, n = path[stay], row[stay], np.cumsum(n[large]) - n[large], n[large]
+        lot = ta.mix(path ^ cid[row].view(np.uint64) * ta.BASE)
+        pivot = row[np.flatnonzero(lot == np.repeat(np.minimum.reduceat(lot, starts), n))]
+        of = np.repeat(pivot, n)
+        alike = agreeing(sig[row], sig[of])
+        tied = (alike >= PROPOSED * PLACES) & (row != of)
+        ties.append((row[tied], of[tied]))
+        if level >= LEVELS:
+            deep[row[np.repeat(np.add.reduceat(tied, starts, dtype=np.int64) < TIED * n, n)]] = level
+        on = (alike < NEAR_PIVOT * PLACES) & (row != of)
+        path, row = path[on], row[on]
+        own, path = children(path, sig[row], threshold)
+        row = row[own]
+        level += 1
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (list(zip(*ties, strict=True)) or ([], [])))
+    return a, b, deep
 
 
 def pieces_of(table: pa.Table) -> Iterator[pa.Table]:
@@ -236,26 +334,24 @@ def pieces_of(table: pa.Table) -> Iterator[pa.Table]:
 
 
 def split_task(threshold: float):
-    """Task code: members of large nodes against the pivot; the others go on to children of the node."""
+    """Task code: members of nodes of more than ``HELD`` sets against the pivot; the others go on to children of the node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, pivot = embeddings(rp.field(batch, "sig")), embeddings(rp.field(batch, "pivot_sig"))
+            sig, pivot = shorts(rp.field(batch, "sig")), short(embeddings(rp.field(batch, "pivot_sig")))
             path, cid, of = (rp.numbers(batch, c) for c in ("path", "cid", "pivot"))
-            alike = (sig == pivot).mean(axis=1)
-            near = np.flatnonzero((alike >= PROPOSED) & (cid != of))
-            on = np.flatnonzero((alike < NEAR_PIVOT) & (cid != of))
-            node = path[on].view(np.uint64)
-            row, place = np.nonzero(drawn(node, threshold))
-            below = child(node[row], place, sig[on[row], place])
+            alike = agreeing(sig, pivot)
+            near = np.flatnonzero((alike >= PROPOSED * PLACES) & (cid != of))
+            on = np.flatnonzero((alike < NEAR_PIVOT * PLACES) & (cid != of))
+            row, below = children(path[on].view(np.uint64), sig[on], threshold)
+            both = np.concatenate([near, on[row]])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([np.ones(len(near), bool), np.zeros(len(row), bool)])),
                     pa.array(np.concatenate([of[near], below.view(np.int64)])),
-                    pa.array(np.concatenate([cid[near], cid[on[row]]])),
-                    pa.array(np.concatenate([path[near], path[on[row]]])),
+                    pa.array(cid[both]), pa.array(path[both]), binaries(sig[both]),
                 ],
-                names=["link", "path", "cid", "node"],
+                names=["link", "path", "cid", "node", "sig"],
             )
 
     return run
@@ -283,44 +379,64 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def large_nodes(rows: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """(path, n, pivot, pivot_sig) of the nodes of more than ``HELD`` rows, if there are any."""
+    # A lot that its owner can be told from, so that numbers alone are aggregated.
+    turn = F.xxhash64("path")
+    nodes = (
+        rows.groupBy("path").agg(F.count("*").alias("n"), F.min(F.col("cid").bitwiseXOR(turn)).alias("lot"))
+        .where(F.col("n") > HELD).select("path", "n", F.col("lot").bitwiseXOR(turn).alias("pivot"))
+    )
+    sigs = reps.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig"))
+    found = cut_lineage(nodes.join(sigs, "pivot"), "large")
+    return None if found.isEmpty() else found
+
+
+def large_roots(sets: DataFrame, reps: DataFrame, rows: DataFrame, first: int, runs: int, threshold: float) -> DataFrame | None:
+    """:func:`large_nodes` of the ``rows`` of :func:`root_task`; only those in full buckets are counted one by one."""
+    each = (runs - first) / threshold**2
+    buckets = 1 << max(10, math.ceil(math.log2(max(1, sets.count()) * each * 8 / HELD)))
+    counts = sets.select("sig").mapInArrow(count_task(first, runs, threshold, buckets), "bucket bigint, n bigint")
+    full = cut_lineage(counts.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > HELD).select("bucket"), "full")
+    if full.isEmpty():
+        return None
+    bucket = F.col("path").bitwiseAND(F.lit(buckets - 1).cast("bigint"))
+    return large_nodes(rows.select("path", "cid", bucket.alias("bucket")).join(rp.apart(full), "bucket", "left_semi"), reps)
+
+
 def descended(
     sets: DataFrame, reps: DataFrame, first: int, runs: int, threshold: float
 ) -> tuple[int, list[DataFrame], list[DataFrame]]:
     """(splits of large nodes that their pivot did not tie, the sets in them after ``LEVELS``, links) of the runs ``first`` to below ``runs``."""
-    frontier = sets.mapInArrow(root_task(first, runs, threshold), "path bigint, cid bigint")
-    levels, deepest, crowded, links = 2, 2, [], []
+    rows = sets.select("cid", "sig").mapInArrow(root_task(first, runs, threshold), "path bigint, cid bigint, sig binary")
+    large, level, deepest, links, crowded = large_roots(sets, reps, rows, first, runs, threshold), 2, 2, [], []
     while True:
-        frontier = frontier.select("path", "cid")
-        # A lot that its owner can be told from, so that numbers alone are aggregated.
-        turn = F.xxhash64("path")
-        nodes = (
-            frontier.groupBy("path").agg(F.count("*").alias("n"), F.min(F.col("cid").bitwiseXOR(turn)).alias("lot"))
-            .where("n > 1").select("path", "n", F.col("lot").bitwiseXOR(turn).alias("pivot"))
-        )
-        live = cut_lineage(frontier.join(rp.apart(nodes), "path"), "nodes")
-        members = live.join(reps.select("cid", "sig"), "cid")
-        small = members.where(F.col("n") <= LIMIT).select("path", "cid", "sig")
-        ordered = small.repartition("path").sortWithinPartitions("path", "cid")
-        links.append(cut_lineage(ordered.mapInArrow(small_task, "a bigint, b bigint"), "links"))
-        if live.where(F.col("n") > LIMIT).isEmpty():
-            return deepest, crowded, links
-        pivots = reps.select(F.col("cid").alias("pivot"), F.col("sig").alias("pivot_sig"))
-        large = members.where(F.col("n") > LIMIT).join(pivots, "pivot")
+        held = rows if large is None else rows.join(rp.apart(large.select("path")), "path", "left_anti")
+        ordered = held.repartition("path").sortWithinPartitions("path")
+        found = cut_lineage(ordered.mapInArrow(descent_task(level, threshold), "level int, a bigint, b bigint"), "links")
+        links.append(found.where("level = 0").select("a", "b"))
+        deep = found.where("level > 0")
+        if (most := deep.agg(F.max("level")).first()[0]) is not None:
+            deepest = max(deepest, most)
+            crowded.append(deep.select(F.col("a").alias("cid")))
+        if large is None:
+            return deepest, [united(crowded).distinct()] if crowded else [], links
         split = cut_lineage(
-            large.select("path", "cid", "sig", "pivot", "pivot_sig")
-            .mapInArrow(split_task(threshold), "link boolean, path bigint, cid bigint, node bigint"),
+            rows.join(rp.apart(large), "path").select("path", "cid", "sig", "pivot", "pivot_sig")
+            .mapInArrow(split_task(threshold), "link boolean, path bigint, cid bigint, node bigint, sig binary"),
             "split",
         )
         links.append(split.where("link").select(F.col("path").alias("a"), F.col("cid").alias("b")))
-        if levels >= LEVELS:
+        if level >= LEVELS:
             tied = split.where("link").groupBy(F.col("node").alias("path")).agg(F.count("*").alias("tied"))
-            left = live.where(F.col("n") > LIMIT).join(tied, "path", "left")
-            left = cut_lineage(left.where(F.coalesce("tied", F.lit(0)) < TIED * F.col("n")).select("cid").distinct(), "crowded")
+            few = large.join(tied, "path", "left").where(F.coalesce("tied", F.lit(0)) < TIED * F.col("n")).select("path")
+            left = cut_lineage(rows.select("path", "cid").join(rp.apart(few), "path", "left_semi").select("cid").distinct(), "crowded")
             if not left.isEmpty():
-                deepest = levels
+                deepest = max(deepest, level)
                 crowded.append(left)
-        frontier = split.where("not link").select("path", "cid")
-        levels += 1
+        rows = split.where("not link").select("path", "cid", "sig")
+        large = large_nodes(rows, reps)
+        level += 1
 
 
 def cells_task(size: int, threshold: float):

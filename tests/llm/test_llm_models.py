@@ -176,6 +176,58 @@ def test_runs_follow_the_depth(spark, monkeypatch):
     assert set(range(300)) >= calls[1][2] and len(calls[1][2]) > 290 and len(calls) == 2
 
 
+def test_descent_stores_no_table_per_level(spark, monkeypatch):
+    """Sets that share a passage are split many times; a task goes through all of it, with at most one link per row."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "LIMIT", 8)
+    sig = np.random.default_rng(12).integers(0, 1 << 16, (400, jaccard.PLACES), dtype=np.uint16)
+    sig[:300, :36] = sig[0, :36]
+    sig[350:, 4:] = sig[350, 4:]
+    sets = frame(spark, [(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "cid bigint, sig binary")
+    plain, stored = jaccard.cut_lineage, []
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df, name="stage": stored.append(name) or plain(df, name))
+    levels, crowded, links = jaccard.descended(sets, sets, 0, 19, 0.8)
+    assert levels > jaccard.LEVELS and len(stored) <= 3
+    tied = {r.v: r.root for r in components.components(jaccard.united(links)).collect()}
+    assert {v for v in range(351, 400) if tied[v] == 350} == set(range(351, 400))
+    assert jaccard.united(links).count() <= 50 * 19 / 0.8**2 * 1.5
+
+
+@pytest.mark.parametrize("kind", ["copies", "passage"])
+def test_nodes_that_no_task_may_hold(spark, kind, monkeypatch):
+    """Nodes above ``HELD`` are split by Spark, for as many levels as it takes; the others of the same run are not."""
+    monkeypatch.setattr(jaccard, "LIMIT", 8)
+    monkeypatch.setattr(jaccard, "HELD", 16)
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(150):
+        text = list(base) if kind == "copies" else base[:50] + [f"x{rng.getrandbits(40)}" for _ in range(50)]
+        for _ in range(rng.randint(0, 2) if kind == "copies" else 0):
+            text[rng.randrange(100)] = f"x{rng.getrandbits(40)}"
+        rows.append((len(rows), " ".join(text)))
+        if kind == "passage":
+            rows.append((len(rows), " ".join([*text[:-1], "y"])))
+    plain, stored = jaccard.cut_lineage, []
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df, name="stage": stored.append(name) or plain(df, name))
+    got = {r.doc_id: (r.class_id, r.copy_of, r.n_links, r.links) for r in jaccard.jaccard_join(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows) and "split" in stored
+
+
+def test_embeddings_of_long_texts_agree_by_chance_only():
+    """The smallest of many hashes starts with zeros: its first bits must not count as agreement."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [" ".join(f"{a}{i}" for i in range(30_000)) for a in "abcdef"]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(6)), "t": [0] * 6, "ord": list(range(6)), "text": texts})
+    sig = np.concatenate([jaccard.embeddings(b.column(5)) for b in jaccard.sketch_task(5)(iter([batch]))])
+    assert sig.shape == (6, jaccard.PLACES)
+    assert max(int((sig[i] == sig[j]).sum()) for i in range(6) for j in range(i)) <= 1
+    few = jaccard.short(sig)
+    assert (jaccard.agreeing(few[:3], few[3:]) <= 4).all() and (jaccard.agreeing(few, few) == jaccard.PLACES).all()
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
