@@ -2,8 +2,8 @@
 
 Reads BENCH_SF_DIR (tables) and BENCH_CPUS (local cores). Every query starts without cached
 tables and writes its whole result to the no-op sink. A first round on the smallest tables
-warms up the JVM and is not timed. Models train a tenth of their rounds and trees, as whole line-ups take longer than
-a bench should; PROPENSA_ROUNDS_SHARE=1 times those. Training the bundle that scoring loads is timed on its own, as ``train_bundle``.
+warms up the JVM and is not timed. Models train all their rounds and trees. Training the bundle that scoring loads
+is timed on its own, as ``train_bundle``.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-os.environ.setdefault("PROPENSA_ROUNDS_SHARE", "0.1")
-
 from propensa.plans import QUERIES, modelling  # noqa: E402
 from propensa.session import drop_scratch, local_session, release  # noqa: E402
 
@@ -46,8 +44,6 @@ HEADLINE = [
     "train_bundle",
     "score_new_customers",
 ]
-#: Rounds and trees of the warm-up, as a share of those that are timed.
-WARM_SHARE = 0.1
 
 
 def run(spark, name: str, sf_dir: str) -> float:
@@ -68,9 +64,8 @@ def main() -> None:
     spark = local_session("bench", cpus, os.environ.get("BENCH_MEMORY", "8g"))
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir):
-        with modelling.share_of_rounds(WARM_SHARE):
-            for name in only:
-                run(spark, name, warm_dir)
+        for name in only:
+            run(spark, name, warm_dir)
     times = {name: round(run(spark, name, sf_dir), 3) for name in only}
     drop_scratch(spark)
     print(
